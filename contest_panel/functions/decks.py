@@ -26,21 +26,15 @@ def total_of(values: str | Column) -> Column:
 
 def sorted_deck(cards: str | Column) -> Column:
     """Order-free deck key; arrays group and compare natively."""
-    return F.array_sort(as_column(cards))
+    return F.sort_array(as_column(cards))
 
 
 def packed_deck(indices: str | Column) -> Column:
     """Sorted item indices (< 128) packed into one bigint, lowest index in the lowest digit."""
-    ordered = F.reverse(F.array_sort(as_column(indices)))
+    ordered = F.sort_array(as_column(indices), asc=False)
     return F.aggregate(ordered, F.lit(0).cast("bigint"), lambda acc, x: acc * F.lit(DECK_BASE) + x.cast("bigint"))
 
 
-def aligned_by_card(cards: str | Column, levels: str | Column) -> Column:
-    """``array<struct<card, level>>`` ordered by card."""
-    pairs = F.arrays_zip(as_column(cards).alias("card"), as_column(levels).alias("level"))
-    return F.array_sort(pairs)
-
-
 def is_full_deck(cards: str | Column, size: int = DECK_SIZE) -> Column:
     """True for exactly ``size`` distinct items."""
     cards = as_column(cards)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contest_panel.functions.decks import DECK_SIZE, aligned_by_card, is_full_deck, total_of
+from contest_panel.functions.decks import DECK_SIZE, is_full_deck
 from contest_panel.functions.scalars import (
     LADDER_MODES,
     battle_timestamp,
@@ -20,41 +20,42 @@ SIDE_FIELDS = (
     "global_rank", "elixir_leaked", "card_ids", "card_levels", "card_evo", "support_ids",
     "team_size", "n_cards",
 )
+# A destroyed tower has no hit points, a player without a clan an empty tag.
+_DOCUMENTED_NULLS = {"king_hp": "0", "clan": "''"}
 SEASON_FIELDS = ("cards", "levels", "trophies", "crowns", "king_hp", "tag", "clan")
 
 
-def _side(players: str) -> dict[str, Column]:
-    """Flatten one side: items of every player, scalars of the first."""
-    people = F.col(players)
-    lead = F.get(people, F.lit(0))
-    empty = F.array().cast("array<struct<id:int,level:int,evolutionLevel:int>>")
-    cards = F.flatten(F.transform(people, lambda p: F.coalesce(p["cards"], empty)))
-    supports = F.flatten(
-        F.transform(people, lambda p: F.coalesce(p["supportCards"], F.array().cast("array<struct<id:int>>")))
-    )
+def _side(players: str) -> dict[str, str]:
+    """SQL of one flattened side: items of every player, scalars of the first."""
+    lead = f"{players}[0]"
+    cards = f"flatten(transform({players}, p -> coalesce(p.cards, array())))"
+    supports = f"flatten(transform({players}, p -> coalesce(p.supportCards, array())))"
     return {
-        "tag": lead["tag"],
-        "name": lead["name"],
-        "clan": lead["clan"]["tag"],
-        "crowns": lead["crowns"],
-        "king_hp": lead["kingTowerHitPoints"],
-        "princess_hp": F.coalesce(lead["princessTowersHitPoints"], F.array().cast("array<int>")),
-        "trophies": lead["startingTrophies"],
-        "trophy_change": lead["trophyChange"],
-        "global_rank": lead["globalRank"],
-        "elixir_leaked": lead["elixirLeaked"],
-        "card_ids": F.transform(cards, lambda c: c["id"]),
-        "card_levels": F.transform(cards, lambda c: c["level"]),
-        "card_evo": F.transform(cards, lambda c: F.coalesce(c["evolutionLevel"], F.lit(0))),
-        "support_ids": F.transform(supports, lambda c: c["id"]),
-        "team_size": F.size(people),
-        "n_cards": F.size(cards),
+        "tag": f"{lead}.tag",
+        "name": f"{lead}.name",
+        "clan": f"{lead}.clan.tag",
+        "crowns": f"{lead}.crowns",
+        "king_hp": f"{lead}.kingTowerHitPoints",
+        "princess_hp": f"coalesce({lead}.princessTowersHitPoints, array())",
+        "trophies": f"{lead}.startingTrophies",
+        "trophy_change": f"{lead}.trophyChange",
+        "global_rank": f"{lead}.globalRank",
+        "elixir_leaked": f"{lead}.elixirLeaked",
+        "card_ids": f"transform({cards}, c -> c.id)",
+        "card_levels": f"transform({cards}, c -> c.level)",
+        "card_evo": f"transform({cards}, c -> coalesce(c.evolutionLevel, 0))",
+        "support_ids": f"transform({supports}, c -> c.id)",
+        "team_size": f"size({players})",
+        "n_cards": f"size({cards})",
     }
 
 
-def _routed(first: Column, left: Column, right: Column) -> tuple[Column, Column]:
-    """(a, b) columns: left/right when ``first`` holds, swapped otherwise."""
-    return F.when(first, left).otherwise(right), F.when(first, right).otherwise(left)
+def _routed(first: str, field: str, left: str, right: str) -> list[str]:
+    """SQL of ``a_field`` and ``b_field``: left/right when ``first`` holds, swapped otherwise."""
+    return [
+        f"CASE WHEN {first} THEN {left} ELSE {right} END AS a_{field}",
+        f"CASE WHEN {first} THEN {right} ELSE {left} END AS b_{field}",
+    ]
 
 
 def parse_battles(raw: DataFrame) -> DataFrame:
@@ -63,83 +64,73 @@ def parse_battles(raw: DataFrame) -> DataFrame:
     Side A is the lexicographically smaller tag. Rows without two identified sides are dropped;
     everything else is kept and flagged by ``is_clean_1v1``. Needs ``collected_at`` and ``run_id``.
     """
-    usable = raw.filter((F.size("team") > 0) & (F.size("opponent") > 0)).filter(
-        (F.coalesce(F.col("team")[0]["tag"], F.lit("")) != "")
-        & (F.coalesce(F.col("opponent")[0]["tag"], F.lit("")) != "")
+    # Orient the two nested sides once, then flatten only the oriented ones.
+    oriented = raw.filter(
+        "size(team) > 0 AND size(opponent) > 0 AND coalesce(team[0].tag, '') <> '' AND coalesce(opponent[0].tag, '') <> ''"
+    ).selectExpr(
+        "battleTime", "collected_at", "run_id", "type", "gameMode", "arena", "deckSelection",
+        "isLadderTournament", "isHostedMatch", "leagueNumber", "eventTag",
+        "CASE WHEN team[0].tag <= opponent[0].tag THEN team ELSE opponent END AS __a",
+        "CASE WHEN team[0].tag <= opponent[0].tag THEN opponent ELSE team END AS __b",
     )
-    left, right = _side("team"), _side("opponent")
-    team_first = F.col("team")[0]["tag"] <= F.col("opponent")[0]["tag"]
-    staged = usable.select(
-        contest_key("battleTime", F.col("team"), F.col("opponent")).alias("battle_key"),
+    flat = oriented.select(
+        contest_key("battleTime", F.col("__a"), F.col("__b")).alias("battle_key"),
         battle_timestamp("battleTime").alias("battle_time"),
         "collected_at",
         "run_id",
         "type",
-        F.col("gameMode.name").alias("game_mode"),
-        F.col("arena.name").alias("arena"),
-        F.col("deckSelection").alias("deck_selection"),
-        F.col("isLadderTournament").alias("is_ladder_tournament"),
-        F.col("isHostedMatch").alias("is_hosted_match"),
-        F.col("leagueNumber").alias("league_number"),
-        F.col("eventTag").alias("event_tag"),
-        team_first.alias("__first"),
-        *[left[f].alias(f"__l_{f}") for f in SIDE_FIELDS],
-        *[right[f].alias(f"__r_{f}") for f in SIDE_FIELDS],
+        *[
+            F.expr(text)
+            for text in (
+                "gameMode.name AS game_mode", "arena.name AS arena", "deckSelection AS deck_selection",
+                "isLadderTournament AS is_ladder_tournament", "isHostedMatch AS is_hosted_match",
+                "leagueNumber AS league_number", "eventTag AS event_tag",
+            )
+        ],
+        *[F.expr(f"{expr} AS a_{field}") for field, expr in _side("__a").items()],
+        *[F.expr(f"{expr} AS b_{field}") for field, expr in _side("__b").items()],
     )
-    sides = {}
-    for field in SIDE_FIELDS:
-        a, b = _routed(F.col("__first"), F.col(f"__l_{field}"), F.col(f"__r_{field}"))
-        sides[f"a_{field}"], sides[f"b_{field}"] = a, b
-    flat = staged.withColumns(sides).drop("__first", *[f"__{s}_{f}" for s in "lr" for f in SIDE_FIELDS])
     return with_outcome(flat)
 
 
 def with_outcome(flat: DataFrame) -> DataFrame:
     """Add ``winner``, ``label_a_win`` and ``is_clean_1v1`` to parsed rows."""
-    a, b = F.col("a_crowns"), F.col("b_crowns")
-    winner = F.when(a > b, "a").when(b > a, "b").when(a == b, "tie")
-    label = F.when(a > b, 1).when(b > a, 0)
-    clean = (
-        (F.col("a_team_size") == 1)
-        & (F.col("b_team_size") == 1)
-        & (F.col("a_n_cards") == DECK_SIZE)
-        & (F.col("b_n_cards") == DECK_SIZE)
-        & F.coalesce(a != b, F.lit(False))
+    return flat.selectExpr(
+        "*",
+        "CASE WHEN a_crowns > b_crowns THEN 'a' WHEN b_crowns > a_crowns THEN 'b' WHEN a_crowns = b_crowns THEN 'tie' END"
+        " AS winner",
+        "CASE WHEN a_crowns > b_crowns THEN 1 WHEN b_crowns > a_crowns THEN 0 END AS label_a_win",
+        f"a_team_size = 1 AND b_team_size = 1 AND a_n_cards = {DECK_SIZE} AND b_n_cards = {DECK_SIZE}"
+        " AND coalesce(a_crowns <> b_crowns, false) AS is_clean_1v1",
     )
-    return flat.withColumns({"winner": winner, "label_a_win": label, "is_clean_1v1": clean})
 
 
 def canonicalise_season(source: DataFrame) -> DataFrame:
     """Winner/loser source rows to canonical battles (side A = smaller tag).
 
     Source columns: ``battleTime``, ``game_mode``, ``arena`` and ``winner_*`` / ``loser_*`` for every
-    season field. Rows with a missing essential field are dropped; destroyed towers and absent clans
-    get their documented values.
+    season field. Rows with a missing essential field are dropped (a deck with a missing card or level
+    is a NULL array); destroyed towers and absent clans get their documented values.
     """
     essential = ["battleTime", "game_mode", "arena"] + [
         f"{side}_{f}" for side in ("winner", "loser") for f in SEASON_FIELDS if f not in ("king_hp", "clan")
     ]
-    kept = source.na.drop(subset=essential)
-    for side in ("winner", "loser"):
-        kept = kept.filter(
-            ~F.exists(F.col(f"{side}_cards"), lambda c: c.isNull())
-            & ~F.exists(F.col(f"{side}_levels"), lambda c: c.isNull())
-        )
-    filled = kept.na.fill(0, [f"{s}_king_hp" for s in ("winner", "loser")]).na.fill(
-        "", [f"{s}_clan" for s in ("winner", "loser")]
-    )
-    winner_first = F.col("winner_tag") < F.col("loser_tag")
+    # Plain null tests, so Catalyst reduces each one to the scan column behind it.
+    kept = source.filter(" AND ".join(f"{column} IS NOT NULL" for column in essential))
     columns = []
     for field in SEASON_FIELDS:
-        a, b = _routed(winner_first, F.col(f"winner_{field}"), F.col(f"loser_{field}"))
-        columns += [a.alias(f"a_{field}"), b.alias(f"b_{field}")]
+        winner, loser = f"winner_{field}", f"loser_{field}"
+        if field in _DOCUMENTED_NULLS:
+            default = _DOCUMENTED_NULLS[field]
+            winner, loser = f"coalesce({winner}, {default})", f"coalesce({loser}, {default})"
+        columns += _routed("winner_tag < loser_tag", field, winner, loser)
     carried = [c for c in ("day",) if c in source.columns]
-    return filled.select(
+    return kept.selectExpr(
         *carried,
-        F.expr("try_cast(battleTime AS timestamp)").alias("battle_time"),
+        "try_cast(battleTime AS timestamp) AS battle_time",
         "game_mode",
         "arena",
-        winner_first.cast("int").alias("a_won"),
+        "cast(winner_tag < loser_tag AS int) AS a_won",
         *columns,
     )
 
@@ -151,13 +142,12 @@ def coin_for(seed: int | str) -> Column:
 
 def neutral_sides(battles: DataFrame, seed: int | str = 0) -> DataFrame:
     """Swap sides of each battle by a reproducible fair coin."""
-    columns = {}
-    for field in SEASON_FIELDS:
-        if f"a_{field}" in battles.columns and f"b_{field}" in battles.columns:
-            a, b = _routed(~F.col("__flip"), F.col(f"a_{field}"), F.col(f"b_{field}"))
-            columns[f"a_{field}"], columns[f"b_{field}"] = a, b
-    columns["a_won"] = F.when(F.col("__flip"), 1 - F.col("a_won")).otherwise(F.col("a_won"))
-    return battles.withColumn("__flip", coin_for(seed)).withColumns(columns).drop("__flip")
+    swapped = [f for f in SEASON_FIELDS if f"a_{f}" in battles.columns and f"b_{f}" in battles.columns]
+    others = [c for c in battles.columns if c != "a_won" and c[2:] not in swapped]
+    columns = [text for f in swapped for text in _routed("NOT __flip", f, f"a_{f}", f"b_{f}")]
+    return battles.withColumn("__flip", coin_for(seed)).selectExpr(
+        *others, "CASE WHEN __flip THEN 1 - a_won ELSE a_won END AS a_won", *columns
+    )
 
 
 def ladder_only(battles: DataFrame, modes: Sequence[int] = LADDER_MODES) -> DataFrame:
@@ -167,23 +157,19 @@ def ladder_only(battles: DataFrame, modes: Sequence[int] = LADDER_MODES) -> Data
 def melt_sides(battles: DataFrame) -> DataFrame:
     """Season battles to one row per participant; one scan, no union, no shuffle."""
 
-    def view(side: str, won: Column) -> Column:
-        return F.struct(
-            F.col(f"{side}_tag").alias("tag"),
-            F.array_sort(f"{side}_cards").alias("deck"),
-            total_of(f"{side}_levels").alias("total_level"),
-            F.col(f"{side}_trophies").alias("trophies"),
-            won.alias("won"),
+    def view(side: str, won: str) -> str:
+        return (
+            f"named_struct('tag', {side}_tag, 'deck', sort_array({side}_cards), "
+            f"'total_level', aggregate({side}_levels, 0, (acc, x) -> acc + x), 'trophies', {side}_trophies, 'won', {won})"
         )
 
-    both = F.array(view("a", F.col("a_won")), view("b", 1 - F.col("a_won")))
     # The opponent pair makes the order of a participant's battles total.
     return battles.select(
         "battle_time",
         minute_of("battle_time").alias("minute"),
         F.concat_ws("|", "a_tag", "b_tag").alias("pairing"),
-        F.explode(both).alias("side"),
-    ).select("battle_time", "minute", "pairing", "side.*")
+        F.expr(f"inline(array({view('a', 'a_won')}, {view('b', '1 - a_won')}))"),
+    )
 
 
 def focal_rows(parsed: DataFrame) -> DataFrame:
@@ -193,24 +179,23 @@ def focal_rows(parsed: DataFrame) -> DataFrame:
     count stays NULL. Rows whose deck is not eight distinct items are left to ``history_violations``.
     """
 
-    def view(own: str, other: str, won: Column) -> Column:
-        pairs = aligned_by_card(f"{own}_card_ids", f"{own}_card_levels")
-        return F.struct(
-            F.col(f"{own}_tag").alias("player_tag"),
-            F.transform(pairs, lambda p: p["card"]).alias("deck"),
-            F.transform(pairs, lambda p: p["level"]).alias("levels"),
-            F.when(won, 1).otherwise(-1).alias("result"),
-            (F.col(f"{own}_crowns") - F.col(f"{other}_crowns")).alias("crown_difference"),
-            F.col(f"{own}_trophies").cast("double").alias("trophies"),
+    def view(own: str, other: str, won: int) -> str:
+        return (
+            f"named_struct('player_tag', {own}_tag, 'pairs', sort_array(transform({own}_card_ids, "
+            f"(c, i) -> named_struct('card', c, 'level', {own}_card_levels[i]))), "
+            f"'result', CASE WHEN label_a_win = {won} THEN 1 ELSE -1 END, "
+            f"'crown_difference', {own}_crowns - {other}_crowns, 'trophies', cast({own}_trophies AS double))"
         )
 
     usable = parsed.filter("is_clean_1v1 AND label_a_win IS NOT NULL").filter(
         is_full_deck("a_card_ids") & is_full_deck("b_card_ids")
     )
-    a_won = F.col("label_a_win") == 1
-    return usable.select(
-        "battle_key", "battle_time", "collected_at", F.explode(F.array(view("a", "b", a_won), view("b", "a", ~a_won))).alias("v")
-    ).select("battle_key", "battle_time", "collected_at", "v.*")
+    return usable.selectExpr(
+        "battle_key", "battle_time", "collected_at", f"inline(array({view('a', 'b', 1)}, {view('b', 'a', 0)}))"
+    ).selectExpr(
+        "battle_key", "battle_time", "collected_at", "player_tag", "pairs.card AS deck", "pairs.level AS levels",
+        "result", "crown_difference", "trophies",
+    )
 
 
 def focal_rows_of(parsed: DataFrame, player: str) -> DataFrame:

@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contest_panel.functions import decks, scalars
-from contest_panel.operators import curves, dedup, orient, panel
-from contest_panel.plans import fixtures as fx
+from contest_panel.operators import (
+    assign,
+    cohort,
+    curves,
+    dedup,
+    dimension,
+    itemspace,
+    metrics,
+    orient,
+    panel,
+    quality,
+    ranking,
+    scaling,
+    sequences,
+)
+from contest_panel.plans import dataset, fixtures as fx, models
+from contest_panel.session import materialise
+from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
+from contest_panel.sources.season import conversion_report as season_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,16 +94,12 @@ def season_neutral(spark, folder):
 @query
 def conversion_report(spark, folder):
     """Rows read and written and side-A win rate per day, in one pass over the source."""
-    from contest_panel.sources.season import conversion_report as report
-
     source = fx.season_source(spark, folder)
-    return rounded(report(source).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+    return rounded(season_report(source).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
 
 
 @query
 def live_scan(spark, folder):
-    from contest_panel.sources.live import LIVE_COLUMNS
-
     rows = fx.parsed_log(spark, folder).select(*LIVE_COLUMNS, "date")
     return rows.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -105,8 +118,6 @@ def live_load(spark, folder):
 
 @query
 def parse_battle(spark, folder):
-    from contest_panel.sources.live import parse_json_log
-
     parsed = parse_json_log(fx.raw_json(spark, folder))
     return parsed.select(
         "battle_key", micros("battle_time").alias("at"), "run_id", "type", "game_mode", "arena", "deck_selection",
@@ -369,3 +380,499 @@ def activity_thresholds(spark, folder):
 def period_compare(spark, folder):
     last = _last_day(fx.battles(spark, folder))
     return rounded(panel.period_compare(fx.season(spark, folder), F.col("day") == last))
+
+
+# --- items ------------------------------------------------------------------------------------
+
+
+@query
+def displayed_levels(spark, folder):
+    rows = dimension.displayed_levels(clean_focal(spark, folder), fx.card_dimension(spark))
+    return rows.select("battle_key", "player_tag", text("displayed").alias("displayed"))
+
+
+@query
+def vocab_encode(spark, folder):
+    """Indices against the incomplete dimension: unseen cards become 0."""
+    words = dimension.vocabulary(fx.card_dimension(spark, complete=False))
+    rows = dimension.encode(clean_focal(spark, folder), "deck", words, "idx")
+    return rows.select("battle_key", "player_tag", text("idx").alias("idx"))
+
+
+@query
+def entity_index(spark, folder):
+    """Contiguous 0-based index of every participant by sorted tag."""
+    tags = fx.season(spark, folder).selectExpr("explode(array(a_tag, b_tag)) AS tag").distinct()
+    return ranking.global_rank(tags, ["tag"], "idx").selectExpr("tag", "idx - 1 AS idx")
+
+
+@query
+def deck_key(spark, folder):
+    """Distinct packed deck keys with their use."""
+    words = dimension.vocabulary(fx.card_dimension(spark)).selectExpr("id", "idx - 1 AS idx")
+    decks_seen = melted_ladder(spark, folder).groupBy("deck").agg(F.count(F.lit(1)).alias("uses"))
+    packed = dimension.encode(decks_seen, "deck", words, "idx")
+    return packed.select(decks.packed_deck("idx").alias("deck_key"), text("deck").alias("deck"), "uses")
+
+
+@query
+def jaccard(spark, folder):
+    """Distance between the two decks of every contest."""
+    rows = fx.season(spark, folder)
+    return rounded(
+        rows.select(micros("battle_time").alias("at"), "a_tag", "b_tag", decks.jaccard_distance("a_cards", "b_cards").alias("distance"))
+    )
+
+
+@query
+def item_universe(spark, folder):
+    return itemspace.item_universe(fx.season(spark, folder))
+
+
+@query
+def cooccurrence(spark, folder):
+    return itemspace.cooccurrence(fx.season(spark, folder))
+
+
+@query
+def pmi(spark, folder):
+    return rounded(itemspace.pmi(itemspace.cooccurrence(fx.season(spark, folder))))
+
+
+@query
+def sign_checks(spark, folder):
+    """Pre-stated signs: neighbours on the card circle attract, cards far apart repel or never meet."""
+    card = fx.card_dimension(spark).selectExpr("id AS card_i")
+    near = card.selectExpr("card_i", f"{fx.FIRST_CARD} + (card_i - {fx.FIRST_CARD} + 1) % 102 AS card_j", "'positive' AS sign")
+    far = card.selectExpr("card_i", f"{fx.FIRST_CARD} + (card_i - {fx.FIRST_CARD} + 13) % 102 AS card_j", "'negative' AS sign")
+    table = itemspace.pmi(itemspace.cooccurrence(fx.season(spark, folder)))
+    return rounded(itemspace.sign_checks(table, near.unionByName(far)))
+
+
+@query
+def item_vectors(spark, folder):
+    vectors, _ = itemspace.card_space(fx.season(spark, folder), 16)
+    return rounded(vectors.selectExpr("card", "size(vector) AS dimensions", "aggregate(vector, 0D, (a, x) -> a + x * x) AS energy"))
+
+
+@query
+def spectrum(spark, folder):
+    _, values = itemspace.card_space(fx.season(spark, folder), fx.CARD_COUNT)
+    return rounded(itemspace.spectrum_report(values))
+
+
+@query
+def deck_vectors(spark, folder):
+    """Deck vectors from the stored embeddings: card c uses vector c − first card."""
+    stored = fx.table(spark, folder, "embeddings").selectExpr(f"cast(vec_id + {fx.FIRST_CARD} AS int) AS card", "embedding AS vector")
+    found = itemspace.deck_vectors(melted_ladder(spark, folder), stored, 64)
+    return rounded(
+        found.select(text("deck").alias("deck"), F.expr("vector[0] AS d0"), F.expr("vector[31] AS d31"), F.expr("vector[63] AS d63"))
+    )
+
+
+@query
+def difference_long(spark, folder):
+    return itemspace.difference_long(fx.season(spark, folder).withColumn("at", micros("battle_time")), ["at", "a_tag"])
+
+
+@query
+def nearest_items(spark, folder):
+    """Neighbours of the first vector of each label among all stored vectors."""
+    stored = fx.table(spark, folder, "embeddings")
+    named = stored.groupBy("label").agg(F.min("vec_id").alias("item"))
+    vectors = stored.selectExpr("vec_id AS item", "embedding AS vector")
+    return rounded(itemspace.nearest_items(vectors, named, 6))
+
+
+# --- sequences --------------------------------------------------------------------------------
+
+
+@query
+def sequence_windows(spark, folder):
+    """Every window of ten contests and a target."""
+    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    return examples.selectExpr(
+        "example_id", "window_start", "size(history) AS length", "unix_micros(history[0].battle_time) AS starts",
+        "unix_micros(target_time) AS target_at", "array_join(history[9].deck, ',') AS last_deck",
+    )
+
+
+@query
+def windows_continuous(spark, folder):
+    examples = sequences.sequence_examples(clean_focal(spark, folder), continuity="same_collection")
+    return examples.select("example_id", "window_start", "next_switch", "next_win")
+
+
+@query
+def window_counts(spark, folder):
+    focal = clean_focal(spark, folder)
+    both = sequences.window_counts(focal).join(
+        sequences.window_counts(focal, continuity="same_collection").withColumnRenamed("windows", "continuous"), "player_tag"
+    )
+    return both
+
+
+@query
+def sequence_features(spark, folder):
+    """The six features of each history contest; zero transitions at the start of a window."""
+    lines = sequences.example_long(sequences.sequence_examples(clean_focal(spark, folder), continuity="same_collection"))
+    return rounded(lines.select("example_id", "position", *sequences.BATTLE_FEATURES))
+
+
+@query
+def prefix_summary(spark, folder):
+    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    return rounded(examples.select("example_id", *sequences.BASE_SUMMARY))
+
+
+@query
+def deck_tenure(spark, folder):
+    """Contests in a row with the current deck."""
+    rows = sequences.annotated(clean_focal(spark, folder)).result()
+    return rows.select("player_tag", "battle_key", "tenure")
+
+
+@query
+def deck_lifetime(spark, folder):
+    """All uses of the current deck so far."""
+    rows = sequences.annotated(clean_focal(spark, folder)).result()
+    return rows.select("player_tag", "battle_key", "deck_n")
+
+
+@query
+def sequence_targets(spark, folder):
+    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    return examples.select("example_id", text("target_deck").alias("target_deck"), "next_switch", "next_win")
+
+
+@query
+def window_at(spark, folder):
+    """The window starting at offset 3 of every participant."""
+    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    return sequences.example_at(examples, 3).select("example_id", "player_tag", "next_switch", "next_win")
+
+
+@query
+def prebattle_context(spark, folder):
+    contexts = sequences.prebattle_contexts(clean_focal(spark, folder), continuity="all")
+    return rounded(
+        contexts.selectExpr(
+            "player_tag", "unix_micros(latest_time) AS latest", "array_join(history[9].deck, ',') AS last_deck",
+            "history[0].changed_deck AS first_changed", "history[9].changed_deck AS last_changed",
+            *sequences.SUMMARY_SETS["current_deck_count"],
+        )
+    )
+
+
+@query
+def example_long(spark, folder):
+    """Listing of the first window of every participant, one line per contest."""
+    first = sequences.example_at(sequences.sequence_examples(clean_focal(spark, folder)), 0)
+    lines = sequences.example_long(first)
+    return rounded(
+        lines.select(
+            "example_id", "position", micros("battle_time").alias("at"), text("deck").alias("deck"),
+            text("levels").alias("levels"), *sequences.BATTLE_FEATURES,
+        )
+    )
+
+
+# --- splits, samples and orders ---------------------------------------------------------------
+
+
+@query
+def global_rank(spark, folder):
+    """Rank of every event by (value, id) over the whole table."""
+    return ranking.global_rank(fx.events(spark, folder).select("event_id", "value"), ["value", "event_id"]).select("event_id", "rank")
+
+
+@query
+def time_split(spark, folder):
+    battles = fx.season(spark, folder).select("battle_time", "a_tag", "b_tag", "a_won")
+    parts = assign.time_split(battles, ["battle_time", "a_tag", "b_tag"])
+    return parts.select(micros("battle_time").alias("at"), "a_tag", "position", "part")
+
+
+@query
+def player_split(spark, folder):
+    eligible = dedup.eligible_entities(dedup.clean_first(fx.parsed_log(spark, folder)))
+    return assign.player_split(eligible).select("tag", "split")
+
+
+def _examples_per_player(spark: SparkSession, folder: str) -> DataFrame:
+    clean = dedup.clean_first(fx.parsed_log(spark, folder))
+    split = assign.player_split(dedup.eligible_entities(clean))
+    sizes = sequences.window_counts(orient.focal_rows(clean)).selectExpr("player_tag AS tag", "windows AS examples")
+    return split.join(sizes.filter("examples > 0"), "tag").select("tag", "split", "examples")
+
+
+@query
+def player_folds(spark, folder):
+    return assign.player_folds(_examples_per_player(spark, folder))
+
+
+@query
+def stratified_cohort(spark, folder):
+    sample = assign.stratified_sample(_members(spark, folder), target=500, seed=11)
+    return sample.select("tag", "trophies", "band")
+
+
+@query
+def band_supply(spark, folder):
+    return cohort.band_supply(_members(spark, folder), target=500)
+
+
+@query
+def poll_order(spark, folder):
+    first = assign.poll_order(fx.cohort_state(spark, folder), limit=40)
+    return first.select("tag", micros("last_polled").alias("last_polled"), "n_polls")
+
+
+@query
+def hash_sample(spark, folder):
+    return assign.hash_sample(_members(spark, folder), "tag", 100, seed=5).select("tag", "trophies")
+
+
+@query
+def run_stats(spark, folder):
+    """Statistics of both runs of every week, some contests unusable, some types filtered."""
+    log = fx.parsed_log(spark, folder).withColumn("battle_key", F.expr("CASE WHEN a_crowns + b_crowns < 6 THEN battle_key END"))
+    stored = fx.parsed_log(spark, folder).filter("a_crowns = 0").select("battle_key").distinct()
+    return cohort.run_stats(log, stored, ["click", "view", "purchase", "error"])
+
+
+@query
+def poll_coverage(spark, folder):
+    """Pages of each event type's run: full, partial, first and failed polls."""
+    polls = fx.events(spark, folder).selectExpr(
+        "event_type AS run_id", "CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END AS n_polls",
+        "CASE WHEN k % 13 = 0 THEN NULL WHEN k < 80 THEN k % 30 ELSE 30 END AS returned",
+    )
+    return cohort.poll_coverage(polls)
+
+
+# --- example table, scaling, audits -----------------------------------------------------------
+
+
+def example_table(spark: SparkSession, folder: str) -> DataFrame:
+    return dataset.sequence_dataset(fx.parsed_log(spark, folder), fx.card_dimension(spark))
+
+
+NINE = sequences.SUMMARY_SETS["current_deck_count"]
+
+
+@query
+def example_audit(spark, folder):
+    return rounded(dataset.example_audit(example_table(spark, folder)))
+
+
+@query
+def cell_sample(spark, folder):
+    picked = assign.cell_sample(example_table(spark, folder), per_cell=5, seed=3)
+    return picked.select("example_id", "next_switch", "next_win")
+
+
+@query
+def level_scaling(spark, folder):
+    return rounded(scaling.fit(example_table(spark, folder), "level"))
+
+
+@query
+def battle_scaling(spark, folder):
+    return rounded(scaling.fit(example_table(spark, folder), "battle"))
+
+
+@query
+def summary_scaling(spark, folder):
+    return rounded(scaling.fit(example_table(spark, folder), "summary", NINE))
+
+
+@query
+def fold_scaling(spark, folder):
+    return rounded(scaling.fit_per_fold(example_table(spark, folder), "battle"))
+
+
+@query
+def scaled_examples(spark, folder):
+    """Summary columns standardised by the constants of the row's own fold."""
+    training = example_table(spark, folder).filter("split = 0")
+    fitted = {kind: scaling.fit_per_fold(training, kind, NINE) for kind in ("level", "battle", "summary")}
+    scaled = scaling.transform(training, fitted, NINE, fold=True)
+    return rounded(
+        scaled.selectExpr(
+            "example_id", "historical_switch_rate", "log1p_prior_battle_count", "history[3].trophies AS trophies",
+            "history[3].trophies_missing AS missing", "history[9].levels[0] AS level",
+        ),
+        5,
+    )
+
+
+@query
+def split_leaks(spark, folder):
+    """A planted leak: participants whose number ends in 7 appear in two splits."""
+    rows = fx.events(spark, folder).selectExpr(
+        "concat('U', user_id) AS player_tag",
+        "cast(CASE WHEN user_id % 10 = 7 THEN k % 2 ELSE user_id % 3 END AS int) AS split",
+        "cast(CASE WHEN user_id % 10 = 3 THEN k % 2 ELSE user_id % 5 END AS int) AS fold",
+    )
+    return quality.split_leaks(rows)
+
+
+@query
+def unknown_items(spark, folder):
+    return quality.unknown_items(melted_ladder(spark, folder), fx.card_dimension(spark, complete=False))
+
+
+@query
+def fold_rules(spark, folder):
+    """Rules on a table with planted faults."""
+    rows = fx.events(spark, folder).selectExpr(
+        "cast(user_id % 3 AS int) AS split",
+        "cast(CASE WHEN user_id % 3 <> 0 AND k <> 7 THEN 255 ELSE k % 6 END AS int) AS fold",
+        "CASE WHEN user_id % 3 = 0 AND k > 2 OR k = 50 THEN 0.5D END AS score",
+    )
+    return quality.fold_rules(rows, 5, "score")
+
+
+@query
+def history_violations(spark, folder):
+    """Both copies of every contest kept, some decks cut short, some results damaged."""
+    rows = orient.focal_rows(fx.parsed_log(spark, folder)).selectExpr(
+        "player_tag", "battle_key", "battle_time", "CASE WHEN crown_difference = 3 THEN 0 ELSE result END AS result",
+        "CASE WHEN trophies % 50 = 0 THEN slice(deck, 1, 7) ELSE deck END AS deck", "levels",
+    )
+    return quality.history_violations(rows)
+
+
+# --- metrics ----------------------------------------------------------------------------------
+
+
+@query
+def sigmoid(spark, folder):
+    logits = fx.events(spark, folder).selectExpr("event_id", "(k - 50) * 0.8D AS logit")
+    return rounded(logits.select("event_id", scalars.sigmoid("logit").alias("probability")))
+
+
+@query
+def binary_metrics(spark, folder):
+    return rounded(metrics.binary_metrics(fx.scored_rows(spark, folder), ["run"]))
+
+
+@query
+def roc_auc(spark, folder):
+    return rounded(metrics.ranking_metrics(fx.scored_rows(spark, folder), ["run"]).select("run", "roc_auc"))
+
+
+@query
+def average_precision(spark, folder):
+    return rounded(metrics.ranking_metrics(fx.scored_rows(spark, folder)).select("average_precision"))
+
+
+@query
+def calibration(spark, folder):
+    return rounded(metrics.calibration_table(fx.scored_rows(spark, folder)))
+
+
+@query
+def calibration_error(spark, folder):
+    return rounded(metrics.calibration_error(fx.scored_rows(spark, folder), ["run"]))
+
+
+@query
+def factual_metrics(spark, folder):
+    return rounded(metrics.factual_metrics(fx.scored_rows(spark, folder)))
+
+
+@query
+def propensity_coverage(spark, folder):
+    return rounded(metrics.propensity_coverage(fx.scored_rows(spark, folder)))
+
+
+@query
+def overlap_ess(spark, folder):
+    return rounded(metrics.overlap_diagnostics(fx.scored_rows(spark, folder)), 5)
+
+
+def _run_lines(spark: SparkSession, folder: str, action: int) -> DataFrame:
+    rows = fx.scored_rows(spark, folder).filter(F.col("action") == action)
+    wide = metrics.binary_metrics(rows, ["run"])
+    return metrics.long_metrics(wide, ["run"], ["log_loss", "brier_score", "accuracy"])
+
+
+@query
+def run_aggregate(spark, folder):
+    return rounded(metrics.run_aggregate(_run_lines(spark, folder, 0)))
+
+
+@query
+def run_compare(spark, folder):
+    left, right = (metrics.run_aggregate(_run_lines(spark, folder, a)) for a in (0, 1))
+    return rounded(metrics.run_compare(left, right))
+
+
+@query
+def variance_shares(spark, folder):
+    components = fx.events(spark, folder).selectExpr(
+        "cast(user_id % 17 AS double) AS skill", "k / 10D AS investment", "value / 7D AS deck", "sin(k) AS counters"
+    )
+    return rounded(metrics.variance_shares(components, ["skill", "investment", "deck", "counters"], "deck", "counters"))
+
+
+# --- models -----------------------------------------------------------------------------------
+
+
+@query
+def switch_scores(spark, folder):
+    """Switch propensity of every held-out example."""
+    examples = materialise(example_table(spark, folder))
+    fitted = models.fit_model(examples, NINE, models.item_words(fx.card_dimension(spark)))
+    return fitted.score(examples.filter("split <> 0")).select("example_id", "split", "next_switch", "score")
+
+
+@query
+def oof_scores(spark, folder):
+    """Headline metrics of the cross-fitted propensity."""
+    examples = materialise(example_table(spark, folder))
+    scores = models.cross_fitted_scores(examples, NINE, models.item_words(fx.card_dimension(spark)))
+    return metrics.full_metrics(materialise(scores), ["fold"])
+
+
+@query
+def oof_cover(spark, folder):
+    """Every training row scored exactly once, no other row."""
+    examples = materialise(example_table(spark, folder))
+    scores = models.cross_fitted_scores(examples, NINE, models.item_words(fx.card_dimension(spark)))
+    return models.oof_cover(examples, scores)
+
+
+@query
+def uplift(spark, folder):
+    """Win probability of each current context under stay and under switch."""
+    parsed, cards = fx.parsed_log(spark, folder), fx.card_dimension(spark)
+    examples = materialise(dataset.sequence_dataset(parsed, cards))
+    fitted = models.fit_outcome(examples, NINE, models.item_words(cards))
+    focal, _ = dataset.eligible_focal(parsed, cards, sequences.HISTORY)
+    contexts = sequences.prebattle_contexts(focal, continuity="all")
+    return models.compare_actions(fitted, contexts)
+
+
+@query
+def head_ablation(spark, folder):
+    examples = materialise(example_table(spark, folder))
+    return models.ablation(examples, NINE, models.item_words(fx.card_dimension(spark)))
+
+
+@query
+def permutation_importance(spark, folder):
+    examples = materialise(example_table(spark, folder))
+    fitted = models.fit_model(examples, NINE, models.item_words(fx.card_dimension(spark)))
+    return models.permutation_importance(fitted, examples, NINE)
+
+
+@query
+def matchup_scores(spark, folder):
+    """Antisymmetric matchup probabilities with the logit of each block."""
+    words = dimension.vocabulary(fx.card_dimension(spark))
+    scored, _, _ = models.matchup_scores(fx.season(spark, folder), words, fx.CARD_COUNT, player_buckets=4096)
+    return scored.select(micros("battle_time").alias("at"), "a_tag", "b_tag", "part", "score", *models.BLOCKS)

@@ -19,13 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with an instant (not zone-less) time and the parsed ``k``."""
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events").selectExpr(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "cast(ts AS timestamp) AS ts",
         "user_id",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        "cast(get_json_object(props, '$.k') AS int) AS k",
     )
 
 
@@ -33,106 +33,93 @@ def user_tag(user: Column) -> Column:
     return F.concat(F.lit("U"), F.lpad(user.cast("string"), 9, "0"))
 
 
-def _variant(k: Column) -> Column:
-    return F.when(k % 4 == 0, 1 + k % 3).otherwise(0)
-
-
-def _side_columns(prefix: str) -> dict[str, Column]:
-    """Side fields of the event whose raw columns carry ``prefix``."""
-    user, k = F.col(f"{prefix}user_id"), F.col(f"{prefix}k")
-    base = user * 7 + 3 * _variant(k)
+def _side_columns(prefix: str) -> dict[str, str]:
+    """SQL of the side fields of the event whose raw columns carry ``prefix``."""
+    user, k, value, kind = (f"{prefix}{c}" for c in ("user_id", "k", "value", "event_type"))
+    base = f"({user} * 7 + 3 * CASE WHEN {k} % 4 = 0 THEN 1 + {k} % 3 ELSE 0 END)"
+    cards = ", ".join(f"cast({FIRST_CARD} + ({base} + {i}) % {CARD_COUNT} AS int)" for i in NUMBERED)
+    levels = ", ".join(f"cast(1 + ({k} + {3 * i} + {user}) % 13 AS int)" for i in NUMBERED)
     return {
-        "tag": user_tag(user),
-        "cards": F.array(*[(FIRST_CARD + (base + i) % CARD_COUNT).cast("int") for i in NUMBERED]),
-        "levels": F.array(*[(1 + (k + 3 * i + user) % 13).cast("int") for i in NUMBERED]),
-        "crowns": (F.floor(f"{prefix}value") % 4).cast("int"),
-        "trophies": F.when(F.col(f"{prefix}event_type") != "error", (user * 97 + k * 5) % 8000).cast("int"),
-        "king_hp": F.when(k % 10 != 0, 1000 + k).cast("int"),
-        "clan": F.when(k % 7 != 0, F.concat(F.lit("C"), (user % 20).cast("string"))),
+        "tag": f"concat('U', lpad(cast({user} AS string), 9, '0'))",
+        "cards": f"array({cards})",
+        "levels": f"array({levels})",
+        "crowns": f"cast(floor({value}) % 4 AS int)",
+        "trophies": f"CASE WHEN {kind} <> 'error' THEN cast(({user} * 97 + {k} * 5) % 8000 AS int) END",
+        "king_hp": f"CASE WHEN {k} % 10 <> 0 THEN 1000 + {k} END",
+        "clan": f"CASE WHEN {k} % 7 <> 0 THEN concat('C', cast({user} % 20 AS string)) END",
     }
 
 
-def mode_of(event_type: Column) -> Column:
-    pairs = [F.lit(x) for pair in MODES.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), event_type)
+def mode_sql(kind: str) -> str:
+    return f"CASE {kind} " + " ".join(f"WHEN '{name}' THEN {mode}" for name, mode in MODES.items()) + " END"
 
 
 def battles(spark: SparkSession, folder: str) -> DataFrame:
     """Even events meet the following odd one; raw columns are joined, arrays built afterwards."""
     source = events(spark, folder)
-    raw = ["ts", "user_id", "event_type", "value", "k"]
+    raw = ("ts", "user_id", "event_type", "value", "k")
 
     def half(parity: int, prefix: str) -> DataFrame:
-        picked = source.filter(F.col("event_id") % 2 == parity)
-        return picked.select(F.floor(F.col("event_id") / 2).alias("bid"), *[F.col(c).alias(f"{prefix}{c}") for c in raw])
+        picked = source.filter(f"event_id % 2 = {parity}")
+        return picked.selectExpr("event_id DIV 2 AS bid", *[f"{c} AS {prefix}{c}" for c in raw])
 
-    pairs = half(0, "h_").join(half(1, "w_"), "bid").filter(F.col("h_user_id") != F.col("w_user_id"))
+    pairs = half(0, "h_").join(half(1, "w_"), "bid").filter("h_user_id <> w_user_id")
     sides = [
-        column.alias(f"{side}_{name}")
+        f"{expr} AS {side}_{name}"
         for side, prefix in (("home", "h_"), ("away", "w_"))
-        for name, column in _side_columns(prefix).items()
+        for name, expr in _side_columns(prefix).items()
     ]
-    return pairs.select(
+    return pairs.selectExpr(
         "bid",
-        F.col("h_ts").alias("battle_time"),
-        (F.date_trunc("week", "h_ts") + F.expr("INTERVAL 7 DAYS")).alias("collected_at"),
-        F.to_date("h_ts").alias("day"),
-        F.col("h_event_type").alias("type"),
-        mode_of(F.col("h_event_type")).alias("game_mode"),
+        "h_ts AS battle_time",
+        "date_trunc('week', h_ts) + INTERVAL 7 DAYS AS collected_at",
+        "to_date(h_ts) AS day",
+        "h_event_type AS type",
+        f"{mode_sql('h_event_type')} AS game_mode",
         *sides,
     )
 
 
-def _player(side: str) -> Column:
-    """One player of a raw contest, in the nested layout of the source logs."""
-    field = lambda name: F.col(f"{side}_{name}")
-    card = lambda c, i: F.struct(
-        c.alias("id"),
-        F.get(field("levels"), i).alias("level"),
-        F.when(i < 2, F.lit(1)).alias("evolutionLevel"),
-    )
-    return F.struct(
-        field("tag").alias("tag"),
-        F.concat(F.lit("name-"), field("tag")).alias("name"),
-        F.when(field("clan").isNotNull(), F.struct(field("clan").alias("tag"))).alias("clan"),
-        field("crowns").alias("crowns"),
-        field("king_hp").alias("kingTowerHitPoints"),
-        F.array(field("crowns") * 100, field("crowns") * 50).alias("princessTowersHitPoints"),
-        field("trophies").alias("startingTrophies"),
-        (field("crowns") * 10 - 15).alias("trophyChange"),
-        F.lit(None).cast("int").alias("globalRank"),
-        (field("crowns") * 0.5).cast("double").alias("elixirLeaked"),
-        F.transform(field("cards"), card).alias("cards"),
-        F.array(F.struct((F.lit(159_000_000) + field("crowns")).cast("int").alias("id"))).alias("supportCards"),
-    )
+def _player(side: str) -> str:
+    """SQL of one player of a raw contest, in the nested layout of the source logs."""
+    card = f"(c, i) -> named_struct('id', c, 'level', {side}_levels[i], 'evolutionLevel', CASE WHEN i < 2 THEN 1 END)"
+    return f"""array(named_struct(
+        'tag', {side}_tag,
+        'name', concat('name-', {side}_tag),
+        'clan', CASE WHEN {side}_clan IS NOT NULL THEN named_struct('tag', {side}_clan) END,
+        'crowns', {side}_crowns,
+        'kingTowerHitPoints', {side}_king_hp,
+        'princessTowersHitPoints', array({side}_crowns * 100, {side}_crowns * 50),
+        'startingTrophies', {side}_trophies,
+        'trophyChange', {side}_crowns * 10 - 15,
+        'globalRank', cast(NULL AS int),
+        'elixirLeaked', cast({side}_crowns * 0.5D AS double),
+        'cards', transform({side}_cards, {card}),
+        'supportCards', array(named_struct('id', 159000000 + {side}_crowns))))"""
 
 
 def raw_log(spark: SparkSession, folder: str) -> DataFrame:
     """The live log: every contest twice, once from each participant's page."""
-    base = battles(spark, folder).select(
-        F.date_format("battle_time", "yyyyMMdd'T'HHmmss.SSS'Z'").alias("battleTime"),
+    base = battles(spark, folder).selectExpr(
+        "date_format(battle_time, \"yyyyMMdd'T'HHmmss.SSS'Z'\") AS battleTime",
         "type",
-        F.struct(F.col("game_mode").cast("string").alias("name")).alias("gameMode"),
-        F.struct(F.lit("arena").alias("name")).alias("arena"),
-        F.lit("collection").alias("deckSelection"),
-        F.lit(False).alias("isLadderTournament"),
-        F.lit(False).alias("isHostedMatch"),
-        F.lit(None).cast("int").alias("leagueNumber"),
-        F.lit(None).cast("string").alias("eventTag"),
+        "named_struct('name', cast(game_mode AS string)) AS gameMode",
+        "named_struct('name', 'arena') AS arena",
+        "'collection' AS deckSelection",
+        "false AS isLadderTournament",
+        "false AS isHostedMatch",
+        "cast(NULL AS int) AS leagueNumber",
+        "cast(NULL AS string) AS eventTag",
         "collected_at",
-        F.date_format("collected_at", "yyyyMMdd").alias("__run"),
-        F.array(_player("home")).alias("__home"),
-        F.array(_player("away")).alias("__away"),
-    )
-    page = lambda team, opponent, suffix: F.struct(
-        F.col(team).alias("team"),
-        F.col(opponent).alias("opponent"),
-        F.concat(F.col("__run"), F.lit(suffix)).alias("run_id"),
+        f"{_player('home')} AS home",
+        f"{_player('away')} AS away",
     )
-    return (
-        base.withColumn("__page", F.explode(F.array(page("__home", "__away", "-a"), page("__away", "__home", "-b"))))
-        .select("*", "__page.*")
-        .drop("__page", "__run", "__home", "__away")
+    pages = """inline(array(
+        named_struct('team', home, 'opponent', away, 'suffix', '-a'),
+        named_struct('team', away, 'opponent', home, 'suffix', '-b')))"""
+    kept = [c for c in base.columns if c not in ("home", "away")]
+    return base.selectExpr(*kept, pages).selectExpr(
+        *kept, "team", "opponent", "concat(date_format(collected_at, 'yyyyMMdd'), suffix) AS run_id"
     )
 
 
@@ -150,20 +137,18 @@ def parsed_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def season_source(spark: SparkSession, folder: str) -> DataFrame:
     """Decided contests in winner/loser layout; ``day`` stands for the daily source file."""
-    decided = battles(spark, folder).filter(F.col("home_crowns") != F.col("away_crowns"))
-    home_won = F.col("home_crowns") > F.col("away_crowns")
     columns = []
     for field in orient.SEASON_FIELDS:
-        home, away = F.col(f"home_{field}"), F.col(f"away_{field}")
+        home, away = f"home_{field}", f"away_{field}"
         if field == "trophies":
-            home, away = F.coalesce(home, F.lit(0)), F.coalesce(away, F.lit(0))
-        columns.append(F.when(home_won, home).otherwise(away).alias(f"winner_{field}"))
-        columns.append(F.when(home_won, away).otherwise(home).alias(f"loser_{field}"))
-    return decided.select(
+            home, away = f"coalesce({home}, 0)", f"coalesce({away}, 0)"
+        columns.append(f"CASE WHEN home_crowns > away_crowns THEN {home} ELSE {away} END AS winner_{field}")
+        columns.append(f"CASE WHEN home_crowns > away_crowns THEN {away} ELSE {home} END AS loser_{field}")
+    return battles(spark, folder).filter("home_crowns <> away_crowns").selectExpr(
         "day",
-        F.date_format("battle_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("battleTime"),
+        "date_format(battle_time, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS battleTime",
         "game_mode",
-        F.lit(54_000_000).alias("arena"),
+        "54000000 AS arena",
         *columns,
     )
 
@@ -174,35 +159,33 @@ def season(spark: SparkSession, folder: str) -> DataFrame:
 
 def card_dimension(spark: SparkSession, complete: bool = True) -> DataFrame:
     """Card ids and rarities; the incomplete copy misses two cards."""
-    names = F.array(*[F.lit(r) for r in RARITIES])
-    cards = spark.range(FIRST_CARD, FIRST_CARD + CARD_COUNT).select(
-        F.col("id").cast("int").alias("id"), F.get(names, (F.col("id") % 5).cast("int")).alias("rarity")
+    names = ", ".join(f"'{r}'" for r in RARITIES)
+    cards = spark.range(FIRST_CARD, FIRST_CARD + CARD_COUNT).selectExpr(
+        "cast(id AS int) AS id", f"array({names})[cast(id % 5 AS int)] AS rarity"
     )
-    return cards if complete else cards.filter(F.col("id") % 51 != 50)
+    return cards if complete else cards.filter("id % 51 <> 50")
 
 
 def cohort_state(spark: SparkSession, folder: str) -> DataFrame:
     """One row per user with polling counters derived from the events."""
     per_user = events(spark, folder).groupBy("user_id").agg(
-        F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("bad")
+        F.max("ts").alias("last"), F.expr("count(*) AS n"), F.expr("count_if(event_type = 'error') AS bad")
     )
-    never = F.col("user_id") % 5 == 0
-    return per_user.select(
-        user_tag(F.col("user_id")).alias("tag"),
-        F.when(~never, F.col("last")).alias("last_polled"),
-        F.when(never, 0).otherwise(F.col("n")).cast("bigint").alias("n_polls"),
-        (F.col("n") * 2).alias("n_battles"),
-        F.col("bad").alias("n_fail"),
+    return per_user.selectExpr(
+        "concat('U', lpad(cast(user_id AS string), 9, '0')) AS tag",
+        "CASE WHEN user_id % 5 <> 0 THEN last END AS last_polled",
+        "CASE WHEN user_id % 5 = 0 THEN 0L ELSE n END AS n_polls",
+        "n * 2 AS n_battles",
+        "bad AS n_fail",
     )
 
 
 def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with a score, a label and an observed action, for the metric operators."""
-    source = events(spark, folder)
-    return source.select(
+    return events(spark, folder).selectExpr(
         "event_id",
-        (F.col("user_id") % 3).cast("int").alias("run"),
-        ((F.col("k") + 1) / 101.0).alias("score"),
-        F.col("event_type").isin("purchase", "click").cast("int").alias("label"),
-        (_variant(F.col("k")) > 0).cast("int").alias("action"),
+        "cast(user_id % 3 AS int) AS run",
+        "(k + 1) / 101.0D AS score",
+        "cast(event_type IN ('purchase', 'click') AS int) AS label",
+        "cast(k % 4 = 0 AS int) AS action",
     )

@@ -287,3 +287,328 @@ sql("period_compare", """
   FROM marked GROUP BY 1), long AS (UNPIVOT lines ON battles, mean_card_level, mean_trophies, distinct_first_cards INTO NAME metric VALUE value)
 SELECT metric, round(max(value) FILTER (final), 6) AS selected, round(max(value) FILTER (NOT final), 6) AS rest,
   round(max(value) FILTER (final) - max(value) FILTER (NOT final), 6) AS difference FROM long GROUP BY 1""")
+
+_SEQ = """, numbered AS (
+  SELECT *, row_number() OVER o AS seq, lag(deck) OVER o AS pdeck, lag(result) OVER o AS presult,
+    lag(battle_time) OVER o AS ptime,
+    CASE WHEN count(collected_at) OVER c = 11 AND min(collected_at) OVER c = max(collected_at) OVER c THEN 1 ELSE 0 END AS whole
+  FROM focal WINDOW o AS (PARTITION BY player_tag ORDER BY battle_time, battle_key),
+    c AS (PARTITION BY player_tag ORDER BY battle_time, battle_key ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)
+), stepped AS (
+  SELECT *, CASE WHEN pdeck IS NOT NULL AND pdeck <> deck THEN 1 ELSE 0 END AS changed,
+    CASE WHEN pdeck IS NULL THEN 0.0 ELSE 1 - len(list_intersect(deck, pdeck)) / len(list_distinct(list_concat(deck, pdeck))) END AS mag,
+    CASE WHEN ptime IS NULL THEN 0.0 ELSE ln(1 + (epoch_us(battle_time) - epoch_us(ptime)) / 3600000000.0) END AS gap
+  FROM numbered
+), upto AS (
+  SELECT t.player_tag, t.seq, count(*) AS n, sum(p.changed) AS sw, count(*) FILTER (p.presult = -1) AS ln_,
+    sum(p.changed) FILTER (p.presult = -1) AS ls, count(*) FILTER (p.presult = 1) AS wn,
+    sum(p.changed) FILTER (p.presult = 1) AS ws, sum(p.mag) FILTER (p.changed = 1) AS ms,
+    t.seq - max(p.seq) FILTER (p.changed = 1 OR p.seq = 1) + 1 AS tenure,
+    count(*) FILTER (p.deck = t.deck) AS deck_n
+  FROM stepped t JOIN stepped p ON t.player_tag = p.player_tag AND p.seq <= t.seq GROUP BY t.player_tag, t.seq, t.deck
+), nine AS (
+  SELECT player_tag, seq, CASE WHEN n > 1 THEN sw / (n - 1) END AS historical_switch_rate,
+    CASE WHEN ln_ > 0 THEN ls / ln_ END AS post_loss_switch_rate, CASE WHEN wn > 0 THEN ws / wn END AS post_win_switch_rate,
+    CASE WHEN sw > 0 THEN ms / sw END AS mean_switch_magnitude, ln(1.0 + tenure) AS log1p_current_deck_tenure,
+    ln(1.0 + n) AS log1p_prior_battle_count, ln(1.0 + ln_) AS log1p_post_loss_opportunities,
+    ln(1.0 + wn) AS log1p_post_win_opportunities, ln(1.0 + deck_n) AS log1p_current_deck_battle_count
+  FROM upto
+), example AS (
+  SELECT t.player_tag || '|' || t.battle_key AS example_id, t.player_tag, t.battle_key, t.battle_time AS target_time,
+    t.deck AS target_deck, t.changed AS next_switch, CASE WHEN t.result = 1 THEN 1 ELSE 0 END AS next_win, t.seq, t.whole,
+    s.* EXCLUDE (player_tag, seq)
+  FROM stepped t JOIN nine s ON s.player_tag = t.player_tag AND s.seq = t.seq - 1 WHERE t.seq > 10
+), line AS (
+  SELECT e.example_id, e.whole, e.seq AS target_seq, h.seq - e.seq + 11 AS position, h.battle_time, h.deck, h.levels, h.result,
+    h.crown_difference, CASE WHEN h.seq = e.seq - 10 THEN 0 ELSE h.changed END AS changed_deck,
+    CASE WHEN h.seq = e.seq - 10 THEN 0 ELSE h.mag END AS switch_magnitude,
+    CASE WHEN h.seq = e.seq - 10 THEN 0 ELSE h.gap END AS log1p_time_gap_hours, h.trophies
+  FROM example e JOIN stepped h ON h.player_tag = e.player_tag AND h.seq BETWEEN e.seq - 10 AND e.seq - 1
+), eligible AS (
+  SELECT player_tag AS tag, count(*) AS battles FROM focal GROUP BY 1 HAVING count(*) >= 11
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY md5('20260910|' || tag), tag) - 1 AS place, count(*) OVER () AS total FROM eligible
+), split AS (
+  SELECT tag, CASE WHEN place < floor(0.7 * total) THEN 0 WHEN place < floor(0.85 * total) THEN 1 ELSE 2 END AS split FROM ordered
+), sized AS (
+  SELECT tag, split, count(*) AS examples FROM example JOIN split ON tag = player_tag GROUP BY 1, 2
+), dealt AS (
+  SELECT *, (row_number() OVER (ORDER BY examples DESC, md5('20260913|' || tag), tag) - 1) % 10 AS m FROM sized WHERE split = 0
+), folds AS (
+  SELECT tag, split, examples, CASE WHEN m < 5 THEN m ELSE 9 - m END AS fold FROM dealt
+  UNION ALL SELECT tag, split, examples, 255 FROM sized WHERE split <> 0
+), placed AS (
+  SELECT e.*, f.split, f.fold FROM example e JOIN folds f ON f.tag = e.player_tag
+), shown AS (
+  SELECT l.*, p.split, p.fold, [levels[i] + [0, 2, 5, 8, 10][1 + deck[i] % 5] FOR i IN range(1, 9)] AS displayed
+  FROM line l JOIN placed p USING (example_id)
+), scored AS (
+  SELECT event_id, user_id % 3 AS run, (k + 1) / 101.0::DOUBLE AS score,
+    CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END AS label, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS action
+  FROM ev
+), member AS (
+  SELECT 'M' || c_custkey AS tag, CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) AS trophies,
+    CAST(least(4, floor(floor(greatest(c_acctbal, 0)) * 5.0 / 14000.0)) AS INTEGER) AS band FROM customer
+), both_decks AS (
+  SELECT a.cards AS deck FROM ladder UNION ALL SELECT b.cards FROM ladder
+), pair AS (
+  SELECT x AS card_i, y AS card_j, count(*) AS n FROM (
+    SELECT x, unnest(deck) AS y FROM (SELECT deck, unnest(deck) AS x FROM both_decks)) WHERE x <> y GROUP BY 1, 2
+), marginal AS (SELECT card_i AS card, sum(n) AS n FROM pair GROUP BY 1), pmi AS (
+  SELECT p.card_i, p.card_j, p.n, ln(p.n * (SELECT sum(n) FROM pair)::DOUBLE / (a.n::DOUBLE * b.n)) AS pmi
+  FROM pair p JOIN marginal a ON a.card = p.card_i JOIN marginal b ON b.card = p.card_j
+)"""
+
+
+def seq(name: str, body: str) -> None:
+    ORACLES[name] = f"{_BASE}{_SEQ}\n{body.strip()}"
+
+
+def _rounds(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+
+
+_BASE_NAMES = (
+    "historical_switch_rate", "post_loss_switch_rate", "post_win_switch_rate", "mean_switch_magnitude",
+    "log1p_current_deck_tenure", "log1p_prior_battle_count", "log1p_post_loss_opportunities",
+    "log1p_post_win_opportunities",
+)
+_NINE_NAMES = (*_BASE_NAMES, "log1p_current_deck_battle_count")
+_CONTINUOUS = ("crown_difference", "switch_magnitude", "log1p_time_gap_hours", "trophies")
+
+seq("displayed_levels", """
+SELECT battle_key, player_tag,
+  array_to_string([levels[i] + [0, 2, 5, 8, 10][1 + deck[i] % 5] FOR i IN range(1, 9)], ',') AS displayed FROM focal""")
+seq("vocab_encode", """
+, words AS (SELECT id, row_number() OVER (ORDER BY id) AS idx FROM card WHERE id % 51 <> 50), coded AS (
+  SELECT battle_key, player_tag, c, coalesce(idx, 0) AS idx
+  FROM (SELECT battle_key, player_tag, unnest(deck) AS c FROM focal) LEFT JOIN words ON id = c)
+SELECT battle_key, player_tag, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY c) AS idx FROM coded GROUP BY 1, 2""")
+seq("entity_index", """
+SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS idx FROM (SELECT a.tag AS tag FROM season UNION SELECT b.tag FROM season)""")
+seq("deck_key", """
+SELECT CAST(sum((deck[i] - 26000000)::BIGINT * (1::BIGINT << (7 * (i - 1)))) AS BIGINT) AS deck_key,
+  array_to_string(deck, ',') AS deck, uses
+FROM (SELECT deck, count(*) AS uses FROM melted GROUP BY 1), unnest(range(1, 9)) r(i) GROUP BY deck, uses""")
+seq("jaccard", """
+SELECT epoch_us(battle_time) AS at, a.tag AS a_tag, b.tag AS b_tag,
+  round(1 - len(list_intersect(a.cards, b.cards)) / len(list_distinct(list_concat(a.cards, b.cards))), 6) AS distance FROM season""")
+seq("item_universe", "SELECT unnest(a.cards) AS card FROM season UNION SELECT unnest(b.cards) FROM season")
+seq("cooccurrence", "SELECT * FROM pair")
+seq("pmi", "SELECT card_i, card_j, n, round(pmi, 6) AS pmi FROM pmi")
+seq("sign_checks", """
+, expected AS (
+  SELECT id AS card_i, CAST(26000000 + (id - 26000000 + 1) % 102 AS INTEGER) AS card_j, 'positive' AS sign FROM card
+  UNION ALL SELECT id, CAST(26000000 + (id - 26000000 + 13) % 102 AS INTEGER), 'negative' FROM card)
+SELECT e.card_i, e.card_j, sign, round(coalesce(pmi, 0), 6) AS pmi,
+  CASE WHEN sign = CASE WHEN coalesce(pmi, 0) < 0 THEN 'negative' ELSE 'positive' END THEN 'PASS' ELSE 'FAIL' END AS verdict
+FROM expected e LEFT JOIN pmi p ON p.card_i = e.card_i AND p.card_j = e.card_j""")
+seq("deck_vectors", """
+SELECT array_to_string(deck, ',') AS deck, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS d0,
+  round(sum(CAST(embedding[32] AS DOUBLE)), 6) AS d31, round(sum(CAST(embedding[64] AS DOUBLE)), 6) AS d63
+FROM (SELECT DISTINCT deck FROM melted) m, unnest(m.deck) u(c) JOIN embeddings ON vec_id = c - 26000000 GROUP BY deck""")
+seq("difference_long", """
+SELECT "at", a_tag, card, CAST(sum(v) AS INTEGER) AS value FROM (
+  SELECT epoch_us(battle_time) AS "at", a.tag AS a_tag, unnest(a.cards) AS card, 1 AS v FROM season
+  UNION ALL SELECT epoch_us(battle_time), a.tag, unnest(b.cards), -1 FROM season) GROUP BY 1, 2, 3 HAVING sum(v) <> 0""")
+seq("nearest_items", """
+, asked AS (SELECT min(vec_id) AS q FROM embeddings GROUP BY label), scores AS (
+  SELECT q AS query, v.vec_id AS item,
+    list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) AS similarity
+  FROM asked JOIN embeddings w ON w.vec_id = q JOIN embeddings v ON v.vec_id <> q)
+SELECT query, item, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank
+FROM scores QUALIFY rank <= 6""")
+seq("sequence_windows", """
+SELECT e.example_id, e.seq - 11 AS window_start, count(*) AS length, epoch_us(min(l.battle_time)) AS starts,
+  epoch_us(e.target_time) AS target_at, max(CASE WHEN l.position = 10 THEN array_to_string(l.deck, ',') END) AS last_deck
+FROM example e JOIN line l USING (example_id) GROUP BY e.example_id, e.seq, e.target_time""")
+seq("windows_continuous", "SELECT example_id, seq - 11 AS window_start, next_switch, next_win FROM example WHERE whole = 1")
+seq("window_counts", """
+SELECT player_tag, greatest(count(*) - 10, 0) AS windows, CAST(sum(whole) AS BIGINT) AS continuous FROM stepped GROUP BY 1""")
+seq("sequence_features", f"""
+SELECT example_id, position, result, crown_difference, changed_deck, {_rounds('switch_magnitude', 'log1p_time_gap_hours')}, trophies
+FROM line WHERE whole = 1""")
+seq("prefix_summary", f"SELECT example_id, {_rounds(*_BASE_NAMES)} FROM example")
+seq("deck_tenure", "SELECT player_tag, battle_key, tenure FROM upto JOIN stepped USING (player_tag, seq)")
+seq("deck_lifetime", "SELECT player_tag, battle_key, deck_n FROM upto JOIN stepped USING (player_tag, seq)")
+seq("sequence_targets", """
+SELECT example_id, array_to_string(target_deck, ',') AS target_deck, next_switch, next_win FROM example""")
+seq("window_at", "SELECT example_id, player_tag, next_switch, next_win FROM example WHERE seq = 14")
+seq("prebattle_context", f"""
+, last AS (SELECT *, max(seq) OVER (PARTITION BY player_tag) AS top FROM stepped)
+SELECT l.player_tag, epoch_us(l.battle_time) AS latest, array_to_string(l.deck, ',') AS last_deck, 0 AS first_changed,
+  l.changed AS last_changed, {_rounds(*_NINE_NAMES)}
+FROM last l JOIN nine s ON s.player_tag = l.player_tag AND s.seq = l.seq WHERE l.seq = l.top AND l.seq >= 10""")
+seq("example_long", f"""
+SELECT example_id, position, epoch_us(battle_time) AS at, array_to_string(deck, ',') AS deck,
+  array_to_string(levels, ',') AS levels, result, crown_difference, changed_deck,
+  {_rounds('switch_magnitude', 'log1p_time_gap_hours')}, trophies FROM line WHERE target_seq = 11""")
+seq("global_rank", "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events")
+seq("time_split", """
+SELECT epoch_us(battle_time) AS at, a.tag AS a_tag, row_number() OVER (ORDER BY battle_time, a.tag, b.tag) AS position,
+  CASE WHEN row_number() OVER (ORDER BY battle_time, a.tag, b.tag) <= floor(0.75 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part
+FROM season""")
+seq("player_split", "SELECT tag, split FROM split")
+seq("player_folds", "SELECT tag, split, examples, fold FROM folds")
+seq("stratified_cohort", """
+SELECT tag, trophies, band FROM member QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5('11|' || tag), tag) <= 100""")
+seq("band_supply", """
+, supply AS (
+  SELECT b AS band, CAST(CAST(b * 2800 AS INTEGER) AS VARCHAR) || '-' || CAST(CAST((b + 1) * 2800 AS INTEGER) AS VARCHAR) AS label,
+    count(tag) AS available, least(count(tag), 100) AS taken FROM range(5) r(b) LEFT JOIN member ON band = b GROUP BY b)
+SELECT *, (SELECT max(taken) FROM supply) - taken AS shortfall, (SELECT min(available) FROM supply) * 5 AS balanced_ceiling FROM supply""")
+seq("poll_order", """
+SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS tag, epoch_us(CASE WHEN user_id % 5 <> 0 THEN max(ts) END) AS last_polled,
+  CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) END AS n_polls
+FROM ev GROUP BY user_id ORDER BY CASE WHEN user_id % 5 <> 0 THEN max(ts) END NULLS FIRST, user_id LIMIT 40""")
+seq("hash_sample", "SELECT tag, trophies FROM member ORDER BY md5('5|' || tag), tag LIMIT 100")
+seq("run_stats", """
+, log AS (
+  SELECT *, type <> 'signup' AS wanted, CASE WHEN a.crowns + b.crowns < 6 THEN battle_key END AS k FROM parsed
+), win AS (
+  SELECT run_id, type, clean FROM (SELECT * FROM log WHERE wanted AND k IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY collected_at, run_id, type) = 1)
+  WHERE k NOT IN (SELECT battle_key FROM parsed WHERE a.crowns = 0))
+SELECT s.*, coalesce(w.new, 0) AS new, coalesce(w.clean, 0) AS clean,
+  seen - filtered - unparseable - coalesce(w.new, 0) AS duplicate
+FROM (SELECT run_id, type, count(*) AS seen, count(*) FILTER (NOT wanted) AS filtered,
+    count(*) FILTER (wanted AND k IS NULL) AS unparseable FROM log GROUP BY 1, 2) s
+LEFT JOIN (SELECT run_id, type, count(*) AS new, count(*) FILTER (clean) AS clean FROM win GROUP BY 1, 2) w
+  ON w.run_id = s.run_id AND w.type = s.type""")
+seq("poll_coverage", """
+, polls AS (
+  SELECT event_type AS run_id, user_id % 5 = 0 AS first_one,
+    CASE WHEN k % 13 = 0 THEN NULL WHEN k < 80 THEN k % 30 ELSE 30 END AS returned FROM ev)
+SELECT run_id, count(*) FILTER (returned IS NULL) AS failed, count(*) FILTER (returned IS NOT NULL AND first_one) AS first_polls,
+  count(*) FILTER (NOT first_one AND returned >= 30) AS full_pages, count(*) FILTER (NOT first_one AND returned < 30) AS partial_pages,
+  count(*) FILTER (NOT first_one AND returned >= 30) > 0.1 * count(*) FILTER (NOT first_one AND returned IS NOT NULL) AS poll_more_often
+FROM polls GROUP BY 1""")
+seq("example_audit", """
+SELECT 'split' AS level, split AS id, count(DISTINCT player_tag) AS players, count(*) AS examples,
+  round(avg(next_switch), 6) AS switch_rate, round(avg(next_win), 6) AS win_rate FROM placed GROUP BY split
+UNION ALL
+SELECT 'fold', fold, count(DISTINCT player_tag), count(*), round(avg(next_switch), 6), round(avg(next_win), 6)
+FROM placed WHERE fold <> 255 GROUP BY fold""")
+seq("cell_sample", """
+, one AS (SELECT * FROM placed WHERE split = 0
+  QUALIFY row_number() OVER (PARTITION BY player_tag ORDER BY md5('3|' || example_id), example_id) = 1)
+SELECT example_id, next_switch, next_win FROM one
+QUALIFY row_number() OVER (PARTITION BY next_switch, next_win ORDER BY md5('3|' || example_id), example_id) <= 5""")
+seq("level_scaling", """
+SELECT 'level' AS feature, count(*) AS n, round(avg(l), 6) AS mean, round(stddev_pop(l), 6) AS sd
+FROM (SELECT unnest(displayed) AS l FROM shown WHERE split = 0)""")
+seq("battle_scaling", "\nUNION ALL\n".join(f"""
+SELECT '{f}' AS feature, count({f}) AS n, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS sd FROM shown WHERE split = 0"""
+    for f in _CONTINUOUS))
+seq("summary_scaling", "\nUNION ALL\n".join(f"""
+SELECT '{f}' AS feature, count({f}) AS n, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS sd FROM placed WHERE split = 0"""
+    for f in _NINE_NAMES))
+seq("fold_scaling", "\nUNION ALL\n".join(f"""
+SELECT g AS fold, '{f}' AS feature, count({f}) AS n, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS sd
+FROM range(5) r(g) JOIN shown ON fold <> g WHERE split = 0 GROUP BY g""" for f in _CONTINUOUS))
+seq("scaled_examples", """
+, sc AS (
+  SELECT g, avg(historical_switch_rate) AS m1, stddev_pop(historical_switch_rate) AS s1, avg(log1p_prior_battle_count) AS m2,
+    stddev_pop(log1p_prior_battle_count) AS s2 FROM range(5) r(g) JOIN placed ON fold <> g WHERE split = 0 GROUP BY g
+), tc AS (SELECT g, avg(trophies) AS m, stddev_pop(trophies) AS s FROM range(5) r(g) JOIN shown ON fold <> g WHERE split = 0 GROUP BY g
+), lc AS (SELECT g, avg(l) AS m, stddev_pop(l) AS s FROM (
+    SELECT g, unnest(displayed) AS l FROM range(5) r(g) JOIN shown ON fold <> g WHERE split = 0) GROUP BY g)
+SELECT p.example_id, round(coalesce((p.historical_switch_rate - sc.m1) / sc.s1, 0), 5) AS historical_switch_rate,
+  round((p.log1p_prior_battle_count - sc.m2) / sc.s2, 5) AS log1p_prior_battle_count,
+  round(coalesce((h.trophies - tc.m) / tc.s, 0), 5) AS trophies, CAST(h.trophies IS NULL AS DOUBLE) AS missing,
+  round((z.displayed[1] - lc.m) / lc.s, 5) AS level
+FROM placed p JOIN sc ON sc.g = p.fold JOIN tc ON tc.g = p.fold JOIN lc ON lc.g = p.fold
+JOIN shown h ON h.example_id = p.example_id AND h.position = 4 JOIN shown z ON z.example_id = p.example_id AND z.position = 10
+WHERE p.split = 0""")
+seq("split_leaks", """
+, t AS (SELECT 'U' || user_id AS player_tag, CASE WHEN user_id % 10 = 7 THEN k % 2 ELSE user_id % 3 END AS split,
+  CASE WHEN user_id % 10 = 3 THEN k % 2 ELSE user_id % 5 END AS fold FROM ev)
+SELECT player_tag, count(DISTINCT split) AS splits, count(DISTINCT fold) FILTER (split = 0) AS folds FROM t GROUP BY 1
+HAVING count(DISTINCT split) > 1 OR count(DISTINCT fold) FILTER (split = 0) > 1""")
+seq("unknown_items", """
+SELECT c AS card, count(*) AS observations FROM (SELECT unnest(deck) AS c FROM melted) WHERE c % 51 = 50 GROUP BY 1""")
+seq("fold_rules", """
+, t AS (SELECT user_id % 3 AS split, CASE WHEN user_id % 3 <> 0 AND k <> 7 THEN 255 ELSE k % 6 END AS fold,
+  (user_id % 3 = 0 AND k > 2) OR k = 50 AS has FROM ev)
+SELECT count(*) FILTER (split <> 0 AND fold <> 255) AS folds_outside_training,
+  count(*) FILTER (split = 0 AND fold NOT IN (0, 1, 2, 3, 4)) AS training_without_fold,
+  5 - count(DISTINCT fold) FILTER (split = 0 AND fold < 5) AS uncovered_folds,
+  count(*) FILTER (split = 0 AND NOT has) AS training_without_score,
+  count(*) FILTER (split <> 0 AND has) AS scores_outside_training FROM t""")
+seq("history_violations", """
+, copies AS (
+  SELECT battle_key, a.tag AS player_tag, a.crowns - b.crowns AS d, a.trophies AS t FROM parsed WHERE clean
+  UNION ALL SELECT battle_key, b.tag, b.crowns - a.crowns, b.trophies FROM parsed WHERE clean)
+SELECT player_tag, battle_key, 'repeated key' AS problem FROM copies GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT player_tag, battle_key, 'bad result' FROM copies WHERE d = 3
+UNION ALL SELECT player_tag, battle_key, p FROM copies, unnest(['incomplete deck', 'uneven levels']) u(p) WHERE t % 50 = 0""")
+seq("sigmoid", """
+SELECT event_id, round(1 / (1 + exp(-greatest(-30, least(30, (k - 50) * 0.8)))), 6) AS probability FROM ev""")
+_LOSS = "-(label * ln(score) + (1 - label) * ln(1 - score))"
+_SIX = f"""count(*) AS examples, round(avg(label), 6) AS positive_rate, round(avg({_LOSS}), 6) AS log_loss,
+  round(avg((score - label) ** 2), 6) AS brier_score,
+  round(avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy"""
+seq("binary_metrics", f"SELECT run, {_SIX} FROM scored GROUP BY run")
+seq("roc_auc", """
+SELECT p.run, round(sum(CASE WHEN p.score > q.score THEN p.n * q.n WHEN p.score = q.score THEN p.n * q.n / 2 ELSE 0 END)
+  / sum(p.n * q.n), 6) AS roc_auc
+FROM (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM scored WHERE label = 1 GROUP BY 1, 2) p
+JOIN (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM scored WHERE label = 0 GROUP BY 1, 2) q ON p.run = q.run GROUP BY p.run""")
+seq("average_precision", """
+, s AS (SELECT score, sum(label) AS pos, count(*) AS n FROM scored GROUP BY 1), c AS (
+  SELECT pos, sum(pos) OVER o AS tp, sum(n) OVER o AS seen FROM s WINDOW o AS (ORDER BY score DESC))
+SELECT round(sum(pos * tp / seen) / (SELECT sum(label) FROM scored), 6) AS average_precision FROM c""")
+seq("calibration", """
+SELECT CAST(least(9, floor(score * 10)) AS INTEGER) AS bin, round(avg(score), 6) AS mean_score,
+  round(avg(label), 6) AS observed_rate, count(*) AS examples FROM scored GROUP BY 1""")
+seq("calibration_error", """
+SELECT run, round(sum(n * abs(p - y)) / sum(n), 6) AS calibration_error FROM (
+  SELECT run, least(9, floor(score * 10)) AS bin, avg(score) AS p, avg(label) AS y, count(*) AS n FROM scored GROUP BY 1, 2)
+GROUP BY run""")
+seq("factual_metrics", f"""
+, seg AS (SELECT *, 'overall' AS segment FROM scored
+  UNION ALL SELECT *, CASE WHEN action = 1 THEN 'switch' ELSE 'stay' END FROM scored
+), basic AS (SELECT segment, {_SIX} FROM seg GROUP BY 1
+), ties AS (SELECT segment, score, CAST(sum(label) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM seg GROUP BY 1, 2
+), runs AS (
+  SELECT segment, pos, n - pos AS neg, sum(n - pos) OVER (PARTITION BY segment ORDER BY score) - (n - pos) AS below,
+    sum(pos) OVER (PARTITION BY segment ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY segment ORDER BY score DESC) AS seen
+  FROM ties
+), ranked AS (
+  SELECT segment, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc,
+    round(sum(pos * tp / seen) / sum(pos), 6) AS average_precision FROM runs GROUP BY 1
+), ece AS (
+  SELECT segment, round(sum(n * abs(p - y)) / sum(n), 6) AS calibration_error FROM (
+    SELECT segment, least(9, floor(score * 10)) AS bin, avg(score) AS p, avg(label) AS y, count(*) AS n FROM seg GROUP BY 1, 2)
+  GROUP BY 1)
+SELECT * FROM basic JOIN ranked USING (segment) JOIN ece USING (segment)""")
+seq("propensity_coverage", """
+SELECT 'q' || printf('%.2f', q) AS measure, round(v, 6) AS value FROM (
+  SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS q,
+    unnest(quantile_cont(score, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS v FROM scored)
+UNION ALL
+SELECT 'within ' || printf('%.2f', lo) || '-' || printf('%.2f', hi), round(avg(CASE WHEN score BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6)
+FROM scored, (VALUES (0.05, 0.95), (0.10, 0.90), (0.20, 0.80), (0.40, 0.60)) w(lo, hi) GROUP BY lo, hi""")
+seq("overlap_ess", """
+, w AS (SELECT action, score, CASE WHEN action = 1 THEN 1 / score ELSE 1 / (1 - score) END AS w FROM scored)
+SELECT action, count(*) AS examples, round(min(score), 5) AS lowest, round(avg(score), 5) AS mean_score,
+  round(max(score), 5) AS highest, round(min(w), 5) AS lowest_weight, round(max(w), 5) AS highest_weight,
+  round(sum(w) ** 2 / sum(w * w), 5) AS effective_size FROM w GROUP BY action""")
+_RUNS = f"""
+, per_run AS (SELECT action, run, avg({_LOSS}) AS log_loss, avg((score - label) ** 2) AS brier_score,
+  avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored GROUP BY 1, 2
+), lines AS (UNPIVOT per_run ON log_loss, brier_score, accuracy INTO NAME metric VALUE value
+), agg AS (SELECT action, metric, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS runs FROM lines GROUP BY 1, 2)"""
+seq("run_aggregate", f"{_RUNS} SELECT metric, {_rounds('mean', 'sd')}, runs FROM agg WHERE action = 0")
+seq("run_compare", f"""{_RUNS}
+SELECT metric, round(a.mean, 6) AS baseline, round(a.sd, 6) AS baseline_sd, round(b.mean, 6) AS candidate,
+  round(b.sd, 6) AS candidate_sd, round(b.mean - a.mean, 6) AS difference
+FROM (SELECT * FROM agg WHERE action = 0) a JOIN (SELECT * FROM agg WHERE action = 1) b USING (metric)""")
+seq("variance_shares", """
+, c AS (SELECT var_samp(user_id % 17) AS skill, var_samp(k / 10) AS investment, var_samp(value / 7) AS deck, var_samp(sin(k)) AS counters FROM ev
+), l AS (UNPIVOT c ON skill, investment, deck, counters INTO NAME component VALUE variance)
+SELECT component, round(variance, 6) AS variance, round(variance / (SELECT sum(variance) FROM l), 6) AS share,
+  CASE WHEN component IN ('deck', 'counters') THEN round(variance / (SELECT deck + counters FROM c), 6) END AS deck_share FROM l""")
+seq("oof_cover", """
+SELECT count(*) FILTER (split = 0) AS training_rows, count(*) FILTER (split = 0) AS scored_once, 0 AS wrong_times,
+  0 AS scored_elsewhere FROM placed""")

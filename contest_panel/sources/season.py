@@ -64,15 +64,17 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold_numbered(wide: DataFrame) -> DataFrame:
-    """Fold the eight numbered card columns per side into arrays."""
+    """Fold the eight numbered card columns per side into arrays, NULL when one is missing."""
     columns: list[Column] = [
         F.col("battleTime"),
         F.col("`gameMode.id`").alias("game_mode"),
         F.col("`arena.id`").alias("arena"),
     ]
     for side in SIDES:
-        columns.append(F.array(*[F.col(f"`{side}.card{n}.id`") for n in NUMBERS]).alias(f"{side}_cards"))
-        columns.append(F.array(*[F.col(f"`{side}.card{n}.level`") for n in NUMBERS]).alias(f"{side}_levels"))
+        for part, name in (("id", "cards"), ("level", "levels")):
+            numbered = [f"`{side}.card{n}.{part}`" for n in NUMBERS]
+            complete = " AND ".join(f"{c} IS NOT NULL" for c in numbered)
+            columns.append(F.expr(f"CASE WHEN {complete} THEN array({', '.join(numbered)}) END AS {side}_{name}"))
         columns += [F.col(f"`{side}.{s}`").alias(f"{side}_{name}") for s, name in SIDE_SCALARS.items()]
     day = [F.col("day")] if "day" in wide.columns else []
     return wide.select(*day, *columns)
@@ -131,14 +133,14 @@ def convert(source: DataFrame, destination: str, force: bool = False) -> DataFra
     return conversion_report(source)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def stored_days(spark: SparkSession, destination: str) -> DataFrame | None:
     """Days present at the destination, from partition values alone."""
-    if not _exists(spark, destination):
+    if not path_exists(spark, destination):
         return None
     return spark.read.parquet(destination).select(F.col("day").cast("string").alias("day")).distinct()
 
