@@ -656,7 +656,7 @@ def poll_coverage(spark, folder):
 
 
 def example_table(spark: SparkSession, folder: str) -> DataFrame:
-    return dataset.sequence_dataset(fx.parsed_log(spark, folder), fx.card_dimension(spark))
+    return dataset.sequence_dataset(dataset.stored_focal(fx.parsed_log(spark, folder), fx.card_dimension(spark)))
 
 
 NINE = sequences.SUMMARY_SETS["current_deck_count"]
@@ -849,10 +849,10 @@ def oof_cover(spark, folder):
 @query
 def uplift(spark, folder):
     """Win probability of each current context under stay and under switch."""
-    parsed, cards = fx.parsed_log(spark, folder), fx.card_dimension(spark)
-    examples = materialise(dataset.sequence_dataset(parsed, cards))
+    cards = fx.card_dimension(spark)
+    focal = dataset.stored_focal(fx.parsed_log(spark, folder), cards)
+    examples = materialise(dataset.sequence_dataset(focal))
     fitted = models.fit_outcome(examples, NINE, models.item_words(cards))
-    focal, _ = dataset.eligible_focal(parsed, cards, sequences.HISTORY)
     contexts = sequences.prebattle_contexts(focal, continuity="all")
     return models.compare_actions(fitted, contexts)
 

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from contest_panel.operators import assign, sequences
-from contest_panel.operators.dedup import clean_first, eligible_entities, rows_of_eligible
+from contest_panel.operators.dedup import clean_first
 from contest_panel.operators.dimension import displayed_levels
 from contest_panel.operators.orient import focal_rows
 from contest_panel.session import materialise
 
 
-def eligible_focal(parsed: DataFrame, dimension: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
-    """Focal rows of eligible participants with displayed levels, and the eligible participants."""
-    clean = clean_first(parsed)
-    eligible = eligible_entities(clean, minimum)
-    rows = displayed_levels(rows_of_eligible(focal_rows(clean), eligible), dimension, row_key=["player_tag", "battle_key"])
-    return rows.drop("levels").withColumnRenamed("displayed", "levels"), eligible
+def stored_focal(parsed: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Focal rows of all clean contests with displayed levels, written once (an action).
+
+    Eligibility, splits, window counts and examples all start from these rows, so parsing and dedup
+    run a single time.
+    """
+    rows = displayed_levels(focal_rows(clean_first(parsed)), dimension, row_key=["player_tag", "battle_key"])
+    return materialise(rows.drop("levels").withColumnRenamed("displayed", "levels"))
+
+
+def eligible_players(focal: DataFrame, minimum: int) -> DataFrame:
+    return focal.groupBy("player_tag").agg(F.count(F.lit(1)).alias("battles")).filter(F.col("battles") >= minimum)
 
 
 def sequence_dataset(
-    parsed: DataFrame,
-    dimension: DataFrame,
+    focal: DataFrame,
     history: int = sequences.HISTORY,
     continuity: str = "all",
     feature_set: str = "current_deck_count",
@@ -30,17 +35,18 @@ def sequence_dataset(
     fold_seed: int = assign.FOLD_SEED,
     hot_rows: int = sequences.DEFAULT_HOT_ROWS,
 ) -> DataFrame:
-    """Examples with ``split`` and ``fold``. Runs actions.
+    """Examples of stored focal rows with ``split`` and ``fold``. Runs actions.
 
     Splits are drawn over all eligible participants, before those without a window drop out; folds over
-    the training participants that kept examples.
+    the training participants that keep examples. Store the result before using it more than once.
     """
-    focal, eligible = eligible_focal(parsed, dimension, history + 1)
-    examples = materialise(sequences.sequence_examples(focal, history, continuity, feature_set, hot_rows))
-    split = assign.player_split(eligible.select(F.col("tag").alias("player_tag")), split_seed, "player_tag")
-    counts = examples.groupBy("player_tag").agg(F.count(F.lit(1)).alias("examples")).join(split, "player_tag")
-    placed = assign.player_folds(materialise(counts), folds, fold_seed, "player_tag").drop("examples")
-    return examples.join(placed, "player_tag")
+    eligible = eligible_players(focal, history + 1)
+    rows = focal.join(eligible.select("player_tag"), "player_tag", "left_semi")
+    split = assign.player_split(eligible, split_seed, "player_tag").select("player_tag", "split")
+    sizes = sequences.window_counts(rows, history, continuity, hot_rows).filter("windows > 0")
+    sized = split.join(sizes.withColumnRenamed("windows", "examples"), "player_tag")
+    placed = assign.player_folds(sized, folds, fold_seed, "player_tag").drop("examples")
+    return sequences.sequence_examples(rows, history, continuity, feature_set, hot_rows).join(placed, "player_tag")
 
 
 def example_audit(examples: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ WITH ev AS (
   SELECT * FROM season WHERE game_mode IN (72000006, 72000201, 72000044)
 ), melted AS (
   SELECT battle_time, a.tag || '|' || b.tag AS pairing, a.tag AS tag, list_sort(a.cards) AS deck,
-    list_sum(a.levels) AS total_level, coalesce(a.trophies, 0) AS trophies, a_won AS won FROM ladder
+    CAST(list_sum(a.levels) AS INTEGER) AS total_level, coalesce(a.trophies, 0) AS trophies, a_won AS won FROM ladder
   UNION ALL
-  SELECT battle_time, a.tag || '|' || b.tag, b.tag, list_sort(b.cards), list_sum(b.levels), coalesce(b.trophies, 0),
+  SELECT battle_time, a.tag || '|' || b.tag, b.tag, list_sort(b.cards), CAST(list_sum(b.levels) AS INTEGER), coalesce(b.trophies, 0),
     1 - a_won FROM ladder
 ), flipped AS (
   SELECT *, (('0x' || substr(md5('0|' || epoch_us(battle_time) || '|' || a.tag || '|' || b.tag), 1, 8))::BIGINT) % 2 = 1
