@@ -8,26 +8,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Instants travel as microseconds, so neither pandas nor the state store can shift or round them.
 FIELDS = ("battle_time", "battle_key", "deck", "levels", "result", "crown_difference", "trophies", "collected_at")
-_ROW_DDL = (
-    "battle_time timestamp, battle_key string, deck array<int>, levels array<int>, result int, "
-    "crown_difference int, trophies double, collected_at timestamp"
+_STATE_DDL = (
+    "battle_time bigint, battle_key string, deck array<int>, levels array<int>, result int, "
+    "crown_difference int, trophies double, collected_at bigint"
 )
+_WHOLE = ("battle_time", "result", "crown_difference", "collected_at")
 SALT = "salt"
 
 
+def _plain(name: str, value):
+    """State values must be plain Python objects; missing numbers are None."""
+    if name in ("deck", "levels"):
+        return None if value is None else [int(x) for x in value]
+    if value is None or value != value:
+        return None
+    return int(value) if name in _WHOLE else float(value) if name == "trophies" else value
+
+
 def _keep_latest(history: int):
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(state.get[0] if state.exists else [], columns=list(FIELDS))
+        held = {row[1]: tuple(row) for row in (state.get[0] if state.exists else [])}
         for chunk in chunks:
             # A chunk at a time: the buffer never exceeds its bound, late rows find their place.
-            both = pd.concat([held, chunk[list(FIELDS)]]) if len(held) else chunk[list(FIELDS)]
-            both = both.drop_duplicates("battle_key").sort_values(["battle_time", "battle_key"])
-            held = both.tail(history)
-        # Missing numbers must reach the state as None, not NaN.
-        rows = held.astype(object).where(held.notna(), None)
-        state.update(([dict(zip(FIELDS, r)) for r in rows.itertuples(index=False, name=None)],))
-        yield held.assign(player_tag=key[0], salt=key[1])
+            for row in chunk[list(FIELDS)].itertuples(index=False, name=None):
+                held.setdefault(row[1], tuple(_plain(n, v) for n, v in zip(FIELDS, row)))
+            latest = sorted(held.values(), key=lambda r: (r[0], r[1]))[-history:]
+            held = {row[1]: row for row in latest}
+        rows = sorted(held.values(), key=lambda r: (r[0], r[1]))
+        state.update((rows,))
+        columns = {n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(FIELDS)}
+        yield pd.DataFrame(columns).assign(player_tag=key[0], salt=key[1])
 
     return update
 
@@ -38,18 +50,21 @@ def latest_contests(focal: DataFrame, history: int = 10, salts: int = 8) -> Data
     Salting by contest spreads a very active participant over ``salts`` state keys. The overall latest
     contests are among the latest of each salt, so :func:`merged_buffers` restores them exactly.
     """
-    salted = focal.withColumn(SALT, F.pmod(F.xxhash64("battle_key"), F.lit(salts)).cast("int"))
-    return salted.groupBy("player_tag", SALT).applyInPandasWithState(
+    salted = focal.selectExpr(
+        "unix_micros(battle_time) AS battle_time", "battle_key", "deck", "levels", "result", "crown_difference", "trophies",
+        "unix_micros(collected_at) AS collected_at", "player_tag",
+        f"cast(pmod(xxhash64(battle_key), {salts}) AS int) AS {SALT}",
+    )
+    emitted = salted.groupBy("player_tag", SALT).applyInPandasWithState(
         _keep_latest(history),
-        f"{_ROW_DDL}, player_tag string, salt int",
-        f"rows array<struct<{_struct_ddl()}>>",
+        f"{_STATE_DDL}, player_tag string, {SALT} int",
+        f"rows array<struct<{_STATE_DDL}>>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
-
-
-def _struct_ddl() -> str:
-    return ",".join(":".join(part.strip().split(" ", 1)) for part in _ROW_DDL.split(", "))
+    return emitted.withColumns(
+        {c: F.timestamp_micros(c) for c in ("battle_time", "collected_at")}
+    )
 
 
 def merged_buffers(emitted: DataFrame, history: int = 10) -> DataFrame:
