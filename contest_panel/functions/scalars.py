@@ -35,8 +35,9 @@ def normalised_tag(tag: str | Column) -> Column:
 
 def contest_key(time_text: str | Column, *participants: Column) -> Column:
     """Mirror-proof key: raw time plus every participant tag in sorted order."""
-    tags = F.sort_array(F.concat(*[F.transform(side, lambda p: F.coalesce(p["tag"], F.lit(""))) for side in participants]))
-    return F.concat_ws("|", F.coalesce(as_column(time_text), F.lit("")), F.array_join(tags, "|"))
+    tags = F.concat(*[side["tag"] for side in participants])
+    known = F.sort_array(F.transform(tags, lambda tag: F.coalesce(tag, F.lit(""))))
+    return F.concat_ws("|", F.coalesce(as_column(time_text), F.lit("")), F.array_join(known, "|"))
 
 
 def seeded_digest(seed: int | str, *parts: str | Column) -> Column:

@@ -25,11 +25,9 @@ _DOCUMENTED_NULLS = {"king_hp": "0", "clan": "''"}
 SEASON_FIELDS = ("cards", "levels", "trophies", "crowns", "king_hp", "tag", "clan")
 
 
-def _side(players: str) -> dict[str, str]:
-    """SQL of one flattened side: items of every player, scalars of the first."""
+def _side(players: str, cards: str) -> dict[str, str]:
+    """SQL of one flattened side: items of every player (already in ``cards``), scalars of the first."""
     lead = f"{players}[0]"
-    cards = f"flatten(transform({players}, p -> coalesce(p.cards, array())))"
-    supports = f"flatten(transform({players}, p -> coalesce(p.supportCards, array())))"
     return {
         "tag": f"{lead}.tag",
         "name": f"{lead}.name",
@@ -41,15 +39,20 @@ def _side(players: str) -> dict[str, str]:
         "trophy_change": f"{lead}.trophyChange",
         "global_rank": f"{lead}.globalRank",
         "elixir_leaked": f"{lead}.elixirLeaked",
-        "card_ids": f"transform({cards}, c -> c.id)",
-        "card_levels": f"transform({cards}, c -> c.level)",
-        "card_evo": f"transform({cards}, c -> coalesce(c.evolutionLevel, 0))",
-        "support_ids": f"transform({supports}, c -> c.id)",
+        "card_ids": f"{cards}.id",
+        "card_levels": f"{cards}.level",
+        "card_evo": f"transform({cards}.evolutionLevel, e -> coalesce(e, 0))",
+        "support_ids": f"{_joined(players, 'supportCards')}.id",
         "team_size": f"size({players})",
         "n_cards": f"size({cards})",
     }
 
 
+def _joined(players: str, field: str) -> str:
+    """SQL of one array over all players of a side."""
+    return f"flatten(filter({players}.{field}, x -> x IS NOT NULL))"
+
+
 def _routed(first: str, field: str, left: str, right: str) -> list[str]:
     """SQL of ``a_field`` and ``b_field``: left/right when ``first`` holds, swapped otherwise."""
     return [
@@ -72,7 +75,7 @@ def parse_battles(raw: DataFrame) -> DataFrame:
         "isLadderTournament", "isHostedMatch", "leagueNumber", "eventTag",
         "CASE WHEN team[0].tag <= opponent[0].tag THEN team ELSE opponent END AS __a",
         "CASE WHEN team[0].tag <= opponent[0].tag THEN opponent ELSE team END AS __b",
-    )
+    ).selectExpr("*", f"{_joined('__a', 'cards')} AS __ac", f"{_joined('__b', 'cards')} AS __bc")
     flat = oriented.select(
         contest_key("battleTime", F.col("__a"), F.col("__b")).alias("battle_key"),
         battle_timestamp("battleTime").alias("battle_time"),
@@ -87,8 +90,8 @@ def parse_battles(raw: DataFrame) -> DataFrame:
                 "leagueNumber AS league_number", "eventTag AS event_tag",
             )
         ],
-        *[F.expr(f"{expr} AS a_{field}") for field, expr in _side("__a").items()],
-        *[F.expr(f"{expr} AS b_{field}") for field, expr in _side("__b").items()],
+        *[F.expr(f"{expr} AS a_{field}") for field, expr in _side("__a", "__ac").items()],
+        *[F.expr(f"{expr} AS b_{field}") for field, expr in _side("__b", "__bc").items()],
     )
     return with_outcome(flat)
 

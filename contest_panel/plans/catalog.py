@@ -488,10 +488,15 @@ def nearest_items(spark, folder):
 # --- sequences --------------------------------------------------------------------------------
 
 
+def stored_focal(spark: SparkSession, folder: str) -> DataFrame:
+    """Focal rows written once: the look for hot participants and the windows both read them."""
+    return materialise(clean_focal(spark, folder))
+
+
 @query
 def sequence_windows(spark, folder):
     """Every window of ten contests and a target."""
-    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    examples = sequences.sequence_examples(stored_focal(spark, folder))
     return examples.selectExpr(
         "example_id", "window_start", "size(history) AS length", "unix_micros(history[0].battle_time) AS starts",
         "unix_micros(target_time) AS target_at", "array_join(history[9].deck, ',') AS last_deck",
@@ -500,13 +505,13 @@ def sequence_windows(spark, folder):
 
 @query
 def windows_continuous(spark, folder):
-    examples = sequences.sequence_examples(clean_focal(spark, folder), continuity="same_collection")
+    examples = sequences.sequence_examples(stored_focal(spark, folder), continuity="same_collection")
     return examples.select("example_id", "window_start", "next_switch", "next_win")
 
 
 @query
 def window_counts(spark, folder):
-    focal = clean_focal(spark, folder)
+    focal = stored_focal(spark, folder)
     both = sequences.window_counts(focal).join(
         sequences.window_counts(focal, continuity="same_collection").withColumnRenamed("windows", "continuous"), "player_tag"
     )
@@ -516,46 +521,46 @@ def window_counts(spark, folder):
 @query
 def sequence_features(spark, folder):
     """The six features of each history contest; zero transitions at the start of a window."""
-    lines = sequences.example_long(sequences.sequence_examples(clean_focal(spark, folder), continuity="same_collection"))
+    lines = sequences.example_long(sequences.sequence_examples(stored_focal(spark, folder), continuity="same_collection"))
     return rounded(lines.select("example_id", "position", *sequences.BATTLE_FEATURES))
 
 
 @query
 def prefix_summary(spark, folder):
-    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    examples = sequences.sequence_examples(stored_focal(spark, folder))
     return rounded(examples.select("example_id", *sequences.BASE_SUMMARY))
 
 
 @query
 def deck_tenure(spark, folder):
     """Contests in a row with the current deck."""
-    rows = sequences.annotated(clean_focal(spark, folder)).result()
+    rows = sequences.annotated(stored_focal(spark, folder)).result()
     return rows.select("player_tag", "battle_key", "tenure")
 
 
 @query
 def deck_lifetime(spark, folder):
     """All uses of the current deck so far."""
-    rows = sequences.annotated(clean_focal(spark, folder)).result()
+    rows = sequences.annotated(stored_focal(spark, folder)).result()
     return rows.select("player_tag", "battle_key", "deck_n")
 
 
 @query
 def sequence_targets(spark, folder):
-    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    examples = sequences.sequence_examples(stored_focal(spark, folder))
     return examples.select("example_id", text("target_deck").alias("target_deck"), "next_switch", "next_win")
 
 
 @query
 def window_at(spark, folder):
     """The window starting at offset 3 of every participant."""
-    examples = sequences.sequence_examples(clean_focal(spark, folder))
+    examples = sequences.sequence_examples(stored_focal(spark, folder))
     return sequences.example_at(examples, 3).select("example_id", "player_tag", "next_switch", "next_win")
 
 
 @query
 def prebattle_context(spark, folder):
-    contexts = sequences.prebattle_contexts(clean_focal(spark, folder), continuity="all")
+    contexts = sequences.prebattle_contexts(stored_focal(spark, folder), continuity="all")
     return rounded(
         contexts.selectExpr(
             "player_tag", "unix_micros(latest_time) AS latest", "array_join(history[9].deck, ',') AS last_deck",
@@ -568,7 +573,7 @@ def prebattle_context(spark, folder):
 @query
 def example_long(spark, folder):
     """Listing of the first window of every participant, one line per contest."""
-    first = sequences.example_at(sequences.sequence_examples(clean_focal(spark, folder)), 0)
+    first = sequences.example_at(sequences.sequence_examples(stored_focal(spark, folder)), 0)
     lines = sequences.example_long(first)
     return rounded(
         lines.select(

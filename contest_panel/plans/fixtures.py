@@ -10,7 +10,6 @@ FIRST_CARD = 26_000_000
 CARD_COUNT = 102
 RARITIES = ("common", "rare", "epic", "legendary", "champion")
 MODES = {"click": 72000006, "view": 72000201, "purchase": 72000044, "error": 72000006, "signup": 72000099}
-NUMBERED = range(8)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,13 +35,13 @@ def user_tag(user: Column) -> Column:
 def _side_columns(prefix: str) -> dict[str, str]:
     """SQL of the side fields of the event whose raw columns carry ``prefix``."""
     user, k, value, kind = (f"{prefix}{c}" for c in ("user_id", "k", "value", "event_type"))
-    base = f"({user} * 7 + 3 * CASE WHEN {k} % 4 = 0 THEN 1 + {k} % 3 ELSE 0 END)"
-    cards = ", ".join(f"cast({FIRST_CARD} + ({base} + {i}) % {CARD_COUNT} AS int)" for i in NUMBERED)
-    levels = ", ".join(f"cast(1 + ({k} + {3 * i} + {user}) % 13 AS int)" for i in NUMBERED)
+    base = f"{user} * 7 + CASE WHEN {k} % 4 = 0 THEN 3 + 3 * ({k} % 3) ELSE 0 END"
+    cards = f"transform(sequence(0, 7), i -> cast({FIRST_CARD} + ({base} + i) % {CARD_COUNT} AS int))"
+    levels = f"transform(sequence(0, 7), i -> cast(1 + ({k} + 3 * i + {user}) % 13 AS int))"
     return {
         "tag": f"concat('U', lpad(cast({user} AS string), 9, '0'))",
-        "cards": f"array({cards})",
-        "levels": f"array({levels})",
+        "cards": cards,
+        "levels": levels,
         "crowns": f"cast(floor({value}) % 4 AS int)",
         "trophies": f"CASE WHEN {kind} <> 'error' THEN cast(({user} * 97 + {k} * 5) % 8000 AS int) END",
         "king_hp": f"CASE WHEN {k} % 10 <> 0 THEN 1000 + {k} END",
@@ -63,7 +62,8 @@ def battles(spark: SparkSession, folder: str) -> DataFrame:
         picked = source.filter(f"event_id % 2 = {parity}")
         return picked.selectExpr("event_id DIV 2 AS bid", *[f"{c} AS {prefix}{c}" for c in raw])
 
-    pairs = half(0, "h_").join(half(1, "w_"), "bid").filter("h_user_id <> w_user_id")
+    # Both halves grow with the table, so they meet by a shuffle on the pair number at every scale.
+    pairs = half(0, "h_").join(half(1, "w_").hint("shuffle_hash"), "bid").filter("h_user_id <> w_user_id")
     sides = [
         f"{expr} AS {side}_{name}"
         for side, prefix in (("home", "h_"), ("away", "w_"))
