@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from contest_panel.operators.skew import BROADCAST_KEYS, DEFAULT_HOT_ROWS, join_on_key
+from contest_panel.session import row_count_up_to
+
 COLLECTION_ORDER = ("collected_at", "run_id")
 
 
@@ -58,12 +61,16 @@ def eligible_entities(clean: DataFrame, minimum: int = 11) -> DataFrame:
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("battles")).filter(F.col("battles") >= minimum)
 
 
-def rows_of_eligible(focal: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Focal rows of eligible participants.
+def rows_of_eligible(focal: DataFrame, eligible: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """Focal rows of eligible participants; those with very many rows stay spread over tasks.
 
-    AQE splits a participant with very many rows on the left of the semi-join.
+    The battle counts of ``eligible`` already tell who they are. Runs an action.
     """
-    return focal.join(eligible.select(F.col("tag").alias("player_tag")), "player_tag", "left_semi")
+    keys = eligible.select(F.col("tag").alias("player_tag"), "battles")
+    hot = keys.filter(F.col("battles") > hot_rows).select("player_tag")
+    found = row_count_up_to(hot, BROADCAST_KEYS)
+    known = None if not found else F.broadcast(hot) if found <= BROADCAST_KEYS else hot
+    return join_on_key(focal, keys.select("player_tag"), "player_tag", "left_semi", known, "battle_key")
 
 
 def merge_new_members(existing: DataFrame, incoming: DataFrame, key: str = "tag") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from contest_panel.operators.ranking import exact_quantiles, running_sums
+from contest_panel.operators.skew import small
 
 _EPS = "1e-15D"
 COVERAGE_QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -46,7 +47,7 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.expr("min(cpos - pos) AS base_pos"), F.expr("min(cneg - neg) AS base_neg"),
     )
     if by:
-        joined = summed.join(F.broadcast(totals), by)
+        joined = summed.join(small(totals), by)
     else:
         joined = summed.withColumns({c: totals.select(c).scalar() for c in totals.columns})
     parts = joined.selectExpr(
@@ -86,7 +87,8 @@ def full_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     small = [ranking_metrics(scored, by), calibration_error(scored, by)]
     result = binary_metrics(scored, by)
     for part in small:
-        result = result.join(F.broadcast(part), by)
+        # Groups are few, but nothing is broadcast on trust: Spark picks by the sizes it sees.
+        result = result.join(part, by)
     return result
 
 

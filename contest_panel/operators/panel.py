@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from contest_panel.functions.decks import drift_of, shared_items
 from contest_panel.functions.scalars import ratio
 from contest_panel.operators.ranking import exact_quantiles
-from contest_panel.operators.timeline import DEFAULT_HOT_ROWS, Timeline, build_timeline
+from contest_panel.operators.skew import DEFAULT_HOT_ROWS
+from contest_panel.operators.timeline import Timeline, build_timeline
 
 PANEL_ORDER = ("battle_time", "pairing")
 SUMMARY_METRICS = (

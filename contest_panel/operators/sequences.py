@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contest_panel.functions.decks import jaccard_distance
 from contest_panel.functions.scalars import hours_between
-from contest_panel.operators.timeline import DEFAULT_HOT_ROWS, Timeline, build_timeline
+from contest_panel.operators.skew import DEFAULT_HOT_ROWS
+from contest_panel.operators.timeline import Timeline, build_timeline
 
 HISTORY = 10
 ENTITY = "player_tag"

@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from contest_panel.functions.scalars import as_column
 from contest_panel.operators.ranking import global_rank
-from contest_panel.session import row_count_up_to
+from contest_panel.operators.skew import DEFAULT_HOT_ROWS, hot_keys
 
-DEFAULT_HOT_ROWS = 2_000_000
-_BROADCAST_ENTITIES = 100_000
 SEGMENT = "__segment"
 HALO = "__halo"
 
@@ -85,11 +83,6 @@ class Timeline:
         return self.rows.filter(~F.col(HALO)).drop(SEGMENT, HALO)
 
 
-def hot_entities(frame: DataFrame, entity: str, hot_rows: int) -> DataFrame:
-    """Entities with more than ``hot_rows`` rows (partial counts before the shuffle)."""
-    return frame.groupBy(entity).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select(entity)
-
-
 def build_timeline(
     frame: DataFrame,
     entity: str,
@@ -102,13 +95,10 @@ def build_timeline(
 
     ``order`` must be total within an entity. Pass stored input when its lineage is expensive.
     """
-    hot = hot_entities(frame, entity, hot_rows)
-    hot_count = row_count_up_to(hot, _BROADCAST_ENTITIES)
-    if hot_count == 0:
+    hot = hot_keys(frame, entity, hot_rows)
+    if hot is None:
         return Timeline(frame, entity, tuple(order), False)
-    # Counted above; beyond the limit Spark shuffles both sides instead.
-    hot_side = F.broadcast(hot) if hot_count <= _BROADCAST_ENTITIES else hot
-    ranked = global_rank(frame.join(hot_side, entity, "left_semi"), [entity, *order], "__pos")
+    ranked = global_rank(frame.join(hot, entity, "left_semi"), [entity, *order], "__pos")
     length = max(segment_rows or hot_rows, halo + 1)
     zero_based = F.col("__pos") - 1
     segment = F.floor(zero_based / F.lit(length)).cast("bigint")
@@ -121,7 +111,7 @@ def build_timeline(
         .withColumns({SEGMENT: F.col("__home.s"), HALO: F.col("__home.h")})
         .drop("__home", "__pos")
     )
-    rest = frame.join(hot_side, entity, "left_anti").withColumns(
+    rest = frame.join(hot, entity, "left_anti").withColumns(
         {SEGMENT: F.lit(-1).cast("bigint"), HALO: F.lit(False)}
     )
     return Timeline(rest.unionByName(pieces), entity, tuple(order), True)

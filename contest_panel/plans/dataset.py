@@ -8,6 +8,7 @@ from contest_panel.operators import assign, sequences
 from contest_panel.operators.dedup import clean_first
 from contest_panel.operators.dimension import displayed_levels
 from contest_panel.operators.orient import focal_rows
+from contest_panel.operators.skew import hot_keys, join_on_key
 from contest_panel.session import materialise
 
 
@@ -38,15 +39,16 @@ def sequence_dataset(
     """Examples of stored focal rows with ``split`` and ``fold``. Runs actions.
 
     Splits are drawn over all eligible participants, before those without a window drop out; folds over
-    the training participants that keep examples. Store the result before using it more than once.
+    the training participants that keep examples. Anyone with a window is eligible, so rows need no
+    filter of their own. Store the result before using it more than once.
     """
     eligible = eligible_players(focal, history + 1)
-    rows = focal.join(eligible.select("player_tag"), "player_tag", "left_semi")
     split = assign.player_split(eligible, split_seed, "player_tag").select("player_tag", "split")
-    sizes = sequences.window_counts(rows, history, continuity, hot_rows).filter("windows > 0")
+    sizes = sequences.window_counts(focal, history, continuity, hot_rows).filter("windows > 0")
     sized = split.join(sizes.withColumnRenamed("windows", "examples"), "player_tag")
     placed = assign.player_folds(sized, folds, fold_seed, "player_tag").drop("examples")
-    return sequences.sequence_examples(rows, history, continuity, feature_set, hot_rows).join(placed, "player_tag")
+    examples = sequences.sequence_examples(focal, history, continuity, feature_set, hot_rows)
+    return join_on_key(examples, placed, "player_tag", "inner", hot_keys(focal, "player_tag", hot_rows), "example_id")
 
 
 def example_audit(examples: DataFrame) -> DataFrame:

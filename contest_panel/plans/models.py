@@ -19,6 +19,7 @@ from contest_panel.session import materialise
 
 FEATURE_SETS = ("summary", "history", "full")
 ITEM_LIMIT = 20_000
+FEATURE_LIMIT = 20_000_000
 
 
 def item_words(dimension: DataFrame) -> list[str]:
@@ -240,6 +241,8 @@ def matchup_entries(battles: DataFrame, words: DataFrame, items: int, player_buc
     level, card = player_buckets, player_buckets + 3
     pair = card + items
     size = pair + items * (items - 1) // 2
+    if size > FEATURE_LIMIT:
+        raise ValueError(f"{size} features exceed {FEATURE_LIMIT}: the coefficients travel to every task")
     bucket = lambda tag: f"cast(pmod(xxhash64({tag}), {player_buckets}) AS int)"
     slot = f"cast({pair} + (lo - 1) * (2 * {items} - lo) / 2 + (hi - lo - 1) AS int)"
     # Items that only one side holds, or pairs not mirrored within the same battle.

@@ -53,8 +53,9 @@ def append(parsed: DataFrame, path: str, by: str = "battle_time") -> None:
     against stored keys reads only the touched days. The reference layout uses ``collected_at``.
     """
     dated = parsed.withColumn("date", F.to_date(by))
+    # Rebalanced by date: small days share a task, a very large day is split.
     (
-        dated.repartition("date", F.pmod(F.xxhash64("battle_key"), F.lit(64)))
+        dated.hint("rebalance", "date")
         .write.mode("append")
         .option("compression", "zstd")
         .partitionBy("date")

@@ -122,7 +122,8 @@ def convert(source: DataFrame, destination: str, force: bool = False) -> DataFra
         stored = stored_days(spark, destination)
         if stored is not None:
             source = source.join(stored, "day", "left_anti")
-    writer = flat_view(canonicalise_season(source)).repartition("day", F.pmod(F.xxhash64("a_tag"), F.lit(64)))
+    # Rebalancing brings the rows of a day together and splits a day that is too large for one file.
+    writer = flat_view(canonicalise_season(source)).hint("rebalance", "day")
     (
         writer.write.mode("overwrite" if force else "append")
         .option("compression", "zstd")

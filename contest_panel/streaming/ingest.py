@@ -42,14 +42,16 @@ def store_new(batch: DataFrame, path: str) -> None:
     Both copies of a contest share its day, so only the stored days the batch touches are read.
     """
     spark = batch.sparkSession
-    fresh = first_per_key(batch).withColumn("date", F.to_date("battle_time"))
+    fresh = first_per_key(batch).withColumn("date", F.to_date("battle_time")).persist()
+    kept = fresh
     if path_exists(spark, path):
         stored = spark.read.parquet(path).select("date", "battle_key")
         days = [r[0] for r in fresh.select("date").distinct().limit(_MANY_DAYS + 1).collect()]
         if len(days) <= _MANY_DAYS:
             stored = stored.filter(F.col("date").isin(days))
-        fresh = fresh.join(stored.select("battle_key"), "battle_key", "left_anti")
-    append(fresh.drop("date"), path)
+        kept = fresh.join(stored.select("battle_key"), "battle_key", "left_anti")
+    append(kept.drop("date"), path)
+    fresh.unpersist()
 
 
 def exact_ingest(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

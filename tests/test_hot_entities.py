@@ -62,3 +62,27 @@ def test_panel(season):
     whole = panel.player_panel(melted, **WHOLE)
     assert as_set(split) == as_set(whole)
     assert as_set(panel.transitions(melted, **SPLIT)) == as_set(panel.transitions(melted, **WHOLE))
+
+
+def test_hot_keys_in_joins(spark, skewed):
+    from contest_panel.operators import dedup
+    from contest_panel.operators.skew import hot_keys, join_on_key
+
+    sizes = skewed.groupBy("player_tag").agg(F.count("*").alias("battles"))
+    hot = hot_keys(skewed, "player_tag", 100)
+    assert [r[0] for r in hot.collect()] == ["HOT"] and hot_keys(skewed, "player_tag", 10**9) is None
+    rows = skewed.select("player_tag", "battle_key")
+    for how in ("inner", "left", "left_semi"):
+        assert as_set(join_on_key(rows, sizes, "player_tag", how, hot, "battle_key")) == as_set(rows.join(sizes, "player_tag", how))
+    eligible = sizes.filter("battles >= 40").withColumnRenamed("player_tag", "tag")
+    split = dedup.rows_of_eligible(rows, eligible, hot_rows=100)
+    assert as_set(split) == as_set(dedup.rows_of_eligible(rows, eligible))
+
+
+def test_dataset_with_a_hot_participant(skewed):
+    from contest_panel.plans import dataset
+
+    split = dataset.sequence_dataset(skewed, hot_rows=100)
+    whole = dataset.sequence_dataset(skewed)
+    assert as_set(split) == as_set(whole)
+    assert as_set(dataset.example_audit(split)) == as_set(dataset.example_audit(whole))
