@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from contest_panel.functions.decks import total_of
+from contest_panel.functions.decks import deck_total
 from contest_panel.functions.scalars import (
     ADVANTAGE_LIMIT,
     BAND_COUNT,
@@ -24,7 +24,7 @@ def trophy_band() -> Column:
 
 
 def level_gap() -> Column:
-    return total_of("a_levels") - total_of("b_levels")
+    return F.expr(f"{deck_total('a_levels')} - {deck_total('b_levels')}")
 
 
 def level_counts(battles: DataFrame, seed: int | str = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contest_panel.functions.decks import DECK_SIZE, is_full_deck
+from contest_panel.functions.decks import DECK_SIZE, deck_total, is_full_deck
 from contest_panel.functions.scalars import (
     LADDER_MODES,
     battle_timestamp,
@@ -163,7 +163,7 @@ def melt_sides(battles: DataFrame) -> DataFrame:
     def view(side: str, won: str) -> str:
         return (
             f"named_struct('tag', {side}_tag, 'deck', sort_array({side}_cards), "
-            f"'total_level', aggregate({side}_levels, 0, (acc, x) -> acc + x), 'trophies', {side}_trophies, 'won', {won})"
+            f"'total_level', {deck_total(f'{side}_levels')}, 'trophies', {side}_trophies, 'won', {won})"
         )
 
     # The opponent pair makes the order of a participant's battles total.

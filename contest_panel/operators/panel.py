@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from contest_panel.functions.decks import drift_of, shared_items
+from contest_panel.functions.decks import deck_total, drift_of, shared_items
 from contest_panel.functions.scalars import ratio
 from contest_panel.operators.ranking import exact_quantiles
 from contest_panel.operators.skew import DEFAULT_HOT_ROWS
@@ -204,7 +204,7 @@ def activity_thresholds(battles: DataFrame, thresholds: Sequence[int] = (5, 10,
 
 def period_compare(battles: DataFrame, final_day: Column) -> DataFrame:
     """Selected period against the rest, one row per metric, from a single aggregation."""
-    levels = F.aggregate("a_levels", F.lit(0), lambda acc, x: acc + x)
+    levels = F.expr(deck_total("a_levels"))
     both = (
         battles.withColumn("__final", final_day)
         .groupBy("__final")

@@ -58,9 +58,12 @@ def with_steps(timeline: Timeline) -> Timeline:
 
 
 def with_running(timeline: Timeline) -> Timeline:
-    """Inclusive totals along each history: linear in its length, one sort for all but the deck count."""
+    """Inclusive totals along each history: linear in its length, two sorts and one shuffle.
+
+    The count per deck needs an order of its own and comes first; all others share the time order.
+    """
     lost, won = "previous_result = -1", "previous_result = 1"
-    counted = with_steps(timeline).running(
+    counted = with_steps(timeline.running({"deck_n": F.lit(1)}, per=["deck"])).running(
         {
             "seq": F.lit(1),
             "switches": "changed_deck",
@@ -74,8 +77,7 @@ def with_running(timeline: Timeline) -> Timeline:
     runs = counted.running(
         {"__run_start": F.expr("CASE WHEN changed_deck = 1 OR previous_result IS NULL THEN seq END")}, how="max"
     )
-    runs = runs.on(runs.rows.withColumn("tenure", F.expr("seq - __run_start + 1")).drop("__run_start"))
-    return runs.running({"deck_n": F.lit(1)}, per=["deck"])
+    return runs.on(runs.rows.withColumn("tenure", F.expr("seq - __run_start + 1")).drop("__run_start"))
 
 
 def _summary(prefix: str) -> dict[str, str]:
@@ -238,10 +240,15 @@ def prebattle_contexts(
     if continuity == "same_collection":
         timeline = _with_collection(timeline, history - 1, "__c")
     frame = timeline.window().rowsBetween(-(history - 1), 0)
-    rows = timeline.on(timeline.rows.withColumn("__history", F.collect_list(_history_struct()).over(frame))).result()
-    # The latest row per participant; limited to one per map task before the shuffle, if there is one.
-    latest = Window.partitionBy(ENTITY).orderBy(F.col("seq").desc())
-    kept = rows.withColumn("__nth", F.row_number().over(latest)).filter("__nth = 1").filter(F.col("seq") >= history)
+    rows = timeline.rows.withColumns(
+        {"__history": F.collect_list(_history_struct()).over(frame), "__next": F.lead("seq").over(timeline.window())}
+    )
+    # Nothing follows the latest row; of a split history each segment has such a row, the highest one counts.
+    ends = timeline.on(rows).result().filter("__next IS NULL")
+    if timeline.split:
+        latest = Window.partitionBy(ENTITY).orderBy(F.col("seq").desc())
+        ends = ends.withColumn("__nth", F.row_number().over(latest)).filter("__nth = 1")
+    kept = ends.filter(F.col("seq") >= history)
     if continuity == "same_collection":
         kept = kept.filter(_one_collection("__c", history))
     summary = _summary("")
