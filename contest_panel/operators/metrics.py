@@ -10,6 +10,7 @@ from contest_panel.operators.ranking import exact_quantiles, running_sums
 from contest_panel.operators.skew import small
 
 _EPS = "1e-15D"
+# Reporting levels and windows of the score coverage.
 COVERAGE_QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 COVERAGE_WINDOWS = ((0.05, 0.95), (0.10, 0.90), (0.20, 0.80), (0.40, 0.60))
 _P = f"greatest({_EPS}, least(1D - {_EPS}, score))"

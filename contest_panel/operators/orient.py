@@ -15,11 +15,6 @@ from contest_panel.functions.scalars import (
     minute_of,
 )
 
-SIDE_FIELDS = (
-    "tag", "name", "clan", "crowns", "king_hp", "princess_hp", "trophies", "trophy_change",
-    "global_rank", "elixir_leaked", "card_ids", "card_levels", "card_evo", "support_ids",
-    "team_size", "n_cards",
-)
 # A destroyed tower has no hit points, a player without a clan an empty tag.
 _DOCUMENTED_NULLS = {"king_hp": "0", "clan": "''"}
 SEASON_FIELDS = ("cards", "levels", "trophies", "crowns", "king_hp", "tag", "clan")

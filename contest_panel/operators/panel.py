@@ -131,7 +131,7 @@ def player_panel(melted: DataFrame, hot_rows: int = DEFAULT_HOT_ROWS, segment_ro
 
 def panel_summary(panel: DataFrame, active_battles: int = 20, thresholds: Sequence[int] = (10, 20, 50)) -> DataFrame:
     """Mean, sample deviation and exact quartiles of each measure among active participants, with the
-    participant counts on every line. Runs an action (exact quantiles)."""
+    participant counts on every line. Runs an action (exact quantiles); pass a stored panel."""
     active = panel.filter(F.col("battles") >= active_battles)
     pairs = F.explode(
         F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in SUMMARY_METRICS])

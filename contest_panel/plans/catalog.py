@@ -352,7 +352,7 @@ def player_panel(spark, folder):
 
 @query
 def panel_summary(spark, folder):
-    return rounded(panel.panel_summary(panel.player_panel(melted_ladder(spark, folder))))
+    return rounded(panel.panel_summary(materialise(panel.player_panel(melted_ladder(spark, folder)))))
 
 
 @query

@@ -213,8 +213,8 @@ def permutation_importance(
         moved = paired.withColumn(feature, F.col(f"__g_{feature}")).select(*held_out.columns)
         part = loss(moved, feature)
         shuffled = part if shuffled is None else shuffled.unionByName(part)
-    reference = base.select("log_loss").scalar()
-    return shuffled.select("feature", "log_loss", (F.col("log_loss") - reference).alias("increase"))
+    unshuffled = base.select("log_loss").scalar()
+    return shuffled.select("feature", "log_loss", (F.col("log_loss") - unshuffled).alias("increase"))
 
 
 # --- matchup ----------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ def append(parsed: DataFrame, path: str, by: str = "battle_time") -> None:
     """Append parsed rows under ``date=<UTC day of by>``; the run stays a column.
 
     The default partitions by contest day, so both copies of a contest share a partition and dedup
-    against stored keys reads only the touched days. The reference layout uses ``collected_at``.
+    against stored keys reads only the touched days; pass ``collected_at`` for partitions by collection day.
     """
     dated = parsed.withColumn("date", F.to_date(by))
     # Rebalanced by date: small days share a task, a very large day is split.
