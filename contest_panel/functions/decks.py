@@ -27,7 +27,7 @@ def total_of(values: str | Column) -> Column:
 def deck_total(values: str, size: int = DECK_SIZE) -> str:
     """SQL sum of an array of exactly ``size`` integers.
 
-    Spelled out, so Catalyst reads numbered source columns directly instead of building the array.
+    Spelled out, so it stays in generated code; a lambda would be interpreted row by row.
     """
     return "(" + " + ".join(f"get({values}, {i})" for i in range(size)) + ")"
 

@@ -63,7 +63,9 @@ def with_running(timeline: Timeline) -> Timeline:
     The count per deck needs an order of its own and comes first; all others share the time order.
     """
     lost, won = "previous_result = -1", "previous_result = 1"
-    counted = with_steps(timeline.running({"deck_n": F.lit(1)}, per=["deck"])).running(
+    # Placed by participant up front: that serves the windows per deck as well.
+    placed = timeline.on(timeline.rows.repartition(*timeline.keys))
+    counted = with_steps(placed.running({"deck_n": F.lit(1)}, per=["deck"])).running(
         {
             "seq": F.lit(1),
             "switches": "changed_deck",
