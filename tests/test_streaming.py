@@ -4,7 +4,7 @@ import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from contest_panel.operators import dedup, orient, sequences
+from contest_panel.operators import dedup, sequences
 from contest_panel.plans import fixtures as fx
 from contest_panel.streaming import context, ingest
 
