@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import language, quality
+from contest_panel.llm import jaccard, language, packing, quality, secrets
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_part("doc_id", 3) != 1)
     model = quality.fit(docs, labels)
     return quality.classify(docs, model).select("doc_id", (id_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        of("novel").alias("n_novel"),
+    )
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(documents(spark, sf_dir))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
