@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,20 @@ from pyspark.sql.types import StructType
 STEP_CHARS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each session's context, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_contest_panel_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    bundle = Path(tempfile.mkdtemp(prefix="contest-panel-")) / "contest_panel_llm.zip"
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as files:
+        for source in sorted(root.glob("contest_panel/**/*.py")):
+            files.write(source, source.relative_to(root))
+    context.addPyFile(str(bundle))  # Spark's file server sends it to the executors
+    context._contest_panel_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -54,6 +71,7 @@ def map_texts(
     ``keep`` maps names inside the slices to columns of the frame, so extra columns cannot clash with
     what an operator adds. ``work`` yields column dictionaries that fit ``schema``.
     """
+    ship(frame.sparkSession)
     chosen = frame.select(*[F.col(f"`{column}`").alias(name) for name, column in keep.items()], F.col(f"`{text}`").cast("string").alias("__text"))
     wanted = to_arrow(schema)
 
@@ -77,6 +95,7 @@ def filter_texts(
 
     Each row is judged by itself, so repeated rows and repeated ids stay or go one by one.
     """
+    ship(frame.sparkSession)
     wanted = to_arrow(frame.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

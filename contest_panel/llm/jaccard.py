@@ -2,19 +2,20 @@
 
 Texts become sets of hashed word shingles. Equal sets are one class from the start. Then:
 
-1. Tiles. Sizes are cut into bands. Two sets that link differ in at most a ninth of the smaller one, so if
-   hashes are dealt into more segments than that, at least one segment is equal in both sets (pigeonhole).
-   A set sends one key per segment of its band, and of the band below if a partner may be there; sets that
-   share a key meet. An empty segment sends a key only if a set has more of them than the spare segments.
-2. Connected keys form clusters, a superset of what links. The sets of a cluster are compared in tiles:
-   sorted by size, only within the size ratio; the differing bits of two bitmap signatures bound the overlap
-   from above; exact intersection of sorted arrays decides. Pairs already connected are passed over, since the
-   result is the component.
-3. A cluster over ``tile`` sets is first compared with a few of its members; what they join into one large
+1. Keys. Sizes are cut into bands. Two sets that link differ in few shingles, so if hashes are dealt into more
+   segments than that, some segments are equal in both sets (pigeonhole). A set sends one key per segment of
+   its band, and of the band below if a smaller partner may be there; sets that share a key meet.
+2. Tiles. The sets of a key are a tile. A signature is a bitmap of the parity of hash buckets: its differing
+   bits are at most the differing shingles, so they bound the overlap from above. Pairs whose bound is too low,
+   or whose sizes are, part here; the rest are candidates, and connected candidates form a cluster. A key with
+   more than ``KEY_TILE`` sets is not compared, all its sets are candidates.
+3. The sets of a cluster are compared in a tile of their own: sorted by size, signature bound again, then exact
+   intersection of the sorted arrays. Pairs already connected are passed over, since the result is the component.
+   A cluster over ``TILE`` sets is first compared with a few of its members; what they join into one large
    component needs no comparing among itself, so tiles pair blocks of the rest with blocks of all.
 
-Keys are as many as a ninth of the shingles or so; texts are read twice and not shuffled unless the clustered
-sets are too many to broadcast their ids. Sets and their hashes are 64 bits wide.
+Texts are read three times and not shuffled, unless the clustered sets are too many to broadcast their ids.
+Sets and shingles are known by hashes of 64 bits.
 
 Defined results: NULL, empty and blank texts have 0 shingles and are their own component; repeated rows and
 equal texts share a component; rows with NULL id take part, and a component is named by its smallest id that
@@ -24,6 +25,7 @@ is not NULL (NULL if there is none).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,10 @@ from contest_panel.llm.common import map_texts
 from contest_panel.llm.graph import BROADCAST_ROWS, components, stored
 
 BAND_RATIO = 1.5
-SPARE = 1
+SIGMAS = 4
 TILE = 4_096
 PIVOTS = 32
+KEY_TILE = 1_024
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,10 +87,22 @@ def node_of(found: np.ndarray) -> int:
         return int(_mix(np.array([total])).view(np.int64)[0])
 
 
-def segments(band: int, threshold: float) -> tuple[int, float, float]:
-    """(number of segments, least size, end of sizes) of the smaller set's band."""
+@lru_cache(maxsize=None)
+def segments(band: int, threshold: float) -> tuple[int, int]:
+    """Segments of the band of a pair's smaller set, and how many of them are spare.
+
+    Sets that link differ in at most (1 / threshold - 1) times the smaller one, so one segment more than that
+    is equal in both, and each spare one adds another. There are as many spare ones as segments may be empty
+    in nearly all sets of the band: then a segment that is equal and not empty is left.
+    """
     low, high = BAND_RATIO**band, BAND_RATIO ** (band + 1)
-    return int((1 / threshold - 1) * high + 1e-6) + 1 + SPARE, low, high
+    least = int((1 / threshold - 1) * high + 1e-6) + 1
+    spare = 1
+    while True:
+        empty = (least + spare) * np.exp(-low / (least + spare))
+        if spare >= min(least, empty + SIGMAS * np.sqrt(empty)):
+            return least + spare, spare
+        spare += 1
 
 
 def tile_keys(found: np.ndarray, threshold: float) -> np.ndarray:
@@ -98,12 +113,12 @@ def tile_keys(found: np.ndarray, threshold: float) -> np.ndarray:
     keys = []
     with np.errstate(over="ignore"):
         for own in bands:
-            n, _, _ = segments(own, threshold)
+            n, spare = segments(own, threshold)
             segment = ((found >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(segment, kind="stable")
             used, first = np.unique(segment[order], return_index=True)
             content = np.add.reduceat(_mix(found[order] + np.uint64(own + 1)), first, dtype=np.uint64)
-            if n - len(used) > SPARE:
+            if n - len(used) > spare:
                 full = np.zeros(n, np.uint64)
                 full[used] = content
                 used, content = np.arange(n), full
@@ -111,23 +126,57 @@ def tile_keys(found: np.ndarray, threshold: float) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
+def signature(found: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of the parity of each of ``bits`` hash buckets; the halves of a signature, xor-ed, are that of half the bits."""
+    odd = np.bincount(((found >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def width_for(size: int, least: int = 256) -> int:
+    return max(least, 1 << max(0, size - 1).bit_length())
+
+
+def may_link(size_a: int, size_b: int, differ: int, percent: int) -> bool:
+    """Whether sets of these sizes that differ in ``differ`` shingles at least can reach the similarity."""
+    if min(size_a, size_b) * 100 < percent * max(size_a, size_b):
+        return False
+    return (100 - percent) * (size_a + size_b) >= (100 + percent) * differ
+
+
+def differing(a: tuple[int, int], b: tuple[int, int]) -> int:
+    """Differing bits of two signatures, each (bits, number), folded to the smaller one's bits."""
+    (wide, x), (narrow, y) = (a, b) if a[0] >= b[0] else (b, a)
+    while wide > narrow:
+        wide //= 2
+        x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return (x ^ y).bit_count()
+
+
+def meet(nodes: list[int], sizes: list[int], signatures: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect the sets of a key whose signatures allow a link."""
+    group, parts, found = list(range(len(nodes))), len(nodes), []
+    for i in range(len(nodes) - 1):
+        if parts == 1:
+            break
+        for j in range(i + 1, len(nodes)):
+            if group[i] != group[j] and may_link(sizes[i], sizes[j], differing(signatures[i], signatures[j]), percent):
+                old, new = group[j], group[i]
+                group = [new if g == old else g for g in group]
+                parts -= 1
+                found.append((nodes[i], nodes[j]))
+    return found
+
+
 class Tile:
-    """Sets of one tile: finds enough links to connect what links, by size, bitmap bound and exact intersection."""
+    """Sets of one cluster: finds enough links to connect what links, by size, signature bound and exact intersection."""
 
     def __init__(self, sets: list[np.ndarray], threshold: float):
         self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         self.sets = [sets[i] for i in self.order]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.threshold = threshold
-        bits = 64
-        while bits < 8 * self.sizes.max():
-            bits *= 2
-        flags = np.zeros((len(sets), bits // 8), np.uint8)
-        for row, s in zip(flags, self.sets):
-            on = np.zeros(bits, bool)
-            on[(s >> np.uint64(7)) & np.uint64(bits - 1)] = True
-            row[:] = np.packbits(on)
-        self.maps = flags.view(np.uint64)
+        bits = width_for(2 * int(self.sizes.max()))
+        self.maps = np.stack([signature(s, bits) for s in self.sets]).view(np.uint64)
 
     def enough(self, overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         percent = round(self.threshold * 100)
@@ -185,6 +234,63 @@ def _tile_links(sets: DataFrame, tile: Column, threshold: float) -> DataFrame:
     return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
+def _meetings(frame: DataFrame, text: str, width: int, threshold: float, classes: DataFrame) -> DataFrame:
+    """Candidate links (a, b) that connect the sets of each key whose signatures allow a link."""
+    percent = round(threshold * 100)
+
+    def keyed(slices: Iterator) -> Iterator[dict]:
+        sent: set[int] = set()  # equal sets of one task send their keys once
+        for _, texts in slices:
+            nodes, keys = [], []
+            for t in texts:
+                found = shingles(t, width)
+                if len(found) and (node := node_of(found)) not in sent:
+                    keys.append(tile_keys(found, threshold))
+                    nodes.append(np.full(len(keys[-1]), node))
+                    if len(sent) < 1_000_000:
+                        sent.add(node)
+            if keys:
+                yield {"k": np.concatenate(keys), "node": np.concatenate(nodes)}
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sizes, signatures, star = None, [], [], [], False
+        for batch in batches:
+            found = []
+            for k, node, n, bitmap in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    if not star and len(nodes) > 1:
+                        found += meet(nodes, sizes, signatures, percent)
+                    now, nodes, sizes, signatures, star = k, [], [], [], False
+                if not star:
+                    if nodes and nodes[-1] == node:
+                        continue
+                    nodes.append(node)
+                    sizes.append(n)
+                    signatures.append((len(bitmap) * 8, int.from_bytes(bitmap, "little")))
+                    if len(nodes) > KEY_TILE:
+                        found += [(nodes[0], other) for other in nodes[1:]]
+                        star, nodes = True, nodes[:1]
+                elif node != nodes[0]:
+                    found.append((nodes[0], node))
+            yield pairs(found)
+        yield pairs([] if star or len(nodes) < 2 else meet(nodes, sizes, signatures, percent))
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = map_texts(frame, {}, text, "k long, node long", keyed)
+    by_key = Window.partitionBy("k").orderBy("node")
+    shared = (
+        keys.withColumn("before", F.lag("node").over(by_key))
+        .withColumn("after", F.lead("node").over(by_key))
+        .filter("(before is not null and before <> node) or (before is null and after is not null)")
+        .select("k", "node")
+    )
+    signed = shared.join(classes.select("node", "n", "bitmap"), "node").select("k", "node", "n", "bitmap")
+    return signed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(tiles, "a long, b long")
+
+
 def join_components(
     frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, threshold: float = 0.9, tile: int = TILE
 ) -> DataFrame:
@@ -195,29 +301,24 @@ def join_components(
     kind = frame.schema[key].dataType.simpleString()
 
     def first(slices: Iterator) -> Iterator[dict]:
-        sent: set[int] = set()  # equal sets of one task send their keys once
         for batch, texts in slices:
-            sizes, nodes, keys = [], [], []
-            for t in texts:
-                found = shingles(t, width)
-                sizes.append(len(found))
-                nodes.append(node_of(found) if len(found) else None)
-                new = len(found) and nodes[-1] not in sent
-                keys.append(tile_keys(found, threshold) if new else [])
-                if new and len(sent) < 1_000_000:
-                    sent.add(nodes[-1])
-            yield {"key": batch.column(0), "n": sizes, "node": nodes, "keys": keys}
-
-    every = stored(map_texts(frame, {"key": key}, text, f"key {kind}, n long, node long, keys array<long>", first))
-    star = Window.partitionBy("k").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    met = every.select(F.explode("keys").alias("k"), "node").withColumn("center", F.min("node").over(star)).filter("center <> node")
-    clusters = stored(components(met.select(F.col("center").alias("a"), F.col("node").alias("b"))))
-
-    classes = every.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"))
-    links = _links(frame, key, text, width, threshold, tile, clusters, classes)
-    labels = components(links)
-    named = labels.join(classes, "node").select("label", "node", "key")
+            found = [shingles(t, width) for t in texts]
+            yield {
+                "key": batch.column(0),
+                "n": [len(f) for f in found],
+                "node": [node_of(f) if len(f) else None for f in found],
+                "bitmap": [signature(f, width_for(len(f))).tobytes() if len(f) else None for f in found],
+            }
+
+    every = stored(map_texts(frame, {"key": key}, text, f"key {kind}, n long, node long, bitmap binary", first))
+    classes = stored(
+        every.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    )
+    clusters = stored(components(_meetings(frame, text, width, threshold, classes)))
+    labels = components(_links(frame, key, text, width, threshold, tile, clusters, classes))
+    named = labels.join(classes.select("node", "key"), "node")
     ends = named.groupBy("label").agg(F.min("key").alias("component"))
+    # Rows of classes of their own keep their id; the others look up their component.
     linked = named.join(ends, "label").select("node", "component")
     by_node = classes.join(linked, "node", "left").select("node", F.coalesce("component", "key").alias("component_id"))
     result = every.select("key", "n", "node").join(by_node, "node", "left")
