@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from contest_panel.llm.common import map_texts
 from contest_panel.llm.graph import stored
-from contest_panel.llm.tokens import encoder, token_file
+from contest_panel.llm.tokens import byte_ids, token_file
 
 CAPACITY = 2_048
 SALTS = 64
@@ -141,16 +141,14 @@ class Places:
         return self.sequence[at] + inside // self.copies[at], self.offset[at] + inside % self.copies[at] * length
 
 
-def pieces(frame: DataFrame, key: str, text: str, path: str, end: int, capacity: int) -> DataFrame:
+def pieces(frame: DataFrame, key: str, text: str, files: tuple[str, str | None], end: int, capacity: int) -> DataFrame:
     """Pieces of every document: key, piece, start, length, ids_crc32."""
 
     def work(slices: Iterator) -> Iterator[dict]:
-        encode = encoder(path, spaced=True).encode
-        tail = np.array([end], "<u4")
         for batch, texts in slices:
             rows: list[tuple] = []
-            for k, ids in enumerate(encode(texts)):
-                ids = np.concatenate([ids, tail])
+            for k, own in enumerate(byte_ids(texts, *files)):
+                ids = np.array([*own, end], "<u4")
                 cut = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                 rows += [(k, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
             of, piece, start, length, crc = zip(*rows) if rows else [()] * 5
@@ -161,12 +159,20 @@ def pieces(frame: DataFrame, key: str, text: str, path: str, end: int, capacity:
 
 
 def pack(
-    frame: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = 0, capacity: int = CAPACITY
+    frame: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    files: tuple[str, str | None] | None = None,
+    end: int = 0,
+    capacity: int = CAPACITY,
 ) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset. Runs actions."""
-    path = path or token_file("byte_bpe_50k.json")
+    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset. Runs actions.
+
+    ``files``: a byte-level file for ``tokenizers`` and, if there is one, its vocabulary as ranks.
+    """
+    files = files or (token_file("byte_bpe_50k.json"), token_file("byte_bpe_50k.tiktoken"))
     bucket = F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(SALTS))
-    cut = stored(pieces(frame, key, text, path, end, capacity).withColumn("bucket", bucket))
+    cut = stored(pieces(frame, key, text, files, end, capacity).withColumn("bucket", bucket))
     counted = stored(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))  # capacity x SALTS rows at most
     counts = np.zeros(capacity + 1, np.int64)
     for row in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():
