@@ -378,3 +378,22 @@ def _links(
     alls = spread.select(F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"), "label", "node", F.lit(False).alias("left"), "content")
     cross = _tile_links(lefts.unionByName(alls), F.xxhash64("label", "row", "column"), threshold)
     return plain.unionByName(near).unionByName(cross)
+
+
+def keep_one(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows of ``frame`` without near duplicates: of each component the row with the smallest id stays. Runs actions.
+
+    Ids that are NULL come last. Rows of equal id are told apart by their text; of rows equal in both one stays.
+    Texts without words are no duplicates of each other.
+    """
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    keyed = frame.withColumn("__key", own)
+    found = stored(join_components(keyed, "__key", text, width, threshold))
+    wide = lambda few: F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    copies = found.filter("__key <> component_id").select("__key").distinct()
+    kept = keyed.join(wide(copies), "__key", "left_anti")
+    repeated = found.filter("__key = component_id").groupBy("__key").count().filter("count > 1").select("__key")
+    if not repeated.isEmpty():
+        again = wide(repeated)
+        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*[f"`{c}`" for c in frame.columns])
