@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, packing, quality, secrets
+from contest_panel.llm import jaccard, language, packing, quality, secrets, sentencepieces
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(documents(spark, sf_dir))
