@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, packing, quality, secrets, sentencepieces
+from contest_panel.llm import jaccard, language, packing, quality, secrets, sentencepieces, wavelet
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sentencepiece")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(documents(spark, sf_dir))
+
+
+@query("op6_token_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.write_shards(documents(spark, sf_dir)), "doc_id", "bigint")
