@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, packing, quality, secrets, sentencepieces, wavelet
+from contest_panel.llm import jaccard, language, packing, quality, secrets, sentencepieces, sketches, wavelet
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(documents(spark, sf_dir)), "doc_id", "bigint")
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_pairs(documents(spark, sf_dir))
