@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contest_panel.llm.common import map_texts
 from contest_panel.llm.graph import BROADCAST_ROWS, components, stored
+from contest_panel.llm.words import mix
 
 BAND_RATIO = 1.5
 SIGMAS = 4
@@ -41,12 +42,6 @@ PIVOTS = 32
 KEY_TILE = 1_024
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words of a text, A-Z in lower case; words are cut at blanks of ASCII."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -63,7 +58,7 @@ def word_hashes(text: str) -> np.ndarray:
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(length.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
         value = np.where(blank, np.uint64(0), (low.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(inside, len(powers) - 1)])
-        return _mix(np.add.reduceat(value, start, dtype=np.uint64) + length.astype(np.uint64))
+        return mix(np.add.reduceat(value, start, dtype=np.uint64) + length.astype(np.uint64))
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -76,15 +71,15 @@ def shingles(text: str, width: int) -> np.ndarray:
         found = np.full(len(words) - width + 1, width, np.uint64)
         for i in range(width):
             found = found * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - width + 1 + i]
-        return np.unique(_mix(found))
+        return np.unique(mix(found))
 
 
 def node_of(found: np.ndarray) -> int:
     """Identity of a set."""
     with np.errstate(over="ignore"):
         place = np.arange(1, len(found) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        total = _mix(found + place).sum(dtype=np.uint64) + np.uint64(len(found))
-        return int(_mix(np.array([total])).view(np.int64)[0])
+        total = mix(found + place).sum(dtype=np.uint64) + np.uint64(len(found))
+        return int(mix(np.array([total])).view(np.int64)[0])
 
 
 @lru_cache(maxsize=None)
@@ -117,12 +112,12 @@ def tile_keys(found: np.ndarray, threshold: float) -> np.ndarray:
             segment = ((found >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(segment, kind="stable")
             used, first = np.unique(segment[order], return_index=True)
-            content = np.add.reduceat(_mix(found[order] + np.uint64(own + 1)), first, dtype=np.uint64)
+            content = np.add.reduceat(mix(found[order] + np.uint64(own + 1)), first, dtype=np.uint64)
             if n - len(used) > spare:
                 full = np.zeros(n, np.uint64)
                 full[used] = content
                 used, content = np.arange(n), full
-            keys.append(_mix(content + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own * 7919 + 13)))
+            keys.append(mix(content + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(own * 7919 + 13)))
     return np.concatenate(keys).view(np.int64)
 
 
