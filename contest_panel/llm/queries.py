@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, licenses, packing, quality, secrets, sentencepieces, sketches, wavelet
+from contest_panel.llm import jaccard, language, licenses, packing, quality, search, secrets, sentencepieces, sketches, wavelet
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_pairs(documents(spark, sf_dir))
+
+
+@query("op10_top_k_search")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), F.col("doc_id") % 100 == 0)
