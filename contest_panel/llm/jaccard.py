@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from contest_panel.llm.common import map_texts
 from contest_panel.llm.graph import BROADCAST_ROWS, components, stored
 from contest_panel.llm.words import mix
+from contest_panel.operators.skew import join_on_key
 
 BAND_RATIO = 1.5
 SIGMAS = 4
 TILE = 4_096
 PIVOTS = 32
 KEY_TILE = 1_024
+HOT_COPIES = 1_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -229,7 +231,7 @@ def _tile_links(sets: DataFrame, tile: Column, threshold: float) -> DataFrame:
     return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def _meetings(frame: DataFrame, text: str, width: int, threshold: float, classes: DataFrame) -> DataFrame:
+def _meetings(frame: DataFrame, width: int, threshold: float, classes: DataFrame) -> DataFrame:
     """Candidate links (a, b) that connect the sets of each key whose signatures allow a link."""
     percent = round(threshold * 100)
 
@@ -274,7 +276,7 @@ def _meetings(frame: DataFrame, text: str, width: int, threshold: float, classes
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = map_texts(frame, {}, text, "k long, node long", keyed)
+    keys = map_texts(frame, {}, "text", "k long, node long", keyed)
     by_key = Window.partitionBy("k").orderBy("node")
     shared = (
         keys.withColumn("before", F.lag("node").over(by_key))
@@ -294,6 +296,7 @@ def join_components(
     Two sets link when their Jaccard similarity is ``threshold`` (whole percents) or more. Runs actions.
     """
     kind = frame.schema[key].dataType.simpleString()
+    frame = frame.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def first(slices: Iterator) -> Iterator[dict]:
         for batch, texts in slices:
@@ -305,24 +308,29 @@ def join_components(
                 "bitmap": [signature(f, width_for(len(f))).tobytes() if len(f) else None for f in found],
             }
 
-    every = stored(map_texts(frame, {"key": key}, text, f"key {kind}, n long, node long, bitmap binary", first))
+    every = stored(map_texts(frame, {"key": "key"}, "text", f"key {kind}, n long, node long, bitmap binary", first))
     classes = stored(
-        every.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        every.filter(F.col("node").isNotNull()).groupBy("node").agg(
+            F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("copies")
+        )
     )
-    clusters = stored(components(_meetings(frame, text, width, threshold, classes)))
-    labels = components(_links(frame, key, text, width, threshold, tile, clusters, classes))
+    clusters = stored(components(_meetings(frame, width, threshold, classes)))
+    labels = components(_links(frame, width, threshold, tile, clusters, classes))
     named = labels.join(classes.select("node", "key"), "node")
     ends = named.groupBy("label").agg(F.min("key").alias("component"))
     # Rows of classes of their own keep their id; the others look up their component.
     linked = named.join(ends, "label").select("node", "component")
     by_node = classes.join(linked, "node", "left").select("node", F.coalesce("component", "key").alias("component_id"))
-    result = every.select("key", "n", "node").join(by_node, "node", "left")
+    hot = classes.filter(F.col("copies") >= HOT_COPIES).select("node")  # a row for every HOT_COPIES rows at most
+    found = hot.count()
+    hot = (F.broadcast(hot) if found <= BROADCAST_ROWS else hot) if found else None
+    result = join_on_key(every.select("key", "n", "node"), by_node, "node", "left", hot, "key")
     own = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return result.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _links(
-    frame: DataFrame, key: str, text: str, width: int, threshold: float, tile: int, clusters: DataFrame, classes: DataFrame
+    frame: DataFrame, width: int, threshold: float, tile: int, clusters: DataFrame, classes: DataFrame
 ) -> DataFrame:
     """Links (a, b) between nodes that connect what links inside the clusters."""
 
@@ -335,11 +343,12 @@ def _links(
                 contents.append(found.tobytes())
             yield {"node": nodes, "content": contents}
 
+    frame = frame.alias("frame")
     few = clusters.count() <= BROADCAST_ROWS
     wide = F.broadcast if few else lambda f: f
     wanted = classes.join(clusters, "node").select("key", "node", "label")
-    chosen = frame.join(wide(wanted.select(F.col("key").alias("__wanted"))), frame[key].eqNullSafe(F.col("__wanted")), "left_semi")
-    sets = map_texts(chosen, {}, text, "node long, content binary", second).join(wide(clusters), "node")
+    chosen = frame.join(wide(wanted.select(F.col("key").alias("wanted"))), F.col("frame.key").eqNullSafe(F.col("wanted")), "left_semi")
+    sets = map_texts(chosen, {}, "text", "node long, content binary", second).join(wide(clusters), "node")
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.filter(F.col("members") > tile)
     if large.isEmpty():
@@ -382,13 +391,16 @@ def keep_one(frame: DataFrame, key: str = "doc_id", text: str = "text", width: i
     Texts without words are no duplicates of each other.
     """
     own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    keyed = frame.withColumn("__key", own)
-    found = stored(join_components(keyed, "__key", text, width, threshold))
+    name = "__key"
+    while name in frame.columns:
+        name += "_"
+    keyed = frame.withColumn(name, own)
+    found = stored(join_components(keyed, name, text, width, threshold))
     wide = lambda few: F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-    copies = found.filter("__key <> component_id").select("__key").distinct()
-    kept = keyed.join(wide(copies), "__key", "left_anti")
-    repeated = found.filter("__key = component_id").groupBy("__key").count().filter("count > 1").select("__key")
+    copies = found.filter(F.col(name) != F.col("component_id")).select(name).distinct()
+    kept = keyed.join(wide(copies), name, "left_anti")
+    repeated = found.filter(F.col(name) == F.col("component_id")).groupBy(name).count().filter("count > 1").select(name)
     if not repeated.isEmpty():
         again = wide(repeated)
-        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
     return kept.select(*[f"`{c}`" for c in frame.columns])
