@@ -32,15 +32,18 @@ def deck_total(values: str, size: int = DECK_SIZE) -> str:
     return "(" + " + ".join(f"get({values}, {i})" for i in range(size)) + ")"
 
 
-def sorted_deck(cards: str | Column) -> Column:
-    """Order-free deck key; arrays group and compare natively."""
-    return F.sort_array(as_column(cards))
-
-
 def packed_deck(indices: str | Column) -> Column:
-    """Sorted item indices (< 128) packed into one bigint, lowest index in the lowest digit."""
-    ordered = F.sort_array(as_column(indices), asc=False)
-    return F.aggregate(ordered, F.lit(0).cast("bigint"), lambda acc, x: acc * F.lit(DECK_BASE) + x.cast("bigint"))
+    """Sorted item indices (1 to 127, 0 for unseen) packed into one bigint, lowest index in the lowest digit.
+
+    An index outside that range, or a deck too large for the bigint, is an error rather than another deck's key.
+    """
+    indices = as_column(indices)
+    ordered = F.sort_array(indices, asc=False)
+    packed = F.aggregate(ordered, F.lit(0).cast("bigint"), lambda acc, x: acc * F.lit(DECK_BASE) + x.cast("bigint"))
+    fits = (F.array_max(indices) < DECK_BASE) & (F.array_min(indices) >= 0) & (F.size(indices) <= DECK_SIZE)
+    return F.when(fits | (F.size(indices) == 0), packed).when(
+        ~fits, F.raise_error(F.lit("deck index does not fit the packed key")).cast("bigint")
+    )
 
 
 def is_full_deck(cards: str | Column, size: int = DECK_SIZE) -> Column:

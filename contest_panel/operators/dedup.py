@@ -17,7 +17,8 @@ COLLECTION_ORDER = ("collected_at", "run_id")
 
 
 def _edge_row(frame: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    spec = Window.partitionBy(*keys).orderBy(*order)
+    # Ties are settled by content, so rows that still tie are equal and any of them will do.
+    spec = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]))
     return frame.withColumn("__nth", F.row_number().over(spec)).filter("__nth = 1").drop("__nth")
 
 
@@ -83,19 +84,19 @@ def merge_new_members(existing: DataFrame, incoming: DataFrame, key: str = "tag"
 def upsert_poll_state(cohort: DataFrame, polls: DataFrame) -> DataFrame:
     """Apply one pass of polling results to the cohort counters.
 
-    ``polls``: one row per polled member with ``polled_at`` (NULL when the fetch failed) and ``kept``.
+    ``polls``: rows of polled members with ``polled_at`` (NULL when the fetch failed) and ``kept``; several
+    polls of a member are combined first, so a member stays one row.
     """
-    update = polls.select(
-        "tag",
-        "polled_at",
-        F.col("kept").alias("__kept"),
-        F.when(F.col("polled_at").isNull(), 1).otherwise(0).alias("__fail"),
+    update = polls.groupBy("tag").agg(
+        F.max("polled_at").alias("polled_at"),
+        F.count("polled_at").alias("__ok"),
+        F.sum(F.when(F.col("polled_at").isNotNull(), F.col("kept"))).alias("__kept"),
+        F.count_if(F.col("polled_at").isNull()).alias("__fail"),
     )
-    ok = F.col("polled_at").isNotNull()
     return cohort.join(update, "tag", "left").select(
         *[c for c in cohort.columns if c not in ("last_polled", "n_polls", "n_battles", "n_fail")],
         F.coalesce("polled_at", "last_polled").alias("last_polled"),
-        (F.col("n_polls") + F.when(ok, 1).otherwise(0)).alias("n_polls"),
-        (F.col("n_battles") + F.when(ok, F.coalesce("__kept", F.lit(0))).otherwise(0)).alias("n_battles"),
+        (F.col("n_polls") + F.coalesce("__ok", F.lit(0))).alias("n_polls"),
+        (F.col("n_battles") + F.coalesce("__kept", F.lit(0))).alias("n_battles"),
         (F.col("n_fail") + F.coalesce("__fail", F.lit(0))).alias("n_fail"),
     )

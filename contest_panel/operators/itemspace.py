@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contest_panel.functions.decks import DECK_SIZE
 from contest_panel.operators.orient import ladder_only
-from contest_panel.session import materialise, row_count_up_to
+from contest_panel.session import materialise, row_count_up_to, ship
 
 MATRIX_LIMIT = 20_000
 
@@ -115,10 +118,14 @@ def spectrum_report(spectrum: DataFrame, at: Sequence[int] = (1, 2, 4, 8, 12, 16
 
 
 def deck_vectors(decks: DataFrame, vectors: DataFrame, dimensions: int, deck: str = "deck") -> DataFrame:
-    """Sum of the item vectors of each distinct deck: (deck, vector)."""
+    """Sum of the item vectors of each distinct deck: (deck, vector, missing).
+
+    ``missing`` counts the deck's items without a vector; such a deck has no sum, its vector is NULL.
+    """
     items = decks.select(F.col(deck).alias("deck")).distinct().select("deck", F.explode("deck").alias("card"))
     sums = [F.expr(f"sum(cast(vector[{d}] AS double))") for d in range(dimensions)]
-    return items.join(vectors, "card").groupBy("deck").agg(F.array(*sums).alias("vector"))
+    found = items.join(vectors, "card", "left").groupBy("deck").agg(F.array(*sums).alias("vector"), F.count_if(F.col("vector").isNull()).alias("missing"))
+    return found.select("deck", F.when(F.col("missing") == 0, F.col("vector")).alias("vector"), "missing")
 
 
 def difference_long(battles: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -131,39 +138,63 @@ def difference_long(battles: DataFrame, key: Sequence[str]) -> DataFrame:
     return battles.selectExpr(*key, f"inline({entries})")
 
 
-def _norm(vector: str) -> str:
-    return f"sqrt(aggregate({vector}, 0D, (acc, x) -> acc + cast(x AS double) * cast(x AS double)))"
+#: Items asked for that travel with one scan of the vectors.
+ASKED_AT_ONCE = 1_000
 
 
-def nearest_items(vectors: DataFrame, named: DataFrame, k: int = 6, limit: int = 1_000) -> DataFrame:
-    """Top ``k`` cosine neighbours of each named item, itself excluded. Runs an action.
+def nearest_items(vectors: DataFrame, named: DataFrame, k: int = 6, at_once: int = ASKED_AT_ONCE) -> DataFrame:
+    """Top ``k`` cosine neighbours of each named item, itself excluded. Runs actions.
 
-    ``named`` holds the items asked for (at most ``limit``, checked). Their vectors travel with the scan
-    of ``vectors``, so items are never paired with one another, and the window keeps ``k`` rows per
-    named item in every map task before its shuffle.
+    ``named`` holds the items asked for, of any type and number. They go in blocks of about ``at_once``; a block's
+    normalised vectors are broadcast, each task multiplies its batches of vectors with them and keeps ``k`` rows
+    for each item asked for, and the window merges tasks. A vector without length has no direction: no neighbours.
     """
-    asked = vectors.join(named.select("item"), "item", "left_semi").limit(limit + 1).collect()
-    if len(asked) > limit:
-        raise ValueError(f"more than {limit} items asked for at once")
-    rows = ", ".join(
-        f"named_struct('query', {r['item']}L, 'direction', array({', '.join(f'{float(x)!r}D' for x in r['vector'])}))"
-        for r in asked
-    )
-    scored = (
-        vectors.selectExpr("item", "vector", f"{_norm('vector')} AS norm")
-        .selectExpr("item", "vector", "norm", f"inline(array({rows}))")
-        .filter("item <> query")
-        .selectExpr(
-            "query",
-            "item",
-            "aggregate(zip_with(vector, direction, (a, b) -> cast(a AS double) * b), 0D, (acc, x) -> acc + x)"
-            f" / (norm * {_norm('direction')}) AS similarity",
-        )
-    )
+    ship(vectors.sparkSession)
+    kind = vectors.schema["item"].dataType.simpleString()
+    asked = vectors.join(named.select("item").distinct(), "item", "left_semi")
+    blocks = max(1, -(-named.select("item").distinct().count() // at_once))
+    block_of = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    schema = f"query {kind}, item {kind}, similarity double"
+    parts = []
+    for number in range(blocks):
+        rows = asked.filter(block_of == number).select("item", "vector").collect()
+        held = vectors.sparkSession.sparkContext.broadcast([(r["item"], [float(x) for x in r["vector"]]) for r in rows])
+        parts.append(vectors.select("item", "vector").mapInPandas(_neighbours(held, k), schema))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     best = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "item")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _neighbours(held: Broadcast, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def unit(rows: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, length, out=np.full_like(rows, np.nan), where=length > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [item for item, _ in held.value]
+        asked = unit(np.array([v for _, v in held.value], np.float64)) if names else None
+        best: dict = {name: [] for name in names}
+        for batch in batches:
+            if asked is None or not len(batch):
+                continue
+            items = batch["item"].tolist()
+            cosine = unit(np.stack(batch["vector"].to_numpy()).astype(np.float64)) @ asked.T
+            for column, name in enumerate(names):
+                own = cosine[:, column]
+                usable = np.flatnonzero(~np.isnan(own))
+                if len(usable) > k + 1:
+                    edge = np.partition(own[usable], -(k + 1))[-(k + 1)]
+                    usable = usable[own[usable] >= edge]
+                merged = best[name] + [(-own[i], items[i]) for i in usable if items[i] != name]
+                best[name] = sorted(merged)[:k]
+        found = [(name, item, -s) for name in names for s, item in best[name]]
+        yield pd.DataFrame(found, columns=["query", "item", "similarity"])
+
+    return run
+
+
 def sign_checks(pmi_rows: DataFrame, expected: DataFrame) -> DataFrame:
     """PASS/FAIL of pre-registered PMI signs; ``expected``: card_i, card_j, sign. Absent pairs count as 0."""
     joined = expected.join(pmi_rows.select("card_i", "card_j", "pmi"), ["card_i", "card_j"], "left")

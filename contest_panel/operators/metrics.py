@@ -36,7 +36,7 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC AUC (tie-corrected) and average precision per group, from one ordered pass.
 
     Equal scores are counted together first, so a score shared by many rows costs one row. Groups must
-    be few (actions, runs). Runs an action.
+    be few (actions, runs). Undefined for a group of one class: NULL. Runs an action.
     """
     by = list(by)
     counted = scored.groupBy(*by, "score").agg(
@@ -50,7 +50,7 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if by:
         joined = summed.join(small(totals), by)
     else:
-        joined = summed.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+        joined = summed.join(F.broadcast(totals))  # one row
     parts = joined.selectExpr(
         *by, "all_pos", "all_neg",
         "pos * ((cneg - neg - base_neg) + neg / 2D) AS wins",
@@ -59,8 +59,8 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "cast(all_pos - (cpos - pos - base_pos) + all_neg - (cneg - neg - base_neg) AS double) AS precision_mass",
     )
     return parts.groupBy(*by).agg(
-        F.expr("sum(wins) / (max(cast(all_pos AS double)) * max(all_neg)) AS roc_auc"),
-        F.expr("sum(precision_mass) / max(all_pos) AS average_precision"),
+        F.expr("sum(wins) / nullif(max(cast(all_pos AS double)) * max(all_neg), 0D) AS roc_auc"),
+        F.expr("sum(precision_mass) / nullif(max(all_pos), 0) AS average_precision"),
     )
 
 
@@ -171,8 +171,8 @@ def variance_shares(components: DataFrame, names: Sequence[str], transitive: str
     variances = components.agg(*[F.var_samp(n).alias(n) for n in names])
     total = " + ".join(names)
     lines = ", ".join(
-        f"named_struct('component', '{n}', 'variance', {n}, 'share', {n} / ({total}), 'deck_share', "
-        + (f"{n} / ({transitive} + {cyclic})" if n in (transitive, cyclic) else "cast(NULL AS double)")
+        f"named_struct('component', '{n}', 'variance', {n}, 'share', {n} / nullif({total}, 0D), 'deck_share', "
+        + (f"{n} / nullif({transitive} + {cyclic}, 0D)" if n in (transitive, cyclic) else "cast(NULL AS double)")
         + ")"
         for n in names
     )

@@ -174,8 +174,19 @@ def focal_rows(parsed: DataFrame) -> DataFrame:
     """Clean, labelled contests to one row per participant, seen from that participant.
 
     Input must hold each ``battle_key`` once. Decks come sorted with levels aligned; a missing trophy
-    count stays NULL. Rows whose deck is not eight distinct items are left to ``history_violations``.
+    count stays NULL. A side whose deck is not eight distinct items is left out, its opponent's row stays;
+    ``focal_violations`` names what is left out.
     """
+    return _focal_sides(parsed).filter(is_full_deck("deck"))
+
+
+def focal_violations(parsed: DataFrame) -> DataFrame:
+    """Sides of clean, labelled contests without a focal row: battle_key, player_tag, problem."""
+    return _focal_sides(parsed).filter(~is_full_deck("deck")).selectExpr("battle_key", "player_tag", "'incomplete deck' AS problem")
+
+
+def _focal_sides(parsed: DataFrame) -> DataFrame:
+    """Both sides of every clean, labelled contest."""
 
     def view(own: str, other: str, won: int) -> str:
         return (
@@ -185,18 +196,10 @@ def focal_rows(parsed: DataFrame) -> DataFrame:
             f"'crown_difference', {own}_crowns - {other}_crowns, 'trophies', cast({own}_trophies AS double))"
         )
 
-    usable = parsed.filter("is_clean_1v1 AND label_a_win IS NOT NULL").filter(
-        is_full_deck("a_card_ids") & is_full_deck("b_card_ids")
-    )
+    usable = parsed.filter("is_clean_1v1 AND label_a_win IS NOT NULL")
     return usable.selectExpr(
         "battle_key", "battle_time", "collected_at", f"inline(array({view('a', 'b', 1)}, {view('b', 'a', 0)}))"
     ).selectExpr(
         "battle_key", "battle_time", "collected_at", "player_tag", "pairs.card AS deck", "pairs.level AS levels",
         "result", "crown_difference", "trophies",
     )
-
-
-def focal_rows_of(parsed: DataFrame, player: str) -> DataFrame:
-    """Focal rows of one named participant."""
-    mine = parsed.filter((F.col("a_tag") == player) | (F.col("b_tag") == player))
-    return focal_rows(mine).filter(F.col("player_tag") == player)

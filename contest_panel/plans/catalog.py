@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,7 +24,8 @@ from contest_panel.operators import (
     sequences,
 )
 from contest_panel.plans import dataset, fixtures as fx, models
-from contest_panel.session import materialise
+from contest_panel.session import checkpoint_folder, materialise
+from contest_panel.sources import season
 from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
 from contest_panel.sources.season import conversion_report as season_report
 
@@ -84,6 +86,20 @@ def day_exclusion(spark, folder):
     return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("battles"))
 
 
+@query
+def season_files(spark, folder):
+    """CSV files to Parquet, converted twice, read back without the 1st, 11th, 21st and 31st."""
+    base = f"{checkpoint_folder(spark)}/season-{uuid.uuid4().hex}"
+    fx.season_csv(spark, folder, f"{base}/csv")
+    for _ in range(2):
+        source = season.read_source(spark, f"{base}/csv", r"day=\d{8}/[^/]+\.csv$", r"day=(\d{8})/")
+        season.convert(source, f"{base}/parquet")
+    days = season.read_days(spark, f"{base}/parquet", exclude=["1012024"])
+    return days.groupBy("day").agg(
+        F.count(F.lit(1)).alias("battles"), F.sum("a_won").cast("long").alias("a_wins"), F.sum(decks.total_of("b_levels")).alias("b_levels")
+    )
+
+
 @query
 def season_neutral(spark, folder):
     battles = fx.season(spark, folder)
@@ -198,6 +214,24 @@ def focal_rows(spark, folder):
     )
 
 
+def planted_decks(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean contests where every fifth king tower value of side A comes with a repeated card."""
+    rows = dedup.clean_first(fx.parsed_log(spark, folder))
+    repeated = F.concat(F.slice("a_card_ids", 1, 7), F.slice("a_card_ids", 1, 1))
+    return rows.withColumn("a_card_ids", F.when(F.col("a_king_hp") % 5 == 0, repeated).otherwise(F.col("a_card_ids")))
+
+
+@query
+def focal_rows_planted(spark, folder):
+    """A bad deck costs its own side's row only."""
+    return orient.focal_rows(planted_decks(spark, folder)).select("battle_key", "player_tag", "result")
+
+
+@query
+def focal_violations(spark, folder):
+    return orient.focal_violations(planted_decks(spark, folder))
+
+
 @query
 def norm_tag(spark, folder):
     raw = fx.events(spark, folder).select(
@@ -276,6 +310,18 @@ def cohort_merge(spark, folder):
     return dedup.merge_new_members(existing, incoming)
 
 
+@query
+def cohort_upsert_repeated(spark, folder):
+    """Several polls of a member in one pass, some failed, are combined."""
+    cohort = fx.cohort_state(spark, folder)
+    polls = fx.events(spark, folder).filter("event_type <> 'signup' AND user_id % 3 <> 0").select(
+        fx.user_tag(F.col("user_id")).alias("tag"),
+        F.when(F.col("event_type") != "error", F.col("ts")).alias("polled_at"),
+        F.col("k").cast("long").alias("kept"),
+    )
+    return dedup.upsert_poll_state(cohort, polls).withColumn("last_polled", micros("last_polled"))
+
+
 @query
 def cohort_upsert(spark, folder):
     cohort = fx.cohort_state(spark, folder)
@@ -391,6 +437,14 @@ def displayed_levels(spark, folder):
     return rows.select("battle_key", "player_tag", text("displayed").alias("displayed"))
 
 
+@query
+def displayed_levels_incomplete(spark, folder):
+    """Two cards are missing from the dimension: their places are NULL and counted, never made up."""
+    rows = dimension.displayed_levels(clean_focal(spark, folder), fx.card_dimension(spark, complete=False))
+    shown = F.array_join("displayed", ",", "?").alias("displayed")
+    return rows.select("battle_key", "player_tag", shown, F.expr("size(filter(displayed, x -> x IS NULL))").alias("unknown"))
+
+
 @query
 def vocab_encode(spark, folder):
     """Indices against the incomplete dimension: unseen cards become 0."""
@@ -409,7 +463,7 @@ def entity_index(spark, folder):
 @query
 def deck_key(spark, folder):
     """Distinct packed deck keys with their use."""
-    words = dimension.vocabulary(fx.card_dimension(spark)).selectExpr("id", "idx - 1 AS idx")
+    words = dimension.vocabulary(fx.card_dimension(spark))
     decks_seen = melted_ladder(spark, folder).groupBy("deck").agg(F.count(F.lit(1)).alias("uses"))
     packed = dimension.encode(decks_seen, "deck", words, "idx")
     return packed.select(decks.packed_deck("idx").alias("deck_key"), text("deck").alias("deck"), "uses")
@@ -463,12 +517,13 @@ def spectrum(spark, folder):
 
 @query
 def deck_vectors(spark, folder):
-    """Deck vectors from the stored embeddings: card c uses vector c − first card."""
-    stored = fx.table(spark, folder, "embeddings").selectExpr(f"cast(vec_id + {fx.FIRST_CARD} AS int) AS card", "embedding AS vector")
+    """Deck vectors from the stored embeddings (card c uses vector c − first card), every dimension in millionths;
+    every tenth card has no vector, so its decks have none."""
+    stored = fx.table(spark, folder, "embeddings").filter("vec_id % 10 <> 9")
+    stored = stored.selectExpr(f"cast(vec_id + {fx.FIRST_CARD} AS int) AS card", "embedding AS vector")
     found = itemspace.deck_vectors(melted_ladder(spark, folder), stored, 64)
-    return rounded(
-        found.select(text("deck").alias("deck"), F.expr("vector[0] AS d0"), F.expr("vector[31] AS d31"), F.expr("vector[63] AS d63"))
-    )
+    whole = F.array_join(F.transform("vector", lambda x: F.round(x * 1e6).cast("long")), ",")
+    return found.select(text("deck").alias("deck"), whole.alias("vector"), "missing")
 
 
 @query
@@ -485,6 +540,16 @@ def nearest_items(spark, folder):
     return rounded(itemspace.nearest_items(vectors, named, 6))
 
 
+@query
+def nearest_items_named(spark, folder):
+    """Text ids, more items than travel at once, and vectors without a direction."""
+    stored = fx.table(spark, folder, "embeddings").selectExpr(
+        "concat('v', vec_id) AS item", "vec_id", "CASE WHEN vec_id % 7 = 3 THEN transform(embedding, x -> 0F) ELSE embedding END AS vector"
+    )
+    named = stored.filter("vec_id % 40 = 0 OR vec_id = 3").select("item")
+    return rounded(itemspace.nearest_items(stored.select("item", "vector"), named, 3, at_once=10))
+
+
 # --- sequences --------------------------------------------------------------------------------
 
 
@@ -769,6 +834,13 @@ def roc_auc(spark, folder):
     return rounded(metrics.ranking_metrics(fx.scored_rows(spark, folder), ["run"]).select("run", "roc_auc"))
 
 
+@query
+def one_class_metrics(spark, folder):
+    """A group with a single class has no ranking: NULL, and the others keep theirs."""
+    rows = fx.scored_rows(spark, folder).withColumn("label", F.expr("CASE WHEN run = 1 THEN 1 ELSE label END"))
+    return rounded(metrics.ranking_metrics(rows, ["run"]).select("run", "roc_auc"))
+
+
 @query
 def average_precision(spark, folder):
     return rounded(metrics.ranking_metrics(fx.scored_rows(spark, folder)).select("average_precision"))

@@ -8,6 +8,7 @@ from contest_panel.operators import assign, sequences
 from contest_panel.operators.dedup import clean_first
 from contest_panel.operators.dimension import displayed_levels
 from contest_panel.operators.orient import focal_rows
+from contest_panel.operators.quality import assert_empty
 from contest_panel.operators.skew import hot_keys, join_on_key
 from contest_panel.session import materialise
 
@@ -16,10 +17,13 @@ def stored_focal(parsed: DataFrame, dimension: DataFrame) -> DataFrame:
     """Focal rows of all clean contests with displayed levels, written once (an action).
 
     Eligibility, splits, window counts and examples all start from these rows, so parsing and dedup
-    run a single time.
+    run a single time. A card that the dimension lacks, or without a supported rarity, has no level on the
+    common scale: an error, since a feature made up for it would be wrong.
     """
     rows = displayed_levels(focal_rows(clean_first(parsed)), dimension, row_key=["player_tag", "battle_key"])
-    return materialise(rows.drop("levels").withColumnRenamed("displayed", "levels"))
+    stored = materialise(rows.drop("levels").withColumnRenamed("displayed", "levels"))
+    assert_empty(stored.filter("exists(levels, x -> x IS NULL)").select("battle_key", "player_tag", "deck"), "cards without a level")
+    return stored
 
 
 def eligible_players(focal: DataFrame, minimum: int) -> DataFrame:

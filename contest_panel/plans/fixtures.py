@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from contest_panel.operators import orient
 
@@ -54,16 +54,14 @@ def mode_sql(kind: str) -> str:
 
 
 def battles(spark: SparkSession, folder: str) -> DataFrame:
-    """Even events meet the following odd one; raw columns are joined, arrays built afterwards."""
-    source = events(spark, folder)
+    """Even events meet the following odd one: one scan, one shuffle on the pair number, no join."""
     raw = ("ts", "user_id", "event_type", "value", "k")
-
-    def half(parity: int, prefix: str) -> DataFrame:
-        picked = source.filter(f"event_id % 2 = {parity}")
-        return picked.selectExpr("event_id DIV 2 AS bid", *[f"{c} AS {prefix}{c}" for c in raw])
-
-    # Both halves grow with the table, so they meet by a shuffle on the pair number at every scale.
-    pairs = half(0, "h_").join(half(1, "w_").hint("shuffle_hash"), "bid").filter("h_user_id <> w_user_id")
+    pair = Window.partitionBy("bid").orderBy("event_id")
+    partner = F.lead(F.struct(*raw)).over(pair)
+    placed = events(spark, folder).withColumn("bid", F.expr("event_id DIV 2")).withColumn("w", partner)
+    pairs = placed.filter("event_id % 2 = 0 AND w IS NOT NULL AND user_id <> w.user_id").selectExpr(
+        "bid", *[f"{c} AS h_{c}" for c in raw], *[f"w.{c} AS w_{c}" for c in raw]
+    )
     sides = [
         f"{expr} AS {side}_{name}"
         for side, prefix in (("home", "h_"), ("away", "w_"))
@@ -153,6 +151,25 @@ def season_source(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def season_csv(spark: SparkSession, folder: str, path: str) -> None:
+    """The season source as wide CSV files under ``path``, a folder ``day=ddMMyyyy`` for each day.
+
+    Days of even numbers have their columns in reverse order, and a card list lies beside the battles.
+    """
+    source = season_source(spark, folder)
+    wide = [F.col("battleTime"), F.col("game_mode").alias("gameMode.id"), F.col("arena").alias("arena.id")]
+    for side in ("winner", "loser"):
+        for part, name in (("id", "cards"), ("level", "levels")):
+            wide += [F.get(f"{side}_{name}", F.lit(n - 1)).alias(f"{side}.card{n}.{part}") for n in range(1, 9)]
+        scalars = {"tag": "tag", "startingTrophies": "trophies", "crowns": "crowns", "kingTowerHitPoints": "king_hp", "clan.tag": "clan"}
+        wide += [F.col(f"{side}_{name}").alias(f"{side}.{scalar}") for scalar, name in scalars.items()]
+    day = F.date_format("day", "ddMMyyyy").alias("day")
+    for odd, columns in ((1, wide), (0, wide[::-1])):
+        rows = source.filter(F.dayofmonth("day") % 2 == odd).select(day, *columns)
+        rows.write.mode("append").option("header", True).partitionBy("day").csv(path)
+    card_dimension(spark).coalesce(1).write.option("header", True).csv(f"{path}/cards")
+
+
 def season(spark: SparkSession, folder: str) -> DataFrame:
     return orient.canonicalise_season(season_source(spark, folder))
 

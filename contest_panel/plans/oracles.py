@@ -189,6 +189,14 @@ SELECT tag, epoch_us(battle_time) // 60000000 AS minute, pairing, CAST(total_lev
 sql("focal_rows", """
 SELECT battle_key, player_tag, result, crown_difference, trophies, epoch_us(collected_at) AS collected,
   array_to_string(deck, ',') AS deck, array_to_string(levels, ',') AS levels FROM focal""")
+sql("season_files", """
+SELECT strftime(day, '%d%m%Y') AS day, count(*) AS battles, CAST(sum(a_won) AS BIGINT) AS a_wins,
+  CAST(sum(list_sum(b.levels)) AS BIGINT) AS b_levels FROM season WHERE strftime(day, '%d%m%Y') NOT LIKE '%1012024%' GROUP BY 1""")
+sql("focal_rows_planted", """
+SELECT battle_key, player_tag, result FROM focal0 JOIN (SELECT battle_key, a.tag AS bad, a.king_hp AS hp FROM clean_row) USING (battle_key)
+WHERE NOT coalesce(hp % 5 = 0 AND player_tag = bad, false)""")
+sql("focal_violations", """
+SELECT battle_key, a.tag AS player_tag, 'incomplete deck' AS problem FROM clean_row WHERE a.king_hp % 5 = 0""")
 sql("norm_tag", """
 SELECT event_id, '#U' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS tag FROM ev""")
 sql("dedup_first", """
@@ -214,6 +222,15 @@ sql("cohort_merge", """
 SELECT 'M' || c_custkey AS tag, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE upper(c_name) END AS name,
   CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) + CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS trophies
 FROM customer""")
+sql("cohort_upsert_repeated", """
+SELECT 'U' || lpad(CAST(c.user_id AS VARCHAR), 9, '0') AS tag,
+  epoch_us(coalesce(p.polled_at, CASE WHEN c.user_id % 5 <> 0 THEN c.last END)) AS last_polled,
+  CASE WHEN c.user_id % 5 = 0 THEN 0 ELSE c.n END + coalesce(p.ok, 0) AS n_polls,
+  CAST(c.n * 2 + coalesce(p.kept, 0) AS BIGINT) AS n_battles, c.bad + coalesce(p.fail, 0) AS n_fail
+FROM (SELECT user_id, max(ts) AS last, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM ev GROUP BY 1) c
+LEFT JOIN (SELECT user_id, max(ts) FILTER (event_type <> 'error') AS polled_at, count(*) FILTER (event_type <> 'error') AS ok,
+    sum(k) FILTER (event_type <> 'error') AS kept, count(*) FILTER (event_type = 'error') AS fail FROM ev
+  WHERE event_type <> 'signup' AND user_id % 3 <> 0 GROUP BY 1) p ON c.user_id = p.user_id""")
 sql("cohort_upsert", """
 SELECT 'U' || lpad(CAST(c.user_id AS VARCHAR), 9, '0') AS tag,
   epoch_us(coalesce(p.polled_at, CASE WHEN c.user_id % 5 <> 0 THEN c.last END)) AS last_polled,
@@ -379,6 +396,11 @@ _CONTINUOUS = ("crown_difference", "switch_magnitude", "log1p_time_gap_hours", "
 seq("displayed_levels", """
 SELECT battle_key, player_tag,
   array_to_string([levels[i] + [0, 2, 5, 8, 10][1 + deck[i] % 5] FOR i IN range(1, 9)], ',') AS displayed FROM focal""")
+seq("displayed_levels_incomplete", """
+SELECT battle_key, player_tag,
+  array_to_string([CASE WHEN deck[i] % 51 = 50 THEN '?' ELSE CAST(levels[i] + [0, 2, 5, 8, 10][1 + deck[i] % 5] AS VARCHAR) END
+    FOR i IN range(1, 9)], ',') AS displayed,
+  CAST(len([c FOR c IN deck IF c % 51 = 50]) AS INTEGER) AS unknown FROM focal""")
 seq("vocab_encode", """
 , words AS (SELECT id, row_number() OVER (ORDER BY id) AS idx FROM card WHERE id % 51 <> 50), coded AS (
   SELECT battle_key, player_tag, c, coalesce(idx, 0) AS idx
@@ -387,7 +409,7 @@ SELECT battle_key, player_tag, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY c)
 seq("entity_index", """
 SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS idx FROM (SELECT a.tag AS tag FROM season UNION SELECT b.tag FROM season)""")
 seq("deck_key", """
-SELECT CAST(sum((deck[i] - 26000000)::BIGINT * (1::BIGINT << (7 * (i - 1)))) AS BIGINT) AS deck_key,
+SELECT CAST(sum((deck[i] - 26000000 + 1)::BIGINT * (1::BIGINT << (7 * (i - 1)))) AS BIGINT) AS deck_key,
   array_to_string(deck, ',') AS deck, uses
 FROM (SELECT deck, count(*) AS uses FROM melted GROUP BY 1), unnest(range(1, 9)) r(i) GROUP BY deck, uses""")
 seq("jaccard", """
@@ -404,9 +426,14 @@ SELECT e.card_i, e.card_j, sign, round(coalesce(pmi, 0), 6) AS pmi,
   CASE WHEN sign = CASE WHEN coalesce(pmi, 0) < 0 THEN 'negative' ELSE 'positive' END THEN 'PASS' ELSE 'FAIL' END AS verdict
 FROM expected e LEFT JOIN pmi p ON p.card_i = e.card_i AND p.card_j = e.card_j""")
 seq("deck_vectors", """
-SELECT array_to_string(deck, ',') AS deck, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS d0,
-  round(sum(CAST(embedding[32] AS DOUBLE)), 6) AS d31, round(sum(CAST(embedding[64] AS DOUBLE)), 6) AS d63
-FROM (SELECT DISTINCT deck FROM melted) m, unnest(m.deck) u(c) JOIN embeddings ON vec_id = c - 26000000 GROUP BY deck""")
+, item AS (
+  SELECT deck, c, embedding FROM (SELECT DISTINCT deck FROM melted) m, unnest(m.deck) u(c)
+  LEFT JOIN embeddings ON vec_id = c - 26000000 AND vec_id % 10 <> 9
+), part AS (
+  SELECT deck, d, CAST(round(sum(CAST(embedding[d] AS DOUBLE)) * 1000000) AS BIGINT) AS v FROM item, range(1, 65) r(d) GROUP BY 1, 2
+), gap AS (SELECT deck, count(*) FILTER (embedding IS NULL) AS missing FROM item GROUP BY 1)
+SELECT array_to_string(deck, ',') AS deck, CASE WHEN missing = 0 THEN string_agg(CAST(v AS VARCHAR), ',' ORDER BY d) END AS vector, missing
+FROM part JOIN gap USING (deck) GROUP BY deck, missing""")
 seq("difference_long", """
 SELECT "at", a_tag, card, CAST(sum(v) AS INTEGER) AS value FROM (
   SELECT epoch_us(battle_time) AS "at", a.tag AS a_tag, unnest(a.cards) AS card, 1 AS v FROM season
@@ -418,6 +445,12 @@ seq("nearest_items", """
   FROM asked JOIN embeddings w ON w.vec_id = q JOIN embeddings v ON v.vec_id <> q)
 SELECT query, item, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank
 FROM scores QUALIFY rank <= 6""")
+seq("nearest_items_named", """
+, vec AS (SELECT 'v' || vec_id AS item, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 7 <> 3), scores AS (
+  SELECT q.item AS query, v.item, list_cosine_similarity(v.x, q.x) AS similarity
+  FROM vec q JOIN vec v ON v.item <> q.item WHERE q.vec_id % 40 = 0 OR q.vec_id = 3)
+SELECT query, item, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank
+FROM scores QUALIFY rank <= 3""")
 seq("sequence_windows", """
 SELECT e.example_id, e.seq - 11 AS window_start, count(*) AS length, epoch_us(min(l.battle_time)) AS starts,
   epoch_us(e.target_time) AS target_at, max(CASE WHEN l.position = 10 THEN array_to_string(l.deck, ',') END) AS last_deck
@@ -554,6 +587,12 @@ SELECT p.run, round(sum(CASE WHEN p.score > q.score THEN p.n * q.n WHEN p.score
   / sum(p.n * q.n), 6) AS roc_auc
 FROM (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM scored WHERE label = 1 GROUP BY 1, 2) p
 JOIN (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM scored WHERE label = 0 GROUP BY 1, 2) q ON p.run = q.run GROUP BY p.run""")
+seq("one_class_metrics", """
+, own AS (SELECT run, score, CASE WHEN run = 1 THEN 1 ELSE label END AS label FROM scored), pairs AS (
+  SELECT p.run, sum(CASE WHEN p.score > q.score THEN p.n * q.n WHEN p.score = q.score THEN p.n * q.n / 2 ELSE 0 END) / sum(p.n * q.n) AS auc
+  FROM (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM own WHERE label = 1 GROUP BY 1, 2) p
+  JOIN (SELECT run, score, CAST(count(*) AS DOUBLE) AS n FROM own WHERE label = 0 GROUP BY 1, 2) q ON p.run = q.run GROUP BY p.run)
+SELECT r.run, round(auc, 6) AS roc_auc FROM (SELECT DISTINCT run FROM own) r LEFT JOIN pairs USING (run)""")
 seq("average_precision", """
 , s AS (SELECT score, sum(label) AS pos, count(*) AS n FROM scored GROUP BY 1), c AS (
   SELECT pos, sum(pos) OVER o AS tp, sum(n) OVER o AS seen FROM s WINDOW o AS (ORDER BY score DESC))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +32,40 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only for local runs that name none."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a session with local threads may leave it unset (tests, the benchmark): it gets a folder of its own.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="contest-panel-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each context, wherever the driver was started.
+
+    The bundle is made in the driver's temporary folder; Spark's file server sends it on.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_contest_panel_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="contest-panel-")) / "contest_panel_bundle.zip"
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as files:
+        for source in sorted(root.glob("contest_panel/**/*.py")):
+            files.write(source, source.relative_to(root))
+    context.addPyFile(str(bundle))
+    context._contest_panel_shipped = True
+
+
 def materialise(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint (an action): later branches read files, not recomputed lineage."""
     checkpoint_folder(frame.sparkSession)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -43,24 +45,62 @@ def _narrowed(column: str) -> Column:
     return text if isinstance(kind, T.StringType) else text.try_cast("double").try_cast(kind)
 
 
-def missing_columns(frame: DataFrame) -> list[str]:
-    present = set(frame.columns)
-    return [c for c in source_columns() if c not in present]
+#: Battle files of a season folder, and the day in their path: the file name up to its first dot.
+BATTLE_FILES = r"\.csv(\.\w+)?$"
+FILE_DAY = r"([^/.]+)[^/]*$"
 
 
-def read_source(spark: SparkSession, path: str) -> DataFrame:
-    """The needed columns of season CSV files, with ``day`` from the file name.
-
-    Only the header decides the full column list; values are read as text and narrowed afterwards, so
-    the CSV reader parses just the selected columns.
+def source_files(spark: SparkSession, path: str, files: str = BATTLE_FILES) -> list[str]:
+    """Files below ``path`` (or itself) in whose path the pattern is found; other files of the tree, such as card lists, are passed over."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        raise FileNotFoundError(path)
+    listed, found = system.listFiles(hadoop, True), []
+    while listed.hasNext():
+        place = listed.next().getPath()
+        if re.search(files, place.toString()) and not place.getName().startswith(("_", ".")):
+            found.append(place.toString())
+    if not found:
+        raise FileNotFoundError(f"no season files matching {files} in {path}")
+    return sorted(found)
+
+
+def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of one CSV file; only its first line is read."""
+    java = spark._jvm
+    place, conf = java.org.apache.hadoop.fs.Path(file), spark._jsc.hadoopConfiguration()
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = java.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        line = java.java.io.BufferedReader(java.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), ()))
+
+
+def read_source(spark: SparkSession, path: str, files: str = BATTLE_FILES, day: str = FILE_DAY) -> DataFrame:
+    """The needed columns of season CSV files, with ``day`` from their path. Reads one line of every file ahead.
+
+    Columns go by each file's own header: files are read in groups of equal headers, and a file that lacks a
+    required column is an error that names it. ``files`` selects files by their path, ``day`` finds the day in a path.
+    Values are read as text and narrowed afterwards, so the CSV reader parses just the selected columns.
     """
-    everything = spark.read.option("header", True).csv(path)
-    absent = missing_columns(everything)
-    if absent:
-        raise ValueError(f"season source lacks required columns: {absent}")
-    typed = [_narrowed(c).alias(c) for c in source_columns()]
-    day = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("day")
-    return fold_numbered(everything.select(day, *typed))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in source_files(spark, path, files):
+        groups.setdefault(header_of(spark, file), []).append(file)
+    read = None
+    for header, own in groups.items():
+        absent = [c for c in source_columns() if c not in header]
+        if absent:
+            raise ValueError(f"season source lacks required columns: {absent} in {own[:5]}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(own)
+        typed = [_narrowed(c).alias(c) for c in source_columns()]
+        part = rows.select(F.regexp_extract(F.col("_metadata.file_path"), day, 1).alias("day"), *typed)
+        read = part if read is None else read.unionByName(part)
+    return fold_numbered(read)
 
 
 def fold_numbered(wide: DataFrame) -> DataFrame:
@@ -143,15 +183,21 @@ def stored_days(spark: SparkSession, destination: str) -> DataFrame | None:
     """Days present at the destination, from partition values alone."""
     if not path_exists(spark, destination):
         return None
-    return spark.read.parquet(destination).select(F.col("day").cast("string").alias("day")).distinct()
+    return _by_day(spark, destination).select("day").distinct()
+
+
+def _by_day(spark: SparkSession, path: str) -> DataFrame:
+    """Stored days with ``day`` as text: inferred as a number, a name such as 01042021 would lose its zero."""
+    inferred = spark.read.option("basePath", path).parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "day" else f for f in inferred])
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Stored days without those whose name contains an excluded token; the filter prunes partitions."""
-    battles = spark.read.option("basePath", path).parquet(path)
-    day = F.col("day").cast("string")
+    battles = _by_day(spark, path)
     for token in exclude:
-        battles = battles.filter(~day.contains(token))
+        battles = battles.filter(~F.col("day").contains(token))
     if not battles.limit(1).count():
         raise FileNotFoundError(f"no season days in {path} after excluding {tuple(exclude)}")
     return from_flat_view(battles)

@@ -10,8 +10,6 @@ from contest_panel.operators.orient import parse_battles
 from contest_panel.sources.live import append, of_types, raw_schema
 from contest_panel.sources.season import path_exists
 
-_MANY_DAYS = 400
-
 
 def read_pages(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
     """Raw contests from JSON-lines files as they arrive, stamped by their file."""
@@ -28,28 +26,20 @@ def parsed_pages(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
     return parse_battles(of_types(raw, types))
 
 
-def deduplicated(parsed: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Streaming dedup with bounded state: keys older than ``delay`` are forgotten.
-
-    Use :func:`exact_ingest` when a copy may arrive later than that.
-    """
-    return parsed.withWatermark("battle_time", delay).dropDuplicatesWithinWatermark(["battle_key"])
-
-
 def store_new(batch: DataFrame, path: str) -> None:
     """Append the rows of a batch whose key is not stored yet; running it twice stores nothing twice.
 
-    Both copies of a contest share its day, so only the stored days the batch touches are read.
+    Both copies of a contest share its day, so only the stored days the batch touches are read: partitions are
+    pruned by the batch's days while the query runs. Contests without a readable time share the NULL day.
     """
     spark = batch.sparkSession
     fresh = first_per_key(batch).withColumn("date", F.to_date("battle_time")).persist()
     kept = fresh
     if path_exists(spark, path):
         stored = spark.read.parquet(path).select("date", "battle_key")
-        days = [r[0] for r in fresh.select("date").distinct().limit(_MANY_DAYS + 1).collect()]
-        if len(days) <= _MANY_DAYS:
-            stored = stored.filter(F.col("date").isin(days))
-        kept = fresh.join(stored.select("battle_key"), "battle_key", "left_anti")
+        touched = stored.join(fresh.select("date").distinct(), "date", "left_semi")
+        known = touched.unionByName(stored.filter("date IS NULL")).select("battle_key")
+        kept = fresh.join(known, "battle_key", "left_anti")
     append(kept.drop("date"), path)
     fresh.unpersist()
 

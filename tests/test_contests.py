@@ -172,6 +172,50 @@ def test_large_dimension_takes_the_join(spark, focal):
     assert back.filter("exists(zip_with(deck, again, (d, a) -> a IS NOT NULL AND a <> d), x -> x)").count() == 0
 
 
+def test_both_lookups_agree_without_row_key(spark):
+    rows = spark.createDataFrame([(1, [5, 6, 5]), (1, [5, 6, 5]), (2, []), (3, None), (4, [9, None])], "n int, deck array<int>")
+    words = spark.createDataFrame([(5, 1), (6, 2), (7, 3)], "id int, idx int")
+    for default in (0, None):
+        small, large = (dimension.map_items(rows, "deck", words, "idx", "got", default, limit=n) for n in (10, 1))
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    twice = words.unionByName(words.limit(1))
+    for limit in (10, 1):
+        with pytest.raises(ValueError, match="repeated"):
+            dimension.map_items(rows, "deck", twice, "idx", "got", limit=limit)
+
+
+def test_dimension_reader(spark, tmp_path):
+    path = str(tmp_path / "cards.csv")
+    (tmp_path / "cards.csv").write_text("id,name,rarity\n1,Knight,Common\n2,Baby Dragon,epic\n")
+    cards = dimension.read_dimension(spark, path)
+    assert as_set(cards) == [(1, "Knight", "common"), (2, "Baby Dragon", "epic")]
+    rows = spark.createDataFrame([(2,), (3,)], "card int")
+    assert as_set(dimension.named_items(rows, cards)) == [(2, "Baby Dragon"), (3, None)]
+    (tmp_path / "bad.csv").write_text("id,name,rarity\n1,Knight,mythic\n")
+    with pytest.raises(ValueError, match="unusable"):
+        dimension.read_dimension(spark, str(tmp_path / "bad.csv"))
+
+
+def test_packed_deck_refuses_large_indices(spark):
+    row = spark.range(1).select(decks.packed_deck(F.expr("array(3, 200)")).alias("p"))
+    with pytest.raises(Exception, match="does not fit"):
+        row.collect()
+
+
+def test_unknown_cards_are_an_error(spark, parsed):
+    from contest_panel.plans import dataset
+
+    with pytest.raises(ValueError, match="without a level"):
+        dataset.stored_focal(parsed, fx.card_dimension(spark, complete=False))
+
+
+def test_tied_stamps_give_one_survivor(spark, parsed):
+    tied = parsed.withColumn("run_id", F.lit("one")).withColumn("collected_at", F.lit("2024-01-01").cast("timestamp"))
+    tied = tied.withColumn("arena", F.xxhash64("a_crowns", "type", "battle_time").cast("string")).unionByName(tied)
+    few, many = (dedup.first_per_key(tied.repartition(n)).select("battle_key", "arena") for n in (3, 7))
+    assert as_set(few) == as_set(many)
+
+
 def test_unknown_rarity_is_null(spark):
     row = spark.createDataFrame([("Epic",), ("mythic",)], "r string").select(decks.rarity_offset("r").alias("o")).collect()
     assert [r["o"] for r in row] == [5, None]

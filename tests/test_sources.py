@@ -70,6 +70,33 @@ def test_missing_source_column_is_an_error(spark, tmp_path):
         season_files.read_source(spark, str(tmp_path))
 
 
+def test_files_have_their_own_headers_and_day_names(spark, folder, csv_folder, tmp_path):
+    """Numeric day names keep their zeros, columns go by each file's header, other files are passed over."""
+    import shutil
+
+    import pandas as pd
+
+    base = tmp_path / "tree" / "deep"
+    base.mkdir(parents=True)
+    shutil.copy(f"{csv_folder}/2024-01-03.csv", base / "01042021.battles.csv")
+    other = pd.read_csv(f"{csv_folder}/2024-01-04.csv", dtype=str, keep_default_na=False)
+    other[other.columns[::-1]].to_csv(base / "02042021.battles.csv", index=False)
+    (base / "cards.csv").write_text("id,rarity\n1,common\n")
+    destination = str(tmp_path / "season")
+    for _ in range(2):
+        source = season_files.read_source(spark, str(tmp_path / "tree"), r"battles\.csv$")
+        report = {r["day"]: r["rows_written"] for r in season_files.convert(source, destination).collect()}
+    assert report == {}
+    stored = season_files.read_days(spark, destination)
+    want = fx.season(spark, folder).filter("day in ('2024-01-03', '2024-01-04')")
+    assert set(as_set(stored.select("battle_time", "a_tag", "b_cards", "a_won"))) < set(as_set(want.select("battle_time", "a_tag", "b_cards", "a_won")))
+    assert {r["day"] for r in season_files.read_days(spark, destination, ["01042021"]).select("day").distinct().collect()} == {"02042021"}
+    lacking = other.drop(columns=["loser.crowns"])
+    lacking.to_csv(base / "03042021.battles.csv", index=False)
+    with pytest.raises(ValueError, match="loser.crowns.*03042021"):
+        season_files.read_source(spark, str(tmp_path / "tree"), r"battles\.csv$")
+
+
 def test_flat_view_round_trip(season):
     again = season_files.from_flat_view(season_files.flat_view(season))
     assert as_set(again) == as_set(season)

@@ -37,14 +37,17 @@ def test_exact_ingest_equals_batch(spark, folder, parsed, pages, tmp_path):
     assert spark.read.parquet(stored).count() == want.count()
 
 
-def test_watermarked_dedup(spark, parsed, pages, tmp_path):
-    stream = ingest.deduplicated(ingest.parsed_pages(ingest.read_pages(spark, pages)), "60 days")
-    out = str(tmp_path / "out")
-    drain(
-        stream.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
-    )
-    assert as_set(spark.read.parquet(out).select("battle_key")) == as_set(parsed.select("battle_key").distinct())
+def test_replay_and_late_contests(spark, parsed, tmp_path):
+    """Rows without a readable time are stored once however often their batch runs; late new rows are kept."""
+    path = str(tmp_path / "stored")
+    rows = parsed.limit(40).withColumn("battle_time", F.when(F.col("a_crowns") > 1, F.col("battle_time"))).drop("date").cache()
+    keys = rows.select("battle_key").distinct().count()
+    for _ in range(3):
+        ingest.store_new(rows, path)
+    assert spark.read.parquet(path).count() == keys
+    late = rows.limit(1).withColumn("battle_key", F.lit("late")).withColumn("battle_time", F.lit("2020-01-01").cast("timestamp"))
+    ingest.store_new(late, path)
+    assert spark.read.parquet(path).filter("battle_key = 'late'").count() == 1
 
 
 def test_running_stats_equal_batch(spark, parsed, pages, tmp_path):
