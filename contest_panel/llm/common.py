@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,24 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from contest_panel.session import ship
+
 #: Characters that one step of an operator holds at a time; a longer text is a step of its own.
 STEP_CHARS = 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each session's context, wherever the driver was started."""
-    context = spark.sparkContext
-    if getattr(context, "_contest_panel_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    bundle = Path(tempfile.mkdtemp(prefix="contest-panel-")) / "contest_panel_llm.zip"
-    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as files:
-        for source in sorted(root.glob("contest_panel/**/*.py")):
-            files.write(source, source.relative_to(root))
-    context.addPyFile(str(bundle))  # Spark's file server sends it to the executors
-    context._contest_panel_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,10 +28,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contest_panel.llm.common import ship, steps, to_arrow
+from contest_panel.llm.common import steps, to_arrow
 from contest_panel.llm.graph import stored
 from contest_panel.llm.tokens import ENCODE_CHARS, token_file, word_encoder
-from contest_panel.session import parallelism
+from contest_panel.session import parallelism, ship
 
 SHARD_TOKENS = 1 << 20
 _HEAD = struct.Struct("<4sIQQ")
