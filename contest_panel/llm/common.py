@@ -27,7 +27,13 @@ def id_part(name: str, modulus: int) -> Column:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (NULL as empty), each of about ``chars`` characters at most.
+    """Slices of the batches with their texts (NULL as empty), each of about ``chars`` characters at most."""
+    for part, column in slices_of(batches, text, chars):
+        yield part, [t or "" for t in column.to_pylist()]
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their text columns.
 
     Whole texts: a slice ends before the text that would pass the limit, and has one text at least.
     """
@@ -39,7 +45,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, chars: int = STEP_CHARS)
             before = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, before + chars, side="right")))
             part = batch.slice(first, last - first)
-            yield part, [t or "" for t in column.slice(first, last - first).to_pylist()]
+            yield part, column.slice(first, last - first)
             first = last
 
 

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contest_panel.llm.common import steps, to_arrow
+from contest_panel.llm.common import slices_of, to_arrow
 from contest_panel.llm.graph import stored
 from contest_panel.llm.tokens import ENCODE_CHARS, token_file, word_encoder
 from contest_panel.session import parallelism, ship
@@ -180,8 +181,8 @@ def write_shards(
             keys, counts, ids, held, number = [], [], [], 0, number + 1
             return row
 
-        for batch, texts in steps(batches, "text", ENCODE_CHARS):
-            found, bounds = encoder.encode(texts)
+        for batch, texts in slices_of(batches, "text", ENCODE_CHARS):
+            found, bounds = encoder.encode(pc.fill_null(texts, ""))
             length = np.diff(bounds) + 1
             ends = np.cumsum(length)
             whole = np.insert(found, bounds[1:], end)
