@@ -172,7 +172,7 @@ def plain_search(texts, queries_, k):
     for q in queries_:
         scores = []
         for i, own in words.items():
-            s = sum(c * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * own[t] * 2.2 / (own[t] + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for t, c in words[q].items() if t in own)
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * own[t] * 2.2 / (own[t] + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for t in words[q] if t in own)
             if s > 0:
                 scores.append((-s, i))
         out[q] = sorted(scores)[:k]
@@ -180,7 +180,7 @@ def plain_search(texts, queries_, k):
 
 
 def test_search_is_exact(docs, texts, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_WORDS", 20_000)
+    monkeypatch.setattr(search, "SHARD_TERMS", 5_000)
     monkeypatch.setattr(search, "BLOCK", 8)
     monkeypatch.setattr(search, "QUERY_BYTES", 60_000)
     found = search.search(docs, F.col("doc_id") % 20 == 0, k=7).collect()
