@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from contest_panel.functions.scalars import equal_width_band, seeded_digest
 from contest_panel.operators.ranking import global_rank, hashed_rank
+from contest_panel.session import materialise
 
+# Own seeds.
 SPLIT_SEED = 20260910
 FOLD_SEED = 20260913
 NO_FOLD = 255
@@ -31,7 +33,11 @@ def time_split(
 
 
 def player_split(eligible: DataFrame, seed: int = SPLIT_SEED, key: str = "tag") -> DataFrame:
-    """70/15/15 split over all eligible participants: exact sizes, order from the seeded digest."""
+    """70/15/15 split over all eligible participants: exact sizes, order from the seeded digest.
+
+    The table is stored first, since the ranks read it twice and the total once (an action).
+    """
+    eligible = materialise(eligible)
     ranked = hashed_rank(eligible, [key], seed, name="__r")
     total = eligible.select(F.count(F.lit(1))).scalar()
     place = F.col("__r") - 1
@@ -47,12 +53,16 @@ def player_folds(
     """Size-balanced folds of training participants; others get 255.
 
     ``counts``: key, split, examples. Participants are dealt out in descending size, forwards and
-    backwards in turn, so fold totals differ by at most the largest participant. Runs an action.
+    backwards in turn, so fold totals differ by at most the largest participant. Fewer training participants than
+    folds, or one without examples, is an error. Runs actions.
     """
     if not 2 <= folds < NO_FOLD:
         raise ValueError("folds must be between 2 and 254")
-    staged = counts.withColumn("__digest", seeded_digest(seed, key))
+    staged = materialise(counts.withColumn("__digest", seeded_digest(seed, key)))
     training = staged.filter("split = 0")
+    players, idle = training.agg(F.count(F.lit(1)), F.count_if(F.coalesce(F.col(size), F.lit(0)) < 1)).head()
+    if players < folds or idle:
+        raise ValueError(f"{folds} folds cannot be filled: {players} training participants, {idle} of them have no example")
     ranked = global_rank(training, [F.col(size).desc(), "__digest", key], "__r")
     dealt = ranked.withColumn("__m", (F.col("__r") - 1) % (2 * folds)).withColumn(
         "fold", F.expr(f"cast(CASE WHEN __m < {folds} THEN __m ELSE {2 * folds - 1} - __m END AS int)")
@@ -87,7 +97,7 @@ def require_full_cells(sample: DataFrame, per_cell: int, cells: int = 4) -> Data
     """Raise unless every cell holds ``per_cell`` rows. Runs an action over at most ``cells`` groups."""
     sizes = sample.groupBy("next_switch", "next_win").count().collect()
     if len(sizes) != cells or any(row["count"] != per_cell for row in sizes):
-        raise ValueError(f"not enough distinct training participants per cell: {[tuple(r) for r in sizes]}")
+        raise ValueError(f"cells hold {[tuple(r) for r in sizes]}, wanted {cells} of {per_cell}")
     return sample
 
 

@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from contest_panel.functions.scalars import LOG_PAGE, TROPHY_CEILING, equal_width_band
 from contest_panel.operators.ranking import exact_quantiles
+from contest_panel.session import materialise
 
 
 def run_stats(log: DataFrame, stored: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Per run and type: seen, filtered, unparseable, new, duplicate and clean contests.
 
     ``log``: parsed rows of the runs plus rejected ones with a NULL ``battle_key``. A key is new in the
-    first row that carries it, unless already stored; keys are settled by one aggregation per key.
+    first row that carries it, unless already stored; keys are settled by one aggregation per key. Runs an action.
     """
     wanted = F.col("type").isin(list(types)) if types else F.lit(True)
     marked = log.select(
         "run_id", "type", "battle_key", "is_clean_1v1", "collected_at", F.coalesce(wanted, F.lit(False)).alias("wanted")
     )
+    marked = materialise(marked)  # a few narrow columns, read for the winners and for the totals
     usable = marked.filter("wanted AND battle_key IS NOT NULL")
     # One row per key wins; limited per map task before the shuffle.
     first = Window.partitionBy("battle_key").orderBy("collected_at", "run_id", "type")

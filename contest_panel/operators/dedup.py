@@ -17,7 +17,8 @@ COLLECTION_ORDER = ("collected_at", "run_id")
 
 
 def _edge_row(frame: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    # Ties are settled by content, so rows that still tie are equal and any of them will do.
+    # Ties are settled by content, so rows that still tie are equal and any of them will do. The content is the
+    # columns at hand: select what is needed beforehand, and the scan still reads no more than that.
     spec = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]))
     return frame.withColumn("__nth", F.row_number().over(spec)).filter("__nth = 1").drop("__nth")
 

@@ -56,6 +56,12 @@ def _routed(first: str, field: str, left: str, right: str) -> list[str]:
     ]
 
 
+#: Condition for two identified sides; other rows can't be parsed.
+IDENTIFIED = (
+    "size(team) > 0 AND size(opponent) > 0 AND coalesce(team[0].tag, '') <> '' AND coalesce(opponent[0].tag, '') <> ''"
+)
+
+
 def parse_battles(raw: DataFrame) -> DataFrame:
     """Nested contests (``team`` / ``opponent`` arrays) to one flat row each.
 
@@ -63,9 +69,7 @@ def parse_battles(raw: DataFrame) -> DataFrame:
     everything else is kept and flagged by ``is_clean_1v1``. Needs ``collected_at`` and ``run_id``.
     """
     # Orient the two nested sides once, then flatten only the oriented ones.
-    oriented = raw.filter(
-        "size(team) > 0 AND size(opponent) > 0 AND coalesce(team[0].tag, '') <> '' AND coalesce(opponent[0].tag, '') <> ''"
-    ).selectExpr(
+    oriented = raw.filter(IDENTIFIED).selectExpr(
         "battleTime", "collected_at", "run_id", "type", "gameMode", "arena", "deckSelection",
         "isLadderTournament", "isHostedMatch", "leagueNumber", "eventTag",
         "CASE WHEN team[0].tag <= opponent[0].tag THEN team ELSE opponent END AS __a",

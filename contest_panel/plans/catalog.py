@@ -247,19 +247,25 @@ def norm_tag(spark, folder):
 # --- dedup and maintenance joins --------------------------------------------------------------
 
 
+def _narrow(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The parsed log with what dedup orders by and the columns asked for."""
+    return fx.parsed_log(spark, folder).select("battle_key", "collected_at", "run_id", *columns)
+
+
 @query
 def dedup_first(spark, folder):
-    return dedup.first_per_key(fx.parsed_log(spark, folder)).select("battle_key", "run_id", "a_tag", "b_tag", "winner")
+    return dedup.first_per_key(_narrow(spark, folder, "a_tag", "b_tag", "winner")).drop("collected_at")
 
 
 @query
 def dedup_clean(spark, folder):
-    return dedup.clean_first(fx.parsed_log(spark, folder)).select("battle_key", "run_id", "label_a_win")
+    rows = dedup.clean_first(_narrow(spark, folder, "label_a_win", "is_clean_1v1"))
+    return rows.select("battle_key", "run_id", "label_a_win")
 
 
 @query
 def dedup_last(spark, folder):
-    return dedup.last_per_key(fx.parsed_log(spark, folder)).select("battle_key", "run_id", "winner")
+    return dedup.last_per_key(_narrow(spark, folder, "winner")).drop("collected_at")
 
 
 @query
@@ -273,7 +279,7 @@ def dedup_entity(spark, folder):
 @query
 def incremental_new(spark, folder):
     """The later run's rows that the earlier contests do not already hold."""
-    log = fx.parsed_log(spark, folder)
+    log = _narrow(spark, folder, "a_crowns")
     stored = log.filter(F.col("run_id").endswith("-a") & (F.col("a_crowns") % 2 == 0))
     batch = log.filter(F.col("run_id").endswith("-b"))
     return dedup.new_rows(batch, stored).select("battle_key", "run_id", "a_crowns")
@@ -281,7 +287,11 @@ def incremental_new(spark, folder):
 
 @query
 def eligible_players(spark, folder):
-    return dedup.eligible_entities(dedup.clean_first(fx.parsed_log(spark, folder)))
+    return dedup.eligible_entities(_clean_sides(spark, folder))
+
+
+def _clean_sides(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.clean_first(_narrow(spark, folder, "a_tag", "b_tag", "label_a_win", "is_clean_1v1"))
 
 
 @query
@@ -666,12 +676,12 @@ def time_split(spark, folder):
 
 @query
 def player_split(spark, folder):
-    eligible = dedup.eligible_entities(dedup.clean_first(fx.parsed_log(spark, folder)))
+    eligible = dedup.eligible_entities(_clean_sides(spark, folder))
     return assign.player_split(eligible).select("tag", "split")
 
 
 def _examples_per_player(spark: SparkSession, folder: str) -> DataFrame:
-    clean = dedup.clean_first(fx.parsed_log(spark, folder))
+    clean = materialise(dedup.clean_first(fx.parsed_log(spark, folder)))
     split = assign.player_split(dedup.eligible_entities(clean))
     sizes = sequences.window_counts(orient.focal_rows(clean)).selectExpr("player_tag AS tag", "windows AS examples")
     return split.join(sizes.filter("examples > 0"), "tag").select("tag", "split", "examples")
@@ -707,8 +717,10 @@ def hash_sample(spark, folder):
 @query
 def run_stats(spark, folder):
     """Statistics of both runs of every week, some contests unusable, some types filtered."""
-    log = fx.parsed_log(spark, folder).withColumn("battle_key", F.expr("CASE WHEN a_crowns + b_crowns < 6 THEN battle_key END"))
-    stored = fx.parsed_log(spark, folder).filter("a_crowns = 0").select("battle_key").distinct()
+    needed = ("run_id", "type", "battle_key", "is_clean_1v1", "collected_at", "a_crowns", "b_crowns")
+    parsed = materialise(fx.parsed_log(spark, folder).select(*needed))
+    log = parsed.withColumn("battle_key", F.expr("CASE WHEN a_crowns + b_crowns < 6 THEN battle_key END"))
+    stored = parsed.filter("a_crowns = 0").select("battle_key").distinct()
     return cohort.run_stats(log, stored, ["click", "view", "purchase", "error"])
 
 
@@ -766,7 +778,7 @@ def fold_scaling(spark, folder):
 @query
 def scaled_examples(spark, folder):
     """Summary columns standardised by the constants of the row's own fold."""
-    training = example_table(spark, folder).filter("split = 0")
+    training = materialise(example_table(spark, folder).filter("split = 0"))
     fitted = {kind: scaling.fit_per_fold(training, kind, NINE) for kind in ("level", "battle", "summary")}
     scaled = scaling.transform(training, fitted, NINE, fold=True)
     return rounded(

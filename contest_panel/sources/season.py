@@ -179,6 +179,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stored_days(spark: SparkSession, destination: str) -> DataFrame | None:
     """Days present at the destination, from partition values alone."""
     if not path_exists(spark, destination):

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from contest_panel.operators.dedup import first_per_key, upsert_poll_state
-from contest_panel.operators.orient import parse_battles
+from contest_panel.operators.cohort import run_stats
+from contest_panel.operators.orient import IDENTIFIED, parse_battles
 from contest_panel.sources.live import append, of_types, raw_schema
-from contest_panel.sources.season import path_exists
+from contest_panel.sources.season import path_exists, remove_path
 
 
 def read_pages(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -53,6 +54,33 @@ def exact_ingest(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     )
 
 
+def ingest_with_stats(
+    raw: DataFrame, path: str, stats: str, checkpoint: str, types: list[str] | None = None
+) -> DataStreamWriter:
+    """Like :func:`exact_ingest` for raw pages, with the counts of ``cohort.run_stats`` for every batch.
+
+    A batch writes ``b=<number>`` of ``stats`` before it stores contests, so one that runs again after it stored
+    some of them keeps its first counts. Sums over batches are those of one batch over everything.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{stats}/b={number}"
+        batch = batch.persist()
+        parsed = parse_battles(batch)
+        if not path_exists(spark, f"{own}/_SUCCESS"):
+            columns = ("run_id", "type", "battle_key", "is_clean_1v1", "collected_at")
+            rejected = batch.filter(f"NOT coalesce({IDENTIFIED}, false)").selectExpr(
+                "run_id", "type", "cast(NULL AS string) AS battle_key", "false AS is_clean_1v1", "collected_at"
+            )
+            log = parsed.select(*columns).unionByName(rejected)
+            stored = spark.read.parquet(path).select("battle_key") if path_exists(spark, path) else log.select("battle_key").limit(0)
+            run_stats(log, stored, types).write.mode("overwrite").parquet(own)
+        store_new(of_types(parsed, types), path)
+        batch.unpersist()
+
+    return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)
+
+
 def running_stats(parsed: DataFrame) -> DataFrame:
     """Contests and clean contests per run and type, for the update or complete output mode."""
     return parsed.groupBy("run_id", "type").agg(
@@ -63,11 +91,14 @@ def running_stats(parsed: DataFrame) -> DataFrame:
 def cohort_ingest(polls: DataFrame, base: str, checkpoint: str) -> DataStreamWriter:
     """Apply polling results batch by batch; each batch writes version ``v=<batch + 1>`` of the cohort.
 
-    Version 0 is the starting cohort. A repeated batch rebuilds the same version from its predecessor.
+    Version 0 is the starting cohort. A repeated batch rebuilds the same version from its predecessor; versions
+    before that are deleted, so two are kept.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         cohort = batch.sparkSession.read.parquet(f"{base}/v={number}")
         upsert_poll_state(cohort, batch).write.mode("overwrite").parquet(f"{base}/v={number + 1}")
+        if number:
+            remove_path(batch.sparkSession, f"{base}/v={number - 1}")
 
     return polls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)

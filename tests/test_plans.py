@@ -49,7 +49,8 @@ def test_examples_take_one_shuffle_and_two_sorts(focal):
 def test_clean_filter_reaches_the_live_scan(spark, parsed, tmp_path):
     path = str(tmp_path / "live")
     parsed.write.partitionBy("date").parquet(path)
-    plan = plan_of(dedup.clean_first(live.read_live(spark, path, None)).select("battle_key", "label_a_win"))
+    needed = live.read_live(spark, path, None).select("battle_key", "label_a_win", "is_clean_1v1", "collected_at", "run_id")
+    plan = plan_of(dedup.clean_first(needed).select("battle_key", "label_a_win"))
     assert "EqualTo(is_clean_1v1,true)" in plan
     scanned = plan[plan.index("FileScan parquet") :].split("]")[0]
     assert "card_ids" not in scanned

@@ -98,3 +98,38 @@ def test_cohort_counters(spark, tmp_path):
     assert (got["A"]["n_polls"], got["A"]["n_battles"], got["A"]["n_fail"]) == (1, 7, 0)
     assert (got["B"]["n_polls"], got["B"]["n_battles"], got["B"]["n_fail"]) == (2, 5, 2)
     assert as_set(dedup.upsert_poll_state(start, polls)) == as_set(spark.read.parquet(f"{base}/v=1").drop("v"))
+
+
+def test_statistics_of_the_ingest_equal_batch(spark, folder, pages, tmp_path):
+    """Every count of the batch statistics, with copies in later files, unusable rows and filtered types."""
+    from contest_panel.operators import cohort
+
+    types = ["click", "view", "purchase"]
+    stored, stats = str(tmp_path / "stored"), str(tmp_path / "stats")
+    again = str(tmp_path / "again")
+    raw = spark.read.schema(ingest.raw_schema()).json(pages)
+    broken = raw.limit(7).withColumn("team", F.expr("slice(team, 1, 0)"))
+    raw.unionByName(broken).unionByName(raw.limit(20)).repartition(6).write.json(again)
+    stream = ingest.read_pages(spark, again, files_per_trigger=2).withColumns({"run_id": F.lit("all"), "collected_at": F.lit("2024-02-01").cast("timestamp")})
+    drain(ingest.ingest_with_stats(stream, stored, stats, str(tmp_path / "mark"), types))
+    got = spark.read.parquet(stats).groupBy("run_id", "type").agg(*[F.sum(c).alias(c) for c in ("seen", "filtered", "unparseable", "new", "duplicate", "clean")])
+    every = spark.read.schema(ingest.raw_schema()).json(again).withColumns({"run_id": F.lit("all"), "collected_at": F.lit("2024-02-01").cast("timestamp")})
+    log = ingest.parse_battles(every).select("run_id", "type", "battle_key", "is_clean_1v1", "collected_at")
+    bad = every.filter(f"NOT coalesce({ingest.IDENTIFIED}, false)").selectExpr("run_id", "type", "cast(NULL AS string) AS battle_key", "false AS is_clean_1v1", "collected_at")
+    want = cohort.run_stats(log.unionByName(bad), log.select("battle_key").limit(0), types)
+    assert as_set(got) == as_set(want.select(got.columns))
+    assert spark.read.parquet(stored).select("battle_key").distinct().count() == spark.read.parquet(stored).count() == sum(r["new"] for r in want.collect())
+
+
+def test_repeated_polls_and_old_versions(spark, tmp_path):
+    base, source = str(tmp_path / "cohort"), str(tmp_path / "polls")
+    start = spark.createDataFrame([("A", None, 0, 0, 0)], "tag string, last_polled timestamp, n_polls bigint, n_battles bigint, n_fail bigint")
+    start.write.parquet(f"{base}/v=0")
+    rows = spark.createDataFrame([("A", 1, 2), ("A", 5, 3), ("A", None, 9)], "tag string, at bigint, kept bigint").select("tag", F.timestamp_seconds("at").alias("polled_at"), "kept")
+    for _ in range(3):
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    drain(ingest.cohort_ingest(stream, base, str(tmp_path / "mark")))
+    (last,) = spark.read.parquet(f"{base}/v=3").collect()
+    assert (last["n_polls"], last["n_battles"], last["n_fail"]) == (6, 15, 3)
+    assert sorted(p.name for p in (tmp_path / "cohort").iterdir()) == ["v=2", "v=3"]
