@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Characters that a word encoder takes at a time: the more, the rarer a word is looked up twice.
 ENCODE_CHARS = 6_000_000
 DTYPE = "<u4"
-_KEPT = 400_000
+_KEPT = 700_000
 _MARKS = ".,;:!?*%$#&|)]}\""
 #: Anything beyond blocks that have been complete since early versions of Unicode.
 _NEWER = re.compile("[^\x00-ɏЀ-џ‐-‧‰-⁞₠-₱ぁ-ゔァ-ヺ一-龥가-힣]")

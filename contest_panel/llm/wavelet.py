@@ -44,9 +44,9 @@ def build(ids: np.ndarray, planes: int) -> Iterator[tuple[int, np.ndarray]]:
     values = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for plane in range(planes - 1, -1, -1):
         ones = (values & values.dtype.type(1 << plane)) != 0
-        low = values[~ones]
+        low = np.compress(~ones, values)
         yield len(low), np.packbits(ones, bitorder="little")
-        values = np.concatenate([low, values[ones]])
+        values = np.concatenate([low, np.compress(ones, values)])
 
 
 def pack_shard(keys: pa.Array, counts: np.ndarray, ids: np.ndarray, planes: int) -> bytes:
@@ -148,8 +148,9 @@ class Shard:
         for plane in range(len(self.zeros) - 1, -1, -1):
             one = np.unpackbits(self.words[plane].view(np.uint8), count=self.tokens, bitorder="little").view(bool)
             out = np.empty(self.tokens, kind)
-            out[~one] = values[: self.zeros[plane]]
-            out[one] = values[self.zeros[plane] :] | kind(1 << (len(self.zeros) - 1 - plane))
+            zeros = self.zeros[plane]
+            out[np.flatnonzero(~one)] = values[:zeros]
+            out[np.flatnonzero(one)] = values[zeros:] | kind(1 << (len(self.zeros) - 1 - plane))
             values = out
         return values
 
