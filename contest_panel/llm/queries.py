@@ -86,4 +86,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_top_k_search")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(documents(spark, sf_dir), F.col("doc_id") % 100 == 0)
+    found = search.search(documents(spark, sf_dir), F.col("doc_id") % 100 == 0)
+    return found.withColumn("score", F.round("score", 6))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op9_jaccard_join"] = rf"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), shingle AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM word
+), item AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM shingle
+), link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM item a JOIN item b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM shingle LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) ON x = doc_id"""
+
+ORACLES["op10_top_k_search"] = rf"""
+WITH word AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS t FROM documents
+), tf AS (
+  SELECT doc_id, t, count(*) AS n FROM word GROUP BY ALL
+), size AS (
+  SELECT d.doc_id, coalesce(sum(n), 0) AS length FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1
+), idf AS (
+  SELECT t, ln(1 + ((SELECT count(*) FROM size) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS weight FROM tf GROUP BY t
+), mean AS (SELECT avg(length)::DOUBLE AS m FROM size), hit AS (
+  SELECT q.doc_id AS query, d.doc_id,
+    round(sum(weight * d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / m))), 9) AS score
+  FROM tf q JOIN tf d ON q.t = d.t AND q.doc_id % 100 = 0 JOIN idf ON idf.t = q.t JOIN size ON size.doc_id = d.doc_id, mean GROUP BY 1, 2
+)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score
+FROM hit QUALIFY rank <= 10"""
