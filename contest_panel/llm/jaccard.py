@@ -38,7 +38,7 @@ from contest_panel.operators.skew import join_on_key
 
 BAND_RATIO = 1.5
 SIGMAS = 4
-TILE = 4_096
+TILE = 1_024
 PIVOTS = 32
 KEY_TILE = 1_024
 HOT_COPIES = 1_000

@@ -31,7 +31,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.filter(id_part("doc_id", 4) != 2))
     found = language.identify(docs, model)
-    return found.select("doc_id", (id_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(id_part("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 @query("op7_quality_classifier")
@@ -39,7 +39,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_part("doc_id", 3) != 1)
     model = quality.fit(docs, labels)
-    return quality.classify(docs, model).select("doc_id", (id_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return quality.classify(docs, model).select("doc_id", F.coalesce(id_part("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op2_secret_scan")
