@@ -4,7 +4,7 @@ Texts become sets of hashed word shingles. Equal sets are one class from the sta
 
 1. Keys. Sizes are cut into bands. Two sets that link differ in few shingles, so if hashes are dealt into more
    segments than that, some segments are equal in both sets (pigeonhole). A set sends one key per segment of
-   its band, and of the band below if a smaller partner may be there; sets that share a key meet.
+   its band, and of bands below where a smaller partner may be; sets that share a key meet.
 2. Tiles. The sets of a key are a tile. A signature is a bitmap of the parity of hash buckets: its differing
    bits are at most the differing shingles, so they bound the overlap from above. Pairs whose bound is too low,
    or whose sizes are, part here; the rest are candidates, and connected candidates form a cluster. A key with
@@ -102,11 +102,14 @@ def segments(band: int, threshold: float) -> tuple[int, int]:
         spare += 1
 
 
+def band_of(size: float) -> int:
+    return int(np.floor(np.log(max(1.0, size)) / np.log(BAND_RATIO) + 1e-9))
+
+
 def tile_keys(found: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of the segments of a set, in its own band and in the one below if a smaller partner may be there."""
+    """Keys of the segments of a set, in its own band and in those below where a smaller partner may be."""
     size = len(found)
-    band = int(np.floor(np.log(size) / np.log(BAND_RATIO) + 1e-9))
-    bands = [band] + [band - 1] * (band > 0 and size * threshold < BAND_RATIO**band + 1)
+    bands = range(band_of(size * threshold - 1e-6), band_of(size) + 1)
     keys = []
     with np.errstate(over="ignore"):
         for own in bands:

@@ -19,7 +19,7 @@ DTYPE = "<u4"
 _KEPT = 700_000
 _MARKS = ".,;:!?*%$#&|)]}\""
 #: Anything beyond blocks that have been complete since early versions of Unicode.
-_NEWER = re.compile("[^\x00-ɏЀ-џ‐-‧‰-⁞₠-₱ぁ-ゔァ-ヺ一-龥가-힣]")
+_NEWER = re.compile("[^\x00-\u024f\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def token_file(name: str) -> str:
