@@ -952,6 +952,21 @@ def head_ablation(spark, folder):
     return models.ablation(examples, NINE, models.item_words(fx.card_dimension(spark)))
 
 
+@query
+def capacity_ablation(spark, folder):
+    """Heads of growing capacity against the linear one."""
+    examples = materialise(example_table(spark, folder))
+    return models.capacity_ablation(examples, NINE, models.item_words(fx.card_dimension(spark)))
+
+
+@query
+def capacity_ablation_check(spark, folder):
+    """Every head is compared on the same held-out rows, and differences follow from the means."""
+    found = capacity_ablation(spark, folder)
+    sound = F.abs(F.col("candidate") - F.col("baseline") - F.col("difference")) < 1e-12
+    return found.select("head", "metric", "examples", sound.cast("int").alias("sound"))
+
+
 @query
 def permutation_importance(spark, folder):
     examples = materialise(example_table(spark, folder))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -193,6 +193,45 @@ def ablation(examples: DataFrame, names: Sequence[str], words: Sequence[str], la
     return metrics.full_metrics(materialise(everything), ["head", "split"])
 
 
+#: Hidden layers of the heads compared by capacity; none is the linear head.
+CAPACITIES = {"linear": (), "small": (8,), "large": (32, 16)}
+
+
+def capacity_ablation(
+    examples: DataFrame, names: Sequence[str], words: Sequence[str], label: str = "next_switch", seeds: Sequence[int] = (0, 1)
+) -> DataFrame:
+    """Heads of growing capacity on the same inputs: mean and deviation over seeds against the linear head.
+
+    Columns: head, metric, baseline, baseline_sd, candidate, candidate_sd, difference, examples (held-out rows of a
+    run). Inputs are prepared and stored once; each head and seed is one distributed fit.
+    """
+    shell = Fitted(None, _constants(examples.filter("split = 0"), names), tuple(names), tuple(words), "history")
+    rows = materialise(shell.inputs(examples).select("example_id", "split", F.col(label).cast("double").alias("label"), "features"))
+    training, held_out = rows.filter("split = 0"), rows.filter("split <> 0")
+    width = training.select(F.max(F.size(vector_to_array("features")))).head()[0]
+    runs = []
+    for head, hidden in CAPACITIES.items():
+        for seed in seeds:
+            if hidden:
+                fitter = MultilayerPerceptronClassifier(labelCol="label", layers=[width, *hidden, 2], maxIter=30, seed=seed, blockSize=256)
+            else:
+                fitter = logistic("label")
+            scored = probability(fitter.fit(training), held_out).select(F.col("label").cast("int").alias("label"), "score")
+            runs.append(metrics.binary_metrics(scored).select(F.lit(head).alias("head"), F.lit(seed).alias("seed"), "examples", "log_loss", "brier_score", "accuracy"))
+    table = runs[0]
+    for run in runs[1:]:
+        table = table.unionByName(run)
+    table = materialise(table)
+    each = ", ".join(f"named_struct('metric', '{m}', 'value', {m})" for m in ("log_loss", "brier_score", "accuracy"))
+    lines = table.selectExpr("head", "examples", f"inline(array({each}))")
+    base = metrics.run_aggregate(lines.filter("head = 'linear'"))
+    compared = None
+    for head in list(CAPACITIES)[1:]:
+        part = metrics.run_compare(base, metrics.run_aggregate(lines.filter(F.col("head") == head))).withColumn("head", F.lit(head))
+        compared = part if compared is None else compared.unionByName(part)
+    return compared.join(table.groupBy("head").agg(F.max("examples").alias("examples")), "head")
+
+
 def permutation_importance(
     fitted: Fitted, examples: DataFrame, features: Sequence[str], label: str = "next_switch", seed: int = 0
 ) -> DataFrame:

