@@ -1,4 +1,4 @@
-"""Latest contests per participant kept as streaming state."""
+"""Latest contests per participant kept as streaming state, and the table of current contexts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from contest_panel.operators.dedup import first_per_key
+from contest_panel.operators.sequences import HISTORY, prebattle_contexts
+from contest_panel.session import materialise
+from contest_panel.sources.season import path_exists, remove_path
+
 # Instants travel as microseconds, so neither pandas nor the state store can shift or round them.
 FIELDS = ("battle_time", "battle_key", "deck", "levels", "result", "crown_difference", "trophies", "collected_at")
 _STATE_DDL = (
@@ -73,3 +79,43 @@ def merged_buffers(emitted: DataFrame, history: int = 10) -> DataFrame:
     latest = Window.partitionBy("player_tag").orderBy(F.col("battle_time").desc(), F.col("battle_key").desc())
     once = emitted.withColumn("__n", F.row_number().over(distinct)).filter("__n = 1")
     return once.withColumn("__n", F.row_number().over(latest)).filter(F.col("__n") <= history).drop("__n", SALT)
+
+
+BUCKETS = 64
+
+
+def context_ingest(
+    focal: DataFrame, base: str, checkpoint: str, history: int = HISTORY, continuity: str = "all", buckets: int = BUCKETS
+) -> DataStreamWriter:
+    """Keep the current pre-battle context of every participant, with the summary of the whole history.
+
+    ``base/rows`` holds the focal rows by bucket of the participant, ``base/contexts/v=<batch + 1>`` the contexts
+    after a batch; two versions are kept. A batch stores its new rows, rebuilds the contexts of the participants
+    it touches from their stored rows (late rows find their place) and carries the others over. A batch that runs
+    again finds its rows stored and writes the same version.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = materialise(
+            first_per_key(batch, ["player_tag", "battle_key"], ["battle_time"]).withColumn(
+                "bucket", F.pmod(F.xxhash64("player_tag"), F.lit(buckets)).cast("int")
+            )
+        )
+        touched = fresh.select("player_tag", "bucket").distinct()
+        rows = f"{base}/rows"
+        if path_exists(spark, rows):
+            stored = spark.read.parquet(rows).select("bucket", "player_tag", "battle_key")
+            fresh = fresh.join(stored, ["bucket", "player_tag", "battle_key"], "left_anti")
+        fresh.write.mode("append").partitionBy("bucket").parquet(rows)
+        # The buckets of a batch prune the stored rows while the join runs.
+        held = spark.read.parquet(rows).join(touched, ["bucket", "player_tag"], "left_semi").drop("bucket")
+        current = prebattle_contexts(held, history, continuity)
+        if number and path_exists(spark, f"{base}/contexts/v={number}"):
+            before = spark.read.parquet(f"{base}/contexts/v={number}")
+            current = current.unionByName(before.join(touched, "player_tag", "left_anti"))
+        current.write.mode("overwrite").parquet(f"{base}/contexts/v={number + 1}")
+        if number:
+            remove_path(spark, f"{base}/contexts/v={number - 1}")
+
+    return focal.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)

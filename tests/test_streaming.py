@@ -133,3 +133,19 @@ def test_repeated_polls_and_old_versions(spark, tmp_path):
     (last,) = spark.read.parquet(f"{base}/v=3").collect()
     assert (last["n_polls"], last["n_battles"], last["n_fail"]) == (6, 15, 3)
     assert sorted(p.name for p in (tmp_path / "cohort").iterdir()) == ["v=2", "v=3"]
+
+
+def test_current_contexts_equal_batch(spark, focal, tmp_path):
+    """Contexts after several batches, with late and repeated rows, are those of one batch over everything."""
+    source, base = str(tmp_path / "focal"), str(tmp_path / "base")
+    few = focal.filter("crc32(cast(player_tag AS binary)) % 3 = 0").cache()
+    part = F.crc32(F.col("battle_key").cast("binary")) % 3
+    for n in (2, 0, 1):
+        few.filter(part == n).unionByName(few.filter((part == 2) & (n == 1))).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(few.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    drain(context.context_ingest(stream, base, str(tmp_path / "mark"), buckets=4))
+    versions = sorted(p.name for p in (tmp_path / "base" / "contexts").iterdir())
+    assert versions == ["v=2", "v=3"]
+    got = spark.read.parquet(f"{base}/contexts/v=3")
+    want = sequences.prebattle_contexts(few, continuity="all")
+    assert got.count() > 3 and as_set(got) == as_set(want.select(got.columns))
