@@ -234,7 +234,7 @@ def _tile_links(sets: DataFrame, tile: Column, threshold: float) -> DataFrame:
     return tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def _meetings(frame: DataFrame, width: int, threshold: float, classes: DataFrame) -> DataFrame:
+def _meetings(frame: DataFrame, width: int, threshold: float, classes: DataFrame, key_tile: int) -> DataFrame:
     """Candidate links (a, b) that connect the sets of each key whose signatures allow a link."""
     percent = round(threshold * 100)
 
@@ -267,7 +267,7 @@ def _meetings(frame: DataFrame, width: int, threshold: float, classes: DataFrame
                     nodes.append(node)
                     sizes.append(n)
                     signatures.append((len(bitmap) * 8, int.from_bytes(bitmap, "little")))
-                    if len(nodes) > KEY_TILE:
+                    if len(nodes) > key_tile:
                         found += [(nodes[0], other) for other in nodes[1:]]
                         star, nodes = True, nodes[:1]
                 elif node != nodes[0]:
@@ -292,7 +292,13 @@ def _meetings(frame: DataFrame, width: int, threshold: float, classes: DataFrame
 
 
 def join_components(
-    frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, threshold: float = 0.9, tile: int = TILE
+    frame: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 3,
+    threshold: float = 0.9,
+    tile: int = TILE,
+    key_tile: int = KEY_TILE,
 ) -> DataFrame:
     """One row per row of ``frame``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -317,7 +323,7 @@ def join_components(
             F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("copies")
         )
     )
-    clusters = stored(components(_meetings(frame, width, threshold, classes)))
+    clusters = stored(components(_meetings(frame, width, threshold, classes, key_tile)))
     labels = components(_links(frame, width, threshold, tile, clusters, classes))
     named = labels.join(classes.select("node", "key"), "node")
     ends = named.groupBy("label").agg(F.min("key").alias("component"))

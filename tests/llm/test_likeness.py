@@ -125,8 +125,7 @@ def test_large_clusters_and_keys(frame, monkeypatch):
     """Clusters over a tile and keys over a key tile take other ways to the same result."""
     some = dict(enumerate(copies(4, 3, 60)))
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
-    monkeypatch.setattr(jaccard, "KEY_TILE", 5)
-    found = jaccard.join_components(frame([(i, t, *[None] * 9) for i, t in some.items()]), width=3, threshold=0.9, tile=16).collect()
+    found = jaccard.join_components(frame([(i, t, *[None] * 9) for i, t in some.items()]), width=3, threshold=0.9, tile=16, key_tile=5).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == plain_components(some, 3, 90)
 
 
@@ -179,11 +178,8 @@ def plain_search(texts, queries_, k):
     return out
 
 
-def test_search_is_exact(docs, texts, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_TERMS", 5_000)
-    monkeypatch.setattr(search, "BLOCK", 8)
-    monkeypatch.setattr(search, "QUERY_BYTES", 60_000)
-    found = search.search(docs, F.col("doc_id") % 20 == 0, k=7).collect()
+def test_search_is_exact(docs, texts):
+    found = search.search(docs, F.col("doc_id") % 20 == 0, k=7, shard_terms=5_000, block_docs=8, query_bytes=20_000).collect()
     expected = plain_search(texts, [i for i in texts if i % 20 == 0], 7)
     got = {}
     for r in sorted(found, key=lambda r: r["rank"]):
