@@ -360,11 +360,13 @@ def _links(
     sets = map_texts(chosen, {}, "text", "node long, content binary", second).join(wide(clusters), "node")
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.filter(F.col("members") > tile)
-    if large.isEmpty():
+    found = large.count()
+    if not found:
         return _tile_links(sets.withColumn("left", F.lit(True)), F.col("label"), threshold)
 
-    # At most one row for every ``tile`` sets.
-    sets = stored(sets.join(large, "label", "left"))
+    # At most one row for every ``tile`` sets: broadcast, so that no large cluster is one task's join key.
+    each_cluster = F.broadcast if found <= BROADCAST_ROWS else lambda f: f
+    sets = stored(sets.join(each_cluster(large), "label", "left"))
     plain = _tile_links(sets.filter("members is null").withColumn("left", F.lit(True)), F.col("label"), threshold)
     big = sets.filter("members is not null").dropDuplicates(["node"])
     blocks = F.ceil(F.col("members") / tile)
@@ -378,10 +380,10 @@ def _links(
     joined = components(near).withColumnRenamed("label", "part")
     parts = big.select("label", "node").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
     main = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-    rest = parts.join(main, "label").filter(F.col("part") != F.col("main")).select("node", F.lit(True).alias("left"))
+    rest = parts.join(each_cluster(main), "label").filter(F.col("part") != F.col("main")).select("node", F.lit(True).alias("left"))
     rest = stored(big.join(rest, "node", "left").withColumn("left", F.coalesce("left", F.lit(False))))
     counts = rest.groupBy("label").agg(F.ceil(F.count_if("left") / tile).alias("rows"))
-    spread = rest.join(counts, "label").filter("rows > 0")
+    spread = rest.join(each_cluster(counts), "label").filter("rows > 0")
     row = F.pmod(F.xxhash64("node"), F.col("rows"))
     column = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / tile))
     # A member of the rest is a row of tiles, one tile for each block of all; everyone is in one block of each row.
