@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, licenses, packing, quality, search, secrets, sentencepieces, sketches, wavelet
+from contest_panel.llm import jaccard, language, licenses, merkle, packing, quality, search, secrets, sentencepieces, sketches, wavelet
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.coalesce(id_part("doc_id", 3) == 0, F.lit(False))
+    claimed = merkle.leaf_digest(*fields, F.when(changed, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text")))
+    manifest = merkle.build(documents(spark, sf_dir), "doc_id", "lang", merkle.leaf_digest(*fields, F.col("text")), claimed)
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return merkle.prove(spark, manifest).select(
+        F.col("key").alias("doc_id"),
+        text("leaf"),
+        text("subroot"),
+        text("root"),
+        F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256"),
+        text("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op9_jaccard_join"] = rf"""
@@ -126,3 +144,46 @@ WITH word AS (
 )
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score
 FROM hit QUALIFY rank <= 10"""
+
+
+# crc32 of the id's decimal text: eight steps for each byte, the byte taken in with the first.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten([[ascii(substr(doc_id::VARCHAR, i::INT, 1))::UBIGINT, 0, 0, 0, 0, 0, 0, 0]
+    FOR i IN range(1, length(doc_id::VARCHAR) + 1)])),
+  lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::UBIGINT ELSE 0 END)), 4294967295::UBIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+_NEXT = "level + 1 AS level, pos // 8 AS pos, (any_value(n) + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h"
+_FOLD = """(n + 7) // 8 AS n, sha256(array_to_string(hs[1:pos % 8], '') || f || array_to_string(hs[pos % 8 + 2:], '')) AS f,
+    proof || array_to_string(hs[1:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '') AS proof"""
+
+ORACLES["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT doc_id, coalesce('+' || lang, '') AS g, sha256(head || {_field("text")}) AS leaf,
+      sha256(head || CASE WHEN {_CRC} % 3 = 0 THEN {_field(_LOWER.replace("coalesce(text, '')", "text"))} ELSE {_field("text")} END) AS claimed
+    FROM (SELECT *, {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents))
+), tree AS (
+  SELECT g, 0 AS level, pos, n, leaf AS h FROM leaf
+  UNION ALL SELECT g, {_NEXT} FROM tree WHERE n > 1 GROUP BY g, level, pos // 8
+), sub AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS count FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, place AS pos, count AS n, subroot AS h FROM sub
+  UNION ALL SELECT {_NEXT} FROM top WHERE n > 1 GROUP BY level, pos // 8
+), run AS (
+  SELECT g, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1 GROUP BY ALL
+), top_run AS (
+  SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY ALL
+), low AS (
+  SELECT doc_id, leaf, g, 0 AS level, pos, n, claimed AS f, '' AS proof FROM leaf
+  UNION ALL SELECT doc_id, leaf, g, level + 1, pos // 8, {_FOLD} FROM low JOIN run r USING (g, level) WHERE r.run = low.pos // 8 AND n > 1
+), high AS (
+  SELECT doc_id, leaf, subroot, 0 AS level, place AS pos, count AS n, f, proof FROM low JOIN sub USING (g) WHERE n = 1
+  UNION ALL SELECT doc_id, leaf, subroot, level + 1, pos // 8, {_FOLD} FROM high JOIN top_run r USING (level) WHERE r.run = high.pos // 8 AND n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM high, (SELECT h AS root FROM top WHERE n = 1) WHERE n = 1"""
