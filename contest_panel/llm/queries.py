@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.llm import jaccard, language, licenses, merkle, packing, quality, search, secrets, sentencepieces, sketches, wavelet
+from contest_panel.llm import fptree, jaccard, language, licenses, merkle, packing, quality, search, secrets, sentencepieces, sketches, warc, wavelet
 from contest_panel.llm.common import documents, id_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("op11_ranked_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_warc_archives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    found = warc.read_archives(spark, warc.write_archives(pages)).filter(F.col("record_type").isin("response", "revisit"))
+    return found.select(
+        warc.key_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.key_of("refers_to", kind).alias("refers_to")
+    )
+
+
 @query("op13_merkle_manifest")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -187,3 +202,37 @@ WITH RECURSIVE leaf AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
 FROM high, (SELECT h AS root FROM top WHERE n = 1) WHERE n = 1"""
+
+ORACLES["op12_warc_archives"] = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+seen AS (SELECT *, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM page)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (5 * (i // 4) + 1)::INT, 5))::INT >> (5 * (3 - i % 4))::INT) & 31) + 1)::INT, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM seen"""
+
+_TERMS = rf"""regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op11_ranked_search"] = f"""
+WITH word AS (
+  SELECT doc_id, unnest({_TERMS}) AS t FROM documents
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM word GROUP BY ALL
+), size AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS count, sum(n)::BIGINT AS l FROM size
+), norm AS (
+  SELECT doc_id, 100 - 25 + (25 * n * count) // l AS m FROM size, total
+), weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(count) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t
+), ask AS (
+  SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL
+), hit AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM ask JOIN tf USING (t) JOIN weight USING (t) JOIN norm USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM hit WHERE score > 0 QUALIFY rank <= 20"""
