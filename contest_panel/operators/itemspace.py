@@ -10,10 +10,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contest_panel.functions.decks import DECK_SIZE
+from contest_panel.operators import spectral
 from contest_panel.operators.orient import ladder_only
-from contest_panel.session import materialise, row_count_up_to, ship
-
-MATRIX_LIMIT = 20_000
+from contest_panel.session import materialise, ship
 
 
 def both_decks(battles: DataFrame) -> DataFrame:
@@ -63,40 +62,29 @@ def pmi(counts: DataFrame) -> DataFrame:
 
 
 def factorise(
-    spark: SparkSession, pmi_rows: DataFrame, universe: DataFrame, dimensions: int
+    spark: SparkSession, pmi_rows: DataFrame, universe: DataFrame, dimensions: int, oversampling: int = 10, tolerance: float = 1e-10
 ) -> tuple[DataFrame, DataFrame]:
-    """Singular vectors of the symmetric PMI matrix scaled by the root of the singular values.
+    """Singular vectors of the symmetric PMI matrix scaled by the root of the singular values. Runs actions.
 
-    Returns (card, vector) and (k, singular_value). The matrix has one row per item; the row RDD is what
-    MLlib's distributed SVD takes. Signs are fixed so the largest loading of each component is positive.
+    Returns (card, vector) and (k, singular_value, sign): the singular value is the size of an eigenvalue, ``sign`` its sign, so the
+    products of two items' vectors, each dimension times its sign, add up to their PMI. There are as many dimensions as
+    asked for, or as there are items; those beyond the rank of the matrix are zero, and so are vectors of items without
+    pairs. Items stay in tables, so their number has no limit. Signs are fixed so the largest loading of each right singular
+    vector is positive.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    if row_count_up_to(universe, MATRIX_LIMIT) > MATRIX_LIMIT:
-        raise ValueError(f"more than {MATRIX_LIMIT} items: the SVD needs an items × items matrix")
-    cards = sorted(r[0] for r in universe.collect())
-    size, place = len(cards), {card: at for at, card in enumerate(cards)}
-    lists = pmi_rows.groupBy("card_i").agg(F.collect_list(F.struct("card_j", "pmi")).alias("row"))
-    every = universe.select(F.col("card").alias("card_i")).join(lists, "card_i", "left")
-
-    def to_row(record):
-        entries = sorted((place[e[0]], float(e[1])) for e in (record["row"] or []))
-        return IndexedRow(place[record["card_i"]], Vectors.sparse(size, entries))
-
-    matrix = IndexedRowMatrix(every.rdd.map(to_row), size, size)
-    svd = matrix.computeSVD(min(dimensions, size), computeU=True)
-    values = [float(v) for v in svd.s.toArray()]
-    right = svd.V.toArray()
-    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in right.T]
-    scale = [sign * value**0.5 for sign, value in zip(signs, values)]
-
-    def to_vector(row):
-        return cards[row.index], [float(x * f) for x, f in zip(row.vector.toArray(), scale)]
-
-    vectors = spark.createDataFrame(svd.U.rows.map(to_vector), "card int, vector array<double>")
-    spectrum = spark.createDataFrame([(k + 1, v) for k, v in enumerate(values)], "k int, singular_value double")
-    return vectors, spectrum
+    entries = pmi_rows.select(F.col("card_i").alias("i"), F.col("card_j").alias("j"), F.col("pmi").alias("value"))
+    found = spectral.leading(entries, dimensions, oversampling, tolerance)
+    width = min(dimensions, universe.count())
+    values = np.r_[found.values, np.zeros(width - len(found.values))]
+    basis = materialise(found.vectors)
+    side = np.where(found.values < 0, -1.0, 1.0)
+    turn = np.where(spectral.largest_loadings(basis, len(side)) * side < 0, -1.0, 1.0)
+    scaling = np.zeros((len(side), width))
+    scaling[np.arange(len(side)), np.arange(len(side))] = turn * np.sqrt(np.abs(found.values))
+    scaled = spectral.turned(basis, scaling)
+    vectors = universe.select(F.col("card").alias("i")).join(scaled, "i", "left").select(F.col("i").alias("card"), spectral.padded(F.col("vector"), width).alias("vector"))
+    lines = [(k + 1, abs(float(v)), -1 if v < 0 else 1) for k, v in enumerate(values)]
+    return vectors, spark.createDataFrame(lines, "k int, singular_value double, sign int")
 
 
 def card_space(battles: DataFrame, dimensions: int = 16) -> tuple[DataFrame, DataFrame]:

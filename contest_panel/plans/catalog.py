@@ -17,20 +17,22 @@ from contest_panel.operators import (
     itemspace,
     metrics,
     orient,
+    paired,
     panel,
     quality,
     ranking,
     scaling,
     sequences,
 )
-from contest_panel.plans import dataset, fixtures as fx, models
-from contest_panel.session import checkpoint_folder, materialise
+from contest_panel.plans import dataset, fixtures as fx, matchup, models
+from contest_panel.session import checkpoint_folder, materialise, stored
 from contest_panel.sources import season
 from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
 from contest_panel.sources.season import conversion_report as season_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_MATCHUPS: dict[tuple[str, str], DataFrame] = {}
 
 # Thresholds of the source study scaled to the contest tables.
 MIN_BATTLES = 20
@@ -519,6 +521,18 @@ def item_vectors(spark, folder):
     return rounded(vectors.selectExpr("card", "size(vector) AS dimensions", "aggregate(vector, 0D, (a, x) -> a + x * x) AS energy"))
 
 
+@query
+def item_vectors_gram(spark, folder):
+    """PMI of every observed pair, rebuilt from all dimensions of the two items' vectors."""
+    battles = fx.season(spark, folder)
+    table = materialise(itemspace.pmi(itemspace.cooccurrence(battles)))
+    vectors, values = itemspace.factorise(spark, table, itemspace.item_universe(battles), fx.CARD_COUNT)
+    signs = F.array(*[F.lit(r["sign"]) for r in values.orderBy("k").collect()])
+    one, other = (vectors.select(F.col("card").alias(f"card_{x}"), F.col("vector").alias(x)) for x in "ij")
+    products = F.aggregate(F.zip_with(F.zip_with("i", "j", lambda a, b: a * b), signs, lambda p, s: p * s), F.lit(0.0), lambda a, x: a + x)
+    return table.join(one, "card_i").join(other, "card_j").select("card_i", "card_j", (F.round(products, 6) + 0.0).alias("pmi"))
+
+
 @query
 def spectrum(spark, folder):
     _, values = itemspace.card_space(fx.season(spark, folder), fx.CARD_COUNT)
@@ -977,9 +991,66 @@ def permutation_importance(spark, folder):
 @query
 def matchup_scores(spark, folder):
     """Antisymmetric matchup probabilities with the logit of each block."""
-    words = dimension.vocabulary(fx.card_dimension(spark))
-    scored, _, _ = models.matchup_scores(fx.season(spark, folder), words, fx.CARD_COUNT, player_buckets=4096)
-    return scored.select(micros("battle_time").alias("at"), "a_tag", "b_tag", "part", "score", *models.BLOCKS)
+    return _scored_matchups(spark, folder)
+
+
+def _scored_matchups(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the season's contests; three queries of a session share one fit."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MATCHUPS:
+        _MATCHUPS.clear()
+        _MATCHUPS[key] = stored(_fitted_matchups(spark, folder))
+    return _MATCHUPS[key]
+
+
+def _fitted_matchups(spark: SparkSession, folder: str) -> DataFrame:
+    scored, _ = matchup.matchup_scores(fx.season(spark, folder))
+    return scored.select(micros("battle_time").alias("at"), "a_tag", "b_tag", "part", "a_won", "score", *matchup.BLOCKS)
+
+
+@query
+def skill_ratings(spark, folder):
+    """One rating per participant of the season."""
+    return paired.skill_ratings(paired.pair_counts(fx.season(spark, folder))).table
+
+
+@query
+def skill_balance(spark, folder):
+    """At the maximum, every participant's wins equal what the ratings expect, up to the prior's share."""
+    pairs = stored(paired.pair_counts(fx.season(spark, folder)))
+    rated = stored(paired.skill_ratings(pairs, prior=1.0, tolerance=1e-6).table)
+    own, other = (rated.select(F.col("player").alias(name), F.col("rating").alias(f"r_{name}")) for name in ("player", "other"))
+    chance = 1 / (1 + F.exp(F.col("r_other") - F.col("r_player")))
+    sums = pairs.join(own, "player").join(other, "other").groupBy("player").agg(
+        F.sum("n").alias("games"), F.sum("wins").alias("wins"), F.sum(F.col("n") * chance).alias("expected"), F.first("r_player").alias("r")
+    )
+    short = F.col("wins") + 1.0 - F.col("expected") - 2.0 / (1 + F.exp(-F.col("r")))
+    return sums.select("player", "games", "wins", (F.round(short, 3) + 0.0).alias("short"))
+
+
+@query
+def investment_curve(spark, folder):
+    """Odd, monotone rate of winning by size of the level difference, pooled where it would fall."""
+    return rounded(matchup.investment_curve(fx.season(spark, folder)))
+
+
+@query
+def facing_items(spark, folder):
+    """Left-over of an even chance for every two items that face each other."""
+    rows = fx.season(spark, folder).withColumn("r", F.col("a_won") - 0.5).withColumn("w", F.lit(0.25))
+    return rounded(paired.facing_counts(rows, "r", "w"))
+
+
+@query
+def counter_check(spark, folder):
+    """Factors of facing items: one row per item, the squared error falls in every round and below that of no factors."""
+    rows = fx.season(spark, folder).withColumn("r", F.col("a_won") - 0.5).withColumn("w", F.lit(0.25))
+    facing = stored(paired.facing_counts(rows, "r", "w"))
+    found = paired.counter_factors(facing, max_rounds=6)
+    none = facing.filter("i < j").agg(F.sum(F.col("n") * F.col("r") * F.col("r")) / 2).head()[0]
+    falls = all(b <= a for a, b in zip(found.history, found.history[1:]))
+    size = (F.size("blade") == 8) & (F.size("chest") == 8)
+    return found.table.select(F.col("item").alias("card"), (size & F.lit(falls and found.history[-1] < none)).cast("int").alias("sound"))
 
 
 # --- what holds for the models' results whatever was fitted --------------------------------------
@@ -1022,7 +1093,7 @@ def uplift_check(spark, folder):
 @query
 def matchup_variance(spark, folder):
     """Variance of each block of the fitted matchup model, and its share."""
-    return metrics.variance_shares(matchup_scores(spark, folder), models.BLOCKS, "deck", "counters")
+    return metrics.variance_shares(matchup_scores(spark, folder), matchup.BLOCKS, "deck", "counters")
 
 
 @query
@@ -1035,10 +1106,12 @@ def matchup_variance_check(spark, folder):
 
 @query
 def matchup_check(spark, folder):
-    """Every contest scored once; the blocks' logits add up to the score's."""
+    """Every contest scored once; the blocks' logits add up to the score's; the loss is no worse than an even chance's."""
     found = matchup_scores(spark, folder)
-    logit = " + ".join(models.BLOCKS)
+    logit = " + ".join(matchup.BLOCKS)
+    loss = F.avg(-F.log(F.when(F.col("a_won") == 1, F.col("score")).otherwise(1 - F.col("score"))))
     return found.groupBy("part").agg(
         F.count(F.lit(1)).alias("contests"), F.count_distinct("at", "a_tag", "b_tag").alias("distinct_contests"),
         F.count_if(F.abs(F.expr(f"1 / (1 + exp(-({logit})))") - F.col("score")) > 1e-9).alias("not_additive"),
+        (loss < 0.6931 + 0.05).cast("int").alias("loss_in_bound"),
     )

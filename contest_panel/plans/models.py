@@ -1,29 +1,22 @@
-"""MLlib models over the example and battle tables: switch propensity, outcome, matchup."""
+"""Models over the example table: switch propensity and outcome."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contest_panel.operators import assign, metrics, scaling
-from contest_panel.operators.dimension import encode
 from contest_panel.operators.ranking import hashed_rank
-from contest_panel.session import materialise, ship
+from contest_panel.session import materialise
 
 FEATURE_SETS = ("summary", "history", "full")
 ITEM_LIMIT = 20_000
-FEATURE_LIMIT = 20_000_000
 
 
 def item_words(dimension: DataFrame) -> list[str]:
@@ -260,111 +253,6 @@ def permutation_importance(
     return shuffled.select("feature", "log_loss", (F.col("log_loss") - unshuffled).alias("increase"))
 
 
-# --- matchup ----------------------------------------------------------------------------------
-
-BLOCKS = ("skill", "investment", "deck", "counters")
-
-
-def sparse_vector(indices: str, values: str, size: int) -> Column:
-    """Sparse vector from index and value arrays, without leaving the JVM."""
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    body = (
-        f"named_struct('v', named_struct('type', 0Y, 'size', {size}, 'indices', {indices}, 'values', {values}))"
-    )
-    return F.from_json(F.to_json(F.expr(body)), schema)["v"]
-
-
-def matchup_entries(battles: DataFrame, words: DataFrame, items: int, player_buckets: int) -> tuple[DataFrame, int]:
-    """Antisymmetric features of each battle as ``e_<block>`` arrays of (index, value).
-
-    Players share hashed buckets, so their number sets no limit; odd powers of the level difference;
-    ±1 per item; ±1 per ordered item pair (counters). Swapping sides negates every value.
-    """
-    coded = encode(encode(battles, "a_cards", words, "a_idx"), "b_cards", words, "b_idx")
-    level, card = player_buckets, player_buckets + 3
-    pair = card + items
-    size = pair + items * (items - 1) // 2
-    if size > FEATURE_LIMIT:
-        raise ValueError(f"{size} features exceed {FEATURE_LIMIT}: the coefficients travel to every task")
-    bucket = lambda tag: f"cast(pmod(xxhash64({tag}), {player_buckets}) AS int)"
-    slot = f"cast({pair} + (lo - 1) * (2 * {items} - lo) / 2 + (hi - lo - 1) AS int)"
-    # Items that only one side holds, or pairs not mirrored within the same battle.
-    staged = coded.selectExpr(
-        "*",
-        f"{bucket('a_tag')} AS __pa",
-        f"{bucket('b_tag')} AS __pb",
-        "cast(aggregate(a_levels, 0, (s, x) -> s + x) - aggregate(b_levels, 0, (s, x) -> s + x) AS double) / 8 AS __d",
-        "filter(array_except(a_idx, b_idx), x -> x > 0) AS __only_a",
-        "filter(array_except(b_idx, a_idx), x -> x > 0) AS __only_b",
-        """flatten(transform(filter(a_idx, x -> x > 0), i -> transform(
-            filter(b_idx, j -> j > 0 AND i <> j AND NOT (array_contains(b_idx, i) AND array_contains(a_idx, j))),
-            j -> named_struct('lo', least(i, j), 'hi', greatest(i, j), 's', CASE WHEN i < j THEN 1D ELSE -1D END)))) AS __pairs""",
-    )
-    entries = {
-        "skill": "CASE WHEN __pa = __pb THEN array() ELSE array(named_struct('i', __pa, 'v', 1D), named_struct('i', __pb, 'v', -1D)) END",
-        "investment": f"array(named_struct('i', {level}, 'v', __d), named_struct('i', {level + 1}, 'v', __d * abs(__d)), "
-        f"named_struct('i', {level + 2}, 'v', __d * __d * __d))",
-        "deck": f"concat(transform(__only_a, x -> named_struct('i', {card - 1} + x, 'v', 1D)), "
-        f"transform(__only_b, x -> named_struct('i', {card - 1} + x, 'v', -1D)))",
-        "counters": "transform(__pairs, p -> named_struct('i', "
-        + slot.replace("lo", "p.lo").replace("hi", "p.hi")
-        + ", 'v', p.s))",
-    }
-    named = [f"sort_array({expr}) AS e_{block}" for block, expr in entries.items()]
-    return staged.selectExpr(*battles.columns, *named), size
-
-
-def with_blocks(entries: DataFrame, size: int, blocks: Sequence[str], name: str) -> DataFrame:
-    """Sparse vector of the given blocks (they occupy ascending index ranges)."""
-    joined = "concat(" + ", ".join(f"e_{b}" for b in blocks) + ")"
-    return entries.withColumn("__e", F.expr(joined)).withColumn(name, sparse_vector("__e.i", "__e.v", size)).drop("__e")
-
-
-def matchup_scores(
-    battles: DataFrame, words: DataFrame, items: int, player_buckets: int = 1 << 18, train_share: float = 0.75
-) -> tuple[DataFrame, object, int]:
-    """Fit on the earliest share, score everything: battles with ``score`` and one logit per block.
-
-    Runs actions. No intercept, so p(A, B) + p(B, A) = 1.
-    """
-    ranked = assign.time_split(battles, ["battle_time", "a_tag", "b_tag"], train_share)
-    entries, size = matchup_entries(ranked, words, items, player_buckets)
-    vectors = materialise(with_blocks(entries, size, BLOCKS, "features"))
-    model = logistic("a_won", penalty=1e-2, intercept=False).fit(vectors.filter("part = 'train'"))
-    return score_matchups(model, vectors), model, size
-
-
-def score_matchups(model, entries: DataFrame) -> DataFrame:
-    """Probability of side A and the logit each block contributes.
-
-    A logit is the sum of coefficients times values over a block's entries: one pass over Arrow batches with the
-    coefficients broadcast (their number is checked by ``matchup_entries``), no vectors.
-    """
-    ship(entries.sparkSession)
-    weights = entries.sparkSession.sparkContext.broadcast(model.coefficients.toArray())
-    kept = [c for c in entries.columns if c != "features" and c not in {f"e_{b}" for b in BLOCKS}]
-    narrow = entries.select(*kept, *[f"e_{b}" for b in BLOCKS])
-    types = {f.name: f for f in narrow.schema}
-    schema = T.StructType([types[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in ("score", *BLOCKS)])
-    return narrow.mapInArrow(_logits(weights, kept, to_arrow_schema(schema)), schema)
-
-
-def _logits(weights: Broadcast, kept: Sequence[str], wanted: pa.Schema) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = []
-            for block in BLOCKS:
-                lists = batch.column(batch.schema.get_field_index(f"e_{block}"))
-                entries, ends = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-                terms = weights.value[entries.field("i").to_numpy()] * entries.field("v").to_numpy()
-                columns.append(np.diff(np.r_[0.0, np.cumsum(terms)][ends.astype(np.int64)]))
-            score = 1 / (1 + np.exp(-np.sum(columns, axis=0)))
-            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(score), *map(pa.array, columns)], schema=wanted)
-
-    return run
-
-
 def save_fitted(fitted: Fitted, spark: SparkSession, path: str) -> None:
     """Store the classifier with its preprocessing, as one model folder and one settings row."""
     fitted.model.write().overwrite().save(f"{path}/model")

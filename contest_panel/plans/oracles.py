@@ -652,6 +652,7 @@ seq("oof_cover", """
 SELECT count(*) FILTER (split = 0) AS training_rows, count(*) FILTER (split = 0) AS scored_once, 0 AS wrong_times,
   0 AS scored_elsewhere FROM placed""")
 
+seq("item_vectors_gram", "SELECT card_i, card_j, round(pmi, 6) + 0.0 AS pmi FROM pmi")
 seq("spectrum_energy", "SELECT round(sum(pmi * pmi), 3) AS energy FROM pmi")
 seq("switch_score_check", """
 SELECT split, count(*) AS rows, count(DISTINCT example_id) AS examples, CAST(sum(next_switch) AS BIGINT) AS switches, 0 AS out_of_range
@@ -661,9 +662,35 @@ SELECT fold, count(*) AS examples, round(avg(next_switch), 6) AS positive_rate,
 seq("uplift_check", "SELECT player_tag, 1 AS sound FROM stepped GROUP BY player_tag HAVING count(*) >= 10")
 seq("matchup_check", """
 SELECT CASE WHEN place <= floor(0.75 * total) THEN 'train' ELSE 'test' END AS part, count(*) AS contests, count(*) AS distinct_contests,
-  0 AS not_additive
+  0 AS not_additive, 1 AS loss_in_bound
 FROM (SELECT row_number() OVER (ORDER BY battle_time, a.tag, b.tag) AS place, count(*) OVER () AS total FROM season) GROUP BY 1""")
 seq("matchup_variance_check", "SELECT 4 AS components, 1::DOUBLE AS shares, 1::DOUBLE AS deck_shares")
 seq("capacity_ablation_check", """
 SELECT head, metric, (SELECT count(*) FROM placed WHERE split <> 0) AS examples, 1 AS sound
 FROM (VALUES ('small'), ('large')) h(head), (VALUES ('log_loss'), ('brier_score'), ('accuracy')) m(metric)""")
+
+_PAIRS = """
+, played AS (SELECT a.tag AS player, b.tag AS other, a_won AS won FROM season UNION ALL SELECT b.tag, a.tag, 1 - a_won FROM season)"""
+seq("skill_balance", f"{_PAIRS} SELECT player, count(*) AS games, CAST(sum(won) AS BIGINT) AS wins, 0::DOUBLE AS short FROM played GROUP BY player")
+# The isotonic fit as the largest of the smallest means of runs around a size.
+seq("investment_curve", """
+, counts AS (
+  SELECT abs(d) AS size, count(*) AS n, sum(CASE WHEN d > 0 THEN a_won WHEN d < 0 THEN 1 - a_won ELSE 0.5 END)::DOUBLE AS wins
+  FROM (SELECT CAST(list_sum(a.levels) - list_sum(b.levels) AS INTEGER) AS d, a_won FROM season) GROUP BY 1
+), run AS (
+  SELECT j.size AS lo, k.size AS hi, sum(m.wins + 0.5) / sum(m.n + 1) AS rate
+  FROM counts j JOIN counts k ON j.size <= k.size JOIN counts m ON m.size BETWEEN j.size AND k.size WHERE j.size > 0 GROUP BY 1, 2
+), least_mean AS (
+  SELECT c.size, lo, min(rate) AS rate FROM counts c JOIN run ON c.size BETWEEN lo AND hi GROUP BY 1, 2
+), fitted AS (SELECT size, max(rate) AS rate FROM least_mean GROUP BY 1)
+SELECT c.size, n, round(wins, 6) AS wins, CASE WHEN c.size = 0 THEN 0 ELSE min(c.size) OVER (PARTITION BY rate) END AS block,
+  round(greatest(0.5, coalesce(rate, 0.5)), 6) AS block_rate,
+  round(ln(greatest(0.5, coalesce(rate, 0.5)) / (1 - greatest(0.5, coalesce(rate, 0.5)))), 6) AS log_odds
+FROM counts c LEFT JOIN fitted f ON c.size = f.size""")
+seq("facing_items", """
+, met AS (
+  SELECT unnest(flatten([[{'i': i, 'j': j} FOR j IN b.cards IF i <> j AND NOT (list_contains(b.cards, i) AND list_contains(a.cards, j))]
+    FOR i IN a.cards])) AS p, a_won - 0.5::DOUBLE AS r FROM season
+), ends AS (SELECT p.i AS i, p.j AS j, r FROM met UNION ALL SELECT p.j, p.i, -r FROM met)
+SELECT i, j, round(0.25 * count(*), 6)::DOUBLE AS n, round(sum(r) / (0.25 * count(*)), 6) AS r FROM ends GROUP BY 1, 2""")
+seq("counter_check", "SELECT DISTINCT unnest(a.cards || b.cards) AS card, 1 AS sound FROM season")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -72,6 +73,16 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written as Parquet in the checkpoint folder and read back (an action).
+
+    For iterations: unlike a checkpoint the table has true sizes and brings along no constraints of the plan behind it.
+    """
+    path = f"{checkpoint_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -94,26 +94,6 @@ def test_outcome_model_and_store(spark, table, stored, words, tmp_path):
         assert r["stay_win_probability"] == pytest.approx(compared[r["player_tag"]]["stay_win_probability"])
 
 
-def test_matchup_is_antisymmetric(spark, season):
-    words = dimension.vocabulary(fx.card_dimension(spark))
-    scored, model, size = models.matchup_scores(season, words, fx.CARD_COUNT, player_buckets=256)
-    first = {(r["battle_time"], r["a_tag"]): r for r in scored.collect()}
-    from contest_panel.operators.orient import SEASON_FIELDS
-
-    swapped = season.selectExpr(
-        *[c for c in season.columns if c[:2] not in ("a_", "b_")], "1 - a_won AS a_won",
-        *[f"{x}_{f} AS {y}_{f}" for x, y in ("ab", "ba") for f in SEASON_FIELDS],
-    )
-    entries, again = models.matchup_entries(swapped, words, fx.CARD_COUNT, 256)
-    assert again == size
-    other = models.score_matchups(model, entries)
-    for r in other.collect():
-        mine = first[(r["battle_time"], r["b_tag"])]
-        assert r["score"] + mine["score"] == pytest.approx(1.0)
-        for block in models.BLOCKS:
-            assert r[block] == pytest.approx(-mine[block], abs=1e-9)
-
-
 def test_cell_sample(table):
     sample = cell_sample(table, 1)
     require_full_cells(sample, 1, sample.select("next_switch", "next_win").distinct().count())
