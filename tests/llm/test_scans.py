@@ -1,7 +1,11 @@
 """Secret and licence scans against plain rules."""
 
 import hashlib
+import random
 import re
+import string
+
+import pytest
 
 from contest_panel.llm import licenses, queries, secrets
 from contest_panel.llm.words import alnum_words, runs
@@ -45,6 +49,35 @@ def test_novelty_tells_keys_from_words():
     assert not secrets.novel_spans("a bearer of 4785380592391139 notes", [], 64, 0.7)
 
 
+@pytest.mark.parametrize("length", [16, 20, 512, 513, 5000, 40_000])
+@pytest.mark.parametrize("letters", [False, True])
+def test_keys_of_any_length(length, letters):
+    rng = random.Random(length)
+    key = "".join(rng.choices(string.ascii_letters if letters else string.ascii_letters + string.digits + "+/", k=length))
+    if not letters:
+        key = "a1" + key[2:]
+    text = f"ends. The bearer is {key} and more"
+    assert secrets.novel_spans(text, [], 64, 0.7) == [(20, 3, 20 + length)]
+    assert not secrets.novel_spans(text, [(18, 2, 22)], 64, 0.7)
+
+
+def test_long_runs_that_are_no_keys():
+    for run in ("x1" * 3000, "abcdefghijklmnop0123456789" * 200, "GetTheUserNameAndPasswordFromRequest", "antidisestablishmentarianism", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secrets.novel_spans(f"token {run} end", [], 64, 0.7), run
+
+
+def test_covered_and_distant_candidates_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        parts = [rng.choice(["token", "secret", "word", "q8Zr0Lx7VbN3tYpW5sKd", "key=abcdef99", "password: abcdefg1", " " * 70, "a" * 5, "f0" * 14]) for _ in range(12)]
+        text = " ".join(parts)
+        known = secrets.base_spans(text)
+        words = [m.span() for m in secrets.SENSITIVE.finditer(text)]
+        free = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in known)]
+        near = [(a, 3, b) for a, b in free if any(e >= a - 20 and s <= b + 20 for s, e in words) and not text[a:b].isalpha()]
+        assert secrets.novel_spans(text, known, 20, -1.0) == near
+
+
 def test_secret_odd_input(odd, none, odd_rows):
     found = secrets.scan(odd).collect()
     assert len(found) == len(odd_rows) and all(not r["spans"] for r in found if r["doc_id"] in (0, 1, 2))
