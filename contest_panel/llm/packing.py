@@ -81,11 +81,11 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
                         pattern[length] = pattern.get(length, 0) + 1
                     filled = True
                     break
-                fits = [n for n in np.flatnonzero(stock.left[: gap + 1])[::-1][:8] if stock.left[n] > pattern.get(int(n), 0)]
-                if not fits:
+                fits = next((int(n) for n in np.flatnonzero(stock.left[: gap + 1])[::-1] if stock.left[n] > pattern.get(int(n), 0)), None)
+                if fits is None:
                     break
-                pattern[int(fits[0])] = pattern.get(int(fits[0]), 0) + 1
-                gap -= int(fits[0])
+                pattern[fits] = pattern.get(fits, 0) + 1
+                gap -= fits
                 filled = not gap
             if not filled:
                 residual[largest] += stock.left[largest]
