@@ -193,6 +193,8 @@ def test_search_is_exact(docs, texts):
 def test_search_odd_input(odd, none):
     found = search.search(odd, F.col("doc_id") >= 0).collect()
     assert not {0, 1, 2} & {r["query"] for r in found} and {r["doc_id"] for r in found if r["query"] == 4} >= {3, 4, 5}
+    lost = [r for r in found if r["doc_id"] is None]
+    assert lost and {r["query"] for r in search.search(odd, F.col("doc_id").isNull()).collect()} == {None}
     assert search.search(none, F.lit(True)).count() == 0
     assert search.search(odd, F.lit(False)).count() == 0
 
@@ -222,5 +224,5 @@ def test_pipeline(spark, folder, texts):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert rows_of([None]) != []
