@@ -6,14 +6,15 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contest_panel.operators import assign, metrics, scaling
+from contest_panel.operators import crossfit, metrics, scaling
 from contest_panel.operators.ranking import hashed_rank
-from contest_panel.session import materialise
+from contest_panel.session import materialise, stored
 
 FEATURE_SETS = ("summary", "history", "full")
 ITEM_LIMIT = 20_000
@@ -93,6 +94,13 @@ def _constants(examples: DataFrame, names: Sequence[str]) -> dict[str, DataFrame
     return {kind: _local(scaling.check_fit(stats)) for kind, stats in fitted.items()}
 
 
+def _checked(stats: DataFrame) -> DataFrame:
+    """``stats`` as a small local table, checked like ``scaling.check_fit`` (one action for both)."""
+    local = _local(stats)
+    scaling.check_fit(local)
+    return local
+
+
 def _local(stats: DataFrame) -> DataFrame:
     return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
 
@@ -114,29 +122,44 @@ def fit_model(
     return Fitted(model, constants, tuple(names), tuple(words), feature_set, action)
 
 
+def fold_design(
+    examples: DataFrame, names: Sequence[str], per_fold: Mapping[str, DataFrame], folds: int
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Training rows with unscaled inputs (``dense``, ``items``), and the shift and scale of every dense column for each fold."""
+    battle = ", ".join("CASE WHEN x.trophies IS NULL THEN 1D ELSE 0D END" if f == "trophies_missing" else f"cast(x.{f} AS double)" for f in scaling.MODEL_BATTLE_FEATURES)
+    level = "aggregate(x.levels, 0D, (a, l) -> a + l) / size(x.levels)"
+    summary = "array(" + ", ".join(f"cast({n} AS double)" for n in names) + ")"
+    dense = f"concat({summary}, flatten(transform(history, x -> array({battle}))), transform(history, x -> {level}))"
+    rows = examples.selectExpr("*", f"{dense} AS dense", "transform(flatten(history.deck), d -> cast(d AS bigint)) AS items")
+    steps = ((rows.select(F.size("dense")).head() or [len(names)])[0] - len(names)) // (len(scaling.MODEL_BATTLE_FEATURES) + 1)
+    known = {kind: {(r["fold"], r["feature"]): (r["mean"], r["sd"]) for r in stats.collect()} for kind, stats in per_fold.items()}
+    shift, scale = [], []
+    for fold in range(folds):
+        columns = [known["summary"][fold, n] for n in names]
+        columns += [known["battle"][fold, f] if f in scaling.CONTINUOUS else (0.0, 1.0) for f in scaling.MODEL_BATTLE_FEATURES] * steps
+        columns += [known["level"][fold, "level"]] * steps
+        shift.append([mean for mean, _ in columns])
+        scale.append([1 / sd for _, sd in columns])
+    return rows, np.array(shift), np.array(scale)
+
+
 def cross_fitted_scores(
     examples: DataFrame, names: Sequence[str], words: Sequence[str], folds: int = 5, label: str = "next_switch"
 ) -> DataFrame:
-    """Out-of-fold scores of the training rows: (example_id, player_tag, fold, label, score).
+    """Out-of-fold scores of the training rows: (example_id, player_tag, fold, label, score). Runs actions.
 
-    Each fold is scored by a model, and standardised by constants, that never saw its participants.
-    The loop starts ``folds`` distributed fits; constants of all folds come from one pass.
+    Each fold is scored by a model, and standardised by constants, that never saw its participants. Constants of all folds
+    come from one pass per feature family, and each pass of the fit moves all folds' models.
     """
     training = examples.filter("split = 0")
     per_fold = {
-        kind: _local(scaling.check_fit(scaling.fit_per_fold(training, kind, names)))
+        kind: _checked(scaling.fit_per_fold(training, kind, names))
         for kind in ("level", "battle", "summary")
     }
-    parts = []
-    for fold in range(folds):
-        constants = {k: s.filter(F.col("fold") == fold).drop("fold") for k, s in per_fold.items()}
-        fitted = fit_model(training.filter(F.col("fold") != fold), names, words, label, constants=constants)
-        held_out = fitted.score(training.filter(F.col("fold") == fold))
-        parts.append(held_out.select("example_id", "player_tag", "fold", F.col(label).alias("label"), "score"))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    return scores
+    rows, shift, scale = fold_design(training, names, per_fold, folds)
+    rows = stored(rows.select("example_id", "player_tag", F.col("fold").cast("int").alias("fold"), F.col(label).alias("label"), "dense", "items"))
+    fitted = crossfit.fit_fold_models(rows, range(folds), shift, scale, [int(w) for w in words])
+    return crossfit.own_fold_scores(rows, fitted, ["example_id", "player_tag", "fold", "label"])
 
 
 def align_scores(examples: DataFrame, scores: DataFrame) -> DataFrame:

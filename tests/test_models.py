@@ -71,6 +71,29 @@ def test_out_of_fold_scores(table, words):
     assert rules["training_without_score"] == rules["scores_outside_training"] == 0
 
 
+def test_cross_fit_equals_separate_fits(spark, table, words):
+    """Same scores as one MLlib fit per fold on the same inputs, in a handful of jobs."""
+    from contest_panel.operators.scaling import check_fit, fit_per_fold
+
+    table.count()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs(None))
+    scores = materialise(models.cross_fitted_scores(table, NINE, words))
+    assert len(jobs(None)) - before <= 40
+    got = {r["example_id"]: r for r in scores.collect()}
+    training = table.filter("split = 0")
+    per_fold = {kind: check_fit(fit_per_fold(training, kind, NINE)) for kind in ("level", "battle", "summary")}
+    for fold in (3,):
+        constants = {k: models._local(s.filter(F.col("fold") == fold).drop("fold")) for k, s in per_fold.items()}
+        shell = models.Fitted(None, constants, NINE, tuple(words), "full")
+        fitter = models.logistic("next_switch", max_iterations=500).setTol(1e-12)
+        model = fitter.fit(shell.inputs(training.filter(F.col("fold") != fold)))
+        alone = models.Fitted(model, constants, NINE, tuple(words), "full").score(training.filter(F.col("fold") == fold))
+        rows = alone.select("example_id", "score").collect()
+        assert rows and all(got[r["example_id"]]["fold"] == fold for r in rows)
+        assert max(abs(got[r["example_id"]]["score"] - r["score"]) for r in rows) < 1e-3
+
+
 def test_planted_signal_is_found(table, words):
     planted = table.withColumn("next_switch", (F.col("historical_switch_rate") > 0.55).cast("int"))
     fitted = models.fit_model(planted, NINE, words, feature_set="summary")
