@@ -27,6 +27,7 @@ from contest_panel.operators import (
 from contest_panel.plans import dataset, fixtures as fx, matchup, models
 from contest_panel.session import checkpoint_folder, materialise, stored
 from contest_panel.sources import season
+from contest_panel.sources.keystore import KeyStore
 from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
 from contest_panel.sources.season import conversion_report as season_report
 
@@ -116,6 +117,20 @@ def conversion_report(spark, folder):
     return rounded(season_report(source).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
 
 
+@query
+def key_store(spark, folder):
+    """The live log in three batches through a key store: new contests by day, whatever batch brought them first."""
+    log = materialise(fx.parsed_log(spark, folder).select("battle_key", "date", "run_id", "collected_at"))
+    base = f"{checkpoint_folder(spark)}/keys-{uuid.uuid4().hex}"
+    store, kept = KeyStore(spark, base, prefixes=8), None
+    for number in range(3):
+        batch = log.filter(F.crc32(F.concat("battle_key", "run_id").cast("binary")) % 3 == number)
+        fresh = stored(store.new_rows(dedup.first_per_key(batch), "battle_key"))
+        store.add(str(number), fresh, "battle_key")
+        kept = fresh if kept is None else kept.unionByName(fresh)
+    return kept.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("contests"))
+
+
 @query
 def live_scan(spark, folder):
     rows = fx.parsed_log(spark, folder).select(*LIVE_COLUMNS, "date")

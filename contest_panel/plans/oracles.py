@@ -694,3 +694,4 @@ seq("facing_items", """
 ), ends AS (SELECT p.i AS i, p.j AS j, r FROM met UNION ALL SELECT p.j, p.i, -r FROM met)
 SELECT i, j, round(0.25 * count(*), 6)::DOUBLE AS n, round(sum(r) / (0.25 * count(*)), 6) AS r FROM ends GROUP BY 1, 2""")
 seq("counter_check", "SELECT DISTINCT unnest(a.cards || b.cards) AS card, 1 AS sound FROM season")
+seq("key_store", "SELECT strftime(battle_time, '%Y-%m-%d') AS date, count(*) AS contests FROM first_row GROUP BY 1")

@@ -1,87 +1,19 @@
-"""Latest contests per participant kept as streaming state, and the table of current contexts."""
+"""The table of current contexts, kept up to date by a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contest_panel.operators.dedup import first_per_key
 from contest_panel.operators.sequences import HISTORY, prebattle_contexts
 from contest_panel.session import materialise
-from contest_panel.sources.season import path_exists, remove_path
-
-# Instants travel as microseconds, so neither pandas nor the state store can shift or round them.
-FIELDS = ("battle_time", "battle_key", "deck", "levels", "result", "crown_difference", "trophies", "collected_at")
-_STATE_DDL = (
-    "battle_time bigint, battle_key string, deck array<int>, levels array<int>, result int, "
-    "crown_difference int, trophies double, collected_at bigint"
-)
-_WHOLE = ("battle_time", "result", "crown_difference", "collected_at")
-SALT = "salt"
-
-
-def _plain(name: str, value):
-    """State values must be plain Python objects; missing numbers are None."""
-    if name in ("deck", "levels"):
-        return None if value is None else [int(x) for x in value]
-    if value is None or value != value:
-        return None
-    return int(value) if name in _WHOLE else float(value) if name == "trophies" else value
+from contest_panel.sources.season import path_exists
+from contest_panel.sources.snapshots import BUCKETS, SnapshotTable, bucket_of
 
 
-def _keep_latest(history: int):
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {row[1]: tuple(row) for row in (state.get[0] if state.exists else [])}
-        for chunk in chunks:
-            # A chunk at a time: the buffer never exceeds its bound, late rows find their place.
-            for row in chunk[list(FIELDS)].itertuples(index=False, name=None):
-                held.setdefault(row[1], tuple(_plain(n, v) for n, v in zip(FIELDS, row)))
-            latest = sorted(held.values(), key=lambda r: (r[0], r[1]))[-history:]
-            held = {row[1]: row for row in latest}
-        rows = sorted(held.values(), key=lambda r: (r[0], r[1]))
-        state.update((rows,))
-        columns = {n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(FIELDS)}
-        yield pd.DataFrame(columns).assign(player_tag=key[0], salt=key[1])
-
-    return update
-
-
-def latest_contests(focal: DataFrame, history: int = 10, salts: int = 8) -> DataFrame:
-    """Streaming: emit the updated buffer of the latest ``history`` contests per (participant, salt).
-
-    Salting by contest spreads a very active participant over ``salts`` state keys. The overall latest
-    contests are among the latest of each salt, so :func:`merged_buffers` restores them exactly.
-    """
-    salted = focal.selectExpr(
-        "unix_micros(battle_time) AS battle_time", "battle_key", "deck", "levels", "result", "crown_difference", "trophies",
-        "unix_micros(collected_at) AS collected_at", "player_tag",
-        f"cast(pmod(xxhash64(battle_key), {salts}) AS int) AS {SALT}",
-    )
-    emitted = salted.groupBy("player_tag", SALT).applyInPandasWithState(
-        _keep_latest(history),
-        f"{_STATE_DDL}, player_tag string, {SALT} int",
-        f"rows array<struct<{_STATE_DDL}>>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    return emitted.withColumns(
-        {c: F.timestamp_micros(c) for c in ("battle_time", "collected_at")}
-    )
-
-
-def merged_buffers(emitted: DataFrame, history: int = 10) -> DataFrame:
-    """Batch: latest ``history`` contests per participant from everything the stream emitted."""
-    distinct = Window.partitionBy("player_tag", "battle_key").orderBy("battle_time")
-    latest = Window.partitionBy("player_tag").orderBy(F.col("battle_time").desc(), F.col("battle_key").desc())
-    once = emitted.withColumn("__n", F.row_number().over(distinct)).filter("__n = 1")
-    return once.withColumn("__n", F.row_number().over(latest)).filter(F.col("__n") <= history).drop("__n", SALT)
-
-
-BUCKETS = 64
+def context_table(spark: SparkSession, base: str, buckets: int = BUCKETS) -> SnapshotTable:
+    return SnapshotTable(spark, f"{base}/contexts", ["player_tag"], buckets)
 
 
 def context_ingest(
@@ -89,33 +21,31 @@ def context_ingest(
 ) -> DataStreamWriter:
     """Keep the current pre-battle context of every participant, with the summary of the whole history.
 
-    ``base/rows`` holds the focal rows by bucket of the participant, ``base/contexts/v=<batch + 1>`` the contexts
-    after a batch; two versions are kept. A batch stores its new rows, rebuilds the contexts of the participants
-    it touches from their stored rows (late rows find their place) and carries the others over. A batch that runs
-    again finds its rows stored and writes the same version.
+    ``base/rows`` holds the focal rows by bucket of the participant; after batch ``n`` version ``n + 1`` of :func:`context_table` holds
+    the contexts, and two versions are kept. A batch stores its new rows, rebuilds the contexts of the participants it
+    touches from their stored rows (late rows find their place) and rewrites their buckets of the contexts; other buckets are
+    taken over as they are. A batch that runs again finds its rows stored and its version made.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = materialise(
-            first_per_key(batch, ["player_tag", "battle_key"], ["battle_time"]).withColumn(
-                "bucket", F.pmod(F.xxhash64("player_tag"), F.lit(buckets)).cast("int")
-            )
-        )
+        table = context_table(spark, base, buckets)
+        if table.exists(number + 1):
+            return
+        fresh = materialise(first_per_key(batch, ["player_tag", "battle_key"], ["battle_time"]).withColumn("bucket", bucket_of(["player_tag"], buckets)))
         touched = fresh.select("player_tag", "bucket").distinct()
         rows = f"{base}/rows"
         if path_exists(spark, rows):
-            stored = spark.read.parquet(rows).select("bucket", "player_tag", "battle_key")
-            fresh = fresh.join(stored, ["bucket", "player_tag", "battle_key"], "left_anti")
+            kept = spark.read.parquet(rows).select("bucket", "player_tag", "battle_key")
+            fresh = fresh.join(kept, ["bucket", "player_tag", "battle_key"], "left_anti")
         fresh.write.mode("append").partitionBy("bucket").parquet(rows)
         # The buckets of a batch prune the stored rows while the join runs.
         held = spark.read.parquet(rows).join(touched, ["bucket", "player_tag"], "left_semi").drop("bucket")
-        current = prebattle_contexts(held, history, continuity)
-        if number and path_exists(spark, f"{base}/contexts/v={number}"):
-            before = spark.read.parquet(f"{base}/contexts/v={number}")
-            current = current.unionByName(before.join(touched, "player_tag", "left_anti"))
-        current.write.mode("overwrite").parquet(f"{base}/contexts/v={number + 1}")
-        if number:
-            remove_path(spark, f"{base}/contexts/v={number - 1}")
+
+        def merge(before: DataFrame | None, current: DataFrame) -> DataFrame:
+            return current if before is None else current.unionByName(before.select(*current.columns).join(current.select("player_tag"), "player_tag", "left_anti"))
+
+        table.update(number, prebattle_contexts(held, history, continuity), merge)
+        table.keep_from(number)
 
     return focal.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)

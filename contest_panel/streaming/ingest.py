@@ -8,8 +8,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from contest_panel.operators.dedup import first_per_key, upsert_poll_state
 from contest_panel.operators.cohort import run_stats
 from contest_panel.operators.orient import IDENTIFIED, parse_battles
+from contest_panel.sources.keystore import KeyStore
 from contest_panel.sources.live import append, of_types, raw_schema
-from contest_panel.sources.season import path_exists, remove_path
+from contest_panel.sources.season import path_exists
+from contest_panel.sources.snapshots import BUCKETS, SnapshotTable
 
 
 def read_pages(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -33,18 +35,40 @@ def store_new(batch: DataFrame, path: str) -> None:
     Both copies of a contest share its day, so only the stored days the batch touches are read: partitions are
     pruned by the batch's days while the query runs. Contests without a readable time share the NULL day.
     """
-    spark = batch.sparkSession
     fresh = first_per_key(batch).withColumn("date", F.to_date("battle_time")).persist()
-    kept = fresh
-    if path_exists(spark, path):
-        stored = spark.read.parquet(path).select("date", "battle_key")
-        touched = stored.join(fresh.select("date").distinct(), "date", "left_semi")
-        known = touched.unionByName(stored.filter("date IS NULL")).select("battle_key")
-        kept = fresh.join(known, "battle_key", "left_anti")
+    known = stored_keys(fresh.select("date"), path)
+    kept = fresh if known is None else fresh.join(known, "battle_key", "left_anti")
     append(kept.drop("date"), path)
     fresh.unpersist()
 
 
+def stored_keys(dates: DataFrame, path: str) -> DataFrame | None:
+    """Keys stored on the days in ``dates`` (column date) or without a day; None if nothing is stored yet."""
+    spark = dates.sparkSession
+    if not path_exists(spark, path):
+        return None
+    kept = spark.read.parquet(path).select("date", "battle_key")
+    touched = kept.join(dates.distinct(), "date", "left_semi")
+    return touched.unionByName(kept.filter("date IS NULL")).select("battle_key")
+
+
+def keyed_ingest(parsed: DataFrame, path: str, keys: str, checkpoint: str) -> DataStreamWriter:
+    """Like :func:`exact_ingest` for keys that say nothing about the day: known ones are in a key store.
+
+    Batch ``n`` is the folder ``b=<n>`` of ``path``, written before its keys are added. A batch that runs again before that finds the
+    same rows new and overwrites its folder; after that it is known and does nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        store = KeyStore(batch.sparkSession, keys)
+        if store.has_batch(f"{number:012d}"):
+            return
+        store.new_rows(first_per_key(batch), "battle_key").write.mode("overwrite").parquet(f"{path}/b={number}")
+        store.add(f"{number:012d}", batch.sparkSession.read.parquet(f"{path}/b={number}"), "battle_key")
+
+    return parsed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)
+
+
 def exact_ingest(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Writer that keeps every key ever stored out, however late its copy arrives."""
     return (
@@ -73,8 +97,8 @@ def ingest_with_stats(
                 "run_id", "type", "cast(NULL AS string) AS battle_key", "false AS is_clean_1v1", "collected_at"
             )
             log = parsed.select(*columns).unionByName(rejected)
-            stored = spark.read.parquet(path).select("battle_key") if path_exists(spark, path) else log.select("battle_key").limit(0)
-            run_stats(log, stored, types).write.mode("overwrite").parquet(own)
+            known = stored_keys(parsed.select(F.to_date("battle_time").alias("date")), path)
+            run_stats(log, log.select("battle_key").limit(0) if known is None else known, types).write.mode("overwrite").parquet(own)
         store_new(of_types(parsed, types), path)
         batch.unpersist()
 
@@ -88,17 +112,20 @@ def running_stats(parsed: DataFrame) -> DataFrame:
     )
 
 
-def cohort_ingest(polls: DataFrame, base: str, checkpoint: str) -> DataStreamWriter:
-    """Apply polling results batch by batch; each batch writes version ``v=<batch + 1>`` of the cohort.
+def cohort_ingest(polls: DataFrame, base: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """Apply polling results batch by batch; batch ``n`` makes version ``n + 1`` of the cohort (a ``SnapshotTable`` at ``base``).
 
-    Version 0 is the starting cohort. A repeated batch rebuilds the same version from its predecessor; versions
-    before that are deleted, so two are kept.
+    Version 0 is the starting cohort. Only buckets with polled members are rewritten. A batch that runs again finds its version;
+    versions before its predecessor are deleted, so two are kept.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        cohort = batch.sparkSession.read.parquet(f"{base}/v={number}")
-        upsert_poll_state(cohort, batch).write.mode("overwrite").parquet(f"{base}/v={number + 1}")
-        if number:
-            remove_path(batch.sparkSession, f"{base}/v={number - 1}")
+        table = cohort_table(batch.sparkSession, base, buckets)
+        table.update(number, batch, lambda cohort, changes: None if cohort is None else upsert_poll_state(cohort, changes))
+        table.keep_from(number)
 
     return polls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply)
+
+
+def cohort_table(spark: SparkSession, base: str, buckets: int = BUCKETS) -> SnapshotTable:
+    return SnapshotTable(spark, base, ["tag"], buckets)
