@@ -10,7 +10,7 @@ from contest_panel.functions.scalars import equal_width_band, seeded_digest
 from contest_panel.operators.ranking import global_rank, hashed_rank
 from contest_panel.session import materialise
 
-# Own seeds.
+# Seeds of the source study.
 SPLIT_SEED = 20260910
 FOLD_SEED = 20260913
 NO_FOLD = 255

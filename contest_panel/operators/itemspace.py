@@ -135,10 +135,12 @@ def nearest_items(vectors: DataFrame, named: DataFrame, k: int = 6, at_once: int
 
     ``named`` holds the items asked for, of any type and number. They go in blocks of about ``at_once``; a block's
     normalised vectors are broadcast, each task multiplies its batches of vectors with them and keeps ``k`` rows
-    for each item asked for, and the window merges tasks. A vector without length has no direction: no neighbours.
+    for each item asked for, and the window merges tasks. A vector without length has no direction: no neighbours. NULL vectors
+    and NULL items are left out; an item that is repeated must have one vector.
     """
     ship(vectors.sparkSession)
     kind = vectors.schema["item"].dataType.simpleString()
+    vectors = vectors.filter("item IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
     asked = vectors.join(named.select("item").distinct(), "item", "left_semi")
     blocks = max(1, -(-named.select("item").distinct().count() // at_once))
     block_of = F.pmod(F.xxhash64("item"), F.lit(blocks))

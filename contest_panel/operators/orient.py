@@ -107,6 +107,13 @@ def with_outcome(flat: DataFrame) -> DataFrame:
     )
 
 
+def season_essentials() -> list[str]:
+    """Source columns without which a season row is dropped."""
+    return ["battleTime", "game_mode", "arena"] + [
+        f"{side}_{f}" for side in ("winner", "loser") for f in SEASON_FIELDS if f not in ("king_hp", "clan")
+    ]
+
+
 def canonicalise_season(source: DataFrame) -> DataFrame:
     """Winner/loser source rows to canonical battles (side A = smaller tag).
 
@@ -114,11 +121,8 @@ def canonicalise_season(source: DataFrame) -> DataFrame:
     season field. Rows with a missing essential field are dropped (a deck with a missing card or level
     is a NULL array); destroyed towers and absent clans get their documented values.
     """
-    essential = ["battleTime", "game_mode", "arena"] + [
-        f"{side}_{f}" for side in ("winner", "loser") for f in SEASON_FIELDS if f not in ("king_hp", "clan")
-    ]
     # Plain null tests, so Catalyst reduces each one to the scan column behind it.
-    kept = source.filter(" AND ".join(f"{column} IS NOT NULL" for column in essential))
+    kept = source.filter(" AND ".join(f"{column} IS NOT NULL" for column in season_essentials()))
     columns = []
     for field in SEASON_FIELDS:
         winner, loser = f"winner_{field}", f"loser_{field}"

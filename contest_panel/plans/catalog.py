@@ -26,7 +26,7 @@ from contest_panel.operators import (
 )
 from contest_panel.plans import dataset, fixtures as fx, matchup, models
 from contest_panel.session import checkpoint_folder, materialise, stored
-from contest_panel.sources import season
+from contest_panel.sources import season, season_scan as season_scan_files
 from contest_panel.sources.keystore import KeyStore
 from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
 from contest_panel.sources.season import conversion_report as season_report
@@ -103,6 +103,18 @@ def season_files(spark, folder):
     )
 
 
+@query
+def season_csv_scan(spark, folder):
+    """CSV files of two column orders through the data source that reads headers in its tasks."""
+    base = f"{checkpoint_folder(spark)}/season-{uuid.uuid4().hex}"
+    fx.season_csv(spark, folder, f"{base}/csv")
+    source = season_scan_files.scan_source(spark, f"{base}/csv", r"day=\d{8}/[^/]+\.csv$", r"day=(\d{8})/")
+    return orient.canonicalise_season(source).groupBy("day").agg(
+        F.count(F.lit(1)).alias("battles"), F.sum("a_won").cast("long").alias("a_wins"), F.sum(decks.total_of("b_levels")).alias("b_levels"),
+        F.count_if(F.col("b_clan") != "").alias("b_clans"),
+    )
+
+
 @query
 def season_neutral(spark, folder):
     battles = fx.season(spark, folder)

@@ -695,3 +695,6 @@ seq("facing_items", """
 SELECT i, j, round(0.25 * count(*), 6)::DOUBLE AS n, round(sum(r) / (0.25 * count(*)), 6) AS r FROM ends GROUP BY 1, 2""")
 seq("counter_check", "SELECT DISTINCT unnest(a.cards || b.cards) AS card, 1 AS sound FROM season")
 seq("key_store", "SELECT strftime(battle_time, '%Y-%m-%d') AS date, count(*) AS contests FROM first_row GROUP BY 1")
+sql("season_csv_scan", """
+SELECT strftime(day, '%d%m%Y') AS day, count(*) AS battles, CAST(sum(a_won) AS BIGINT) AS a_wins,
+  CAST(sum(list_sum(b.levels)) AS BIGINT) AS b_levels, count(b.clan) AS b_clans FROM season GROUP BY 1""")

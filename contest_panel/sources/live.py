@@ -19,6 +19,7 @@ RAW_DDL = (
     "deckSelection string, isLadderTournament boolean, isHostedMatch boolean, leagueNumber int, "
     f"eventTag string, team array<{PLAYER_DDL}>, opponent array<{PLAYER_DDL}>"
 )
+# The stored columns of a parsed contest, in order.
 LIVE_COLUMNS = (
     "battle_key", "battle_time", "collected_at", "label_a_win", "a_tag", "b_tag", "a_crowns", "b_crowns",
     "a_trophies", "b_trophies", "a_card_ids", "b_card_ids", "a_card_levels", "b_card_levels", "is_clean_1v1",

@@ -147,3 +147,50 @@ def test_example_table(spark, focal, tmp_path):
     assert as_set(read.select("example_id", "history")) == as_set(examples.select("example_id", "history"))
     with pytest.raises(FileNotFoundError):
         example_files.read_examples(spark, str(tmp_path / "none"))
+
+
+def test_data_source_reads_what_the_csv_reader_does(spark, csv_folder, tmp_path):
+    """Own headers, other column orders, compressed and empty files; days are chosen before files are opened."""
+    import gzip
+    from pathlib import Path
+
+    import pandas as pd
+
+    from contest_panel.sources import season_scan
+
+    for number, file in enumerate(sorted(Path(csv_folder).glob("*.csv"))):
+        rows = pd.read_csv(file, dtype=str, keep_default_na=False)
+        (rows if number else rows[rows.columns[::-1]]).to_csv(tmp_path / f"0{number}042021.csv.gz", index=False, compression="gzip")
+    (tmp_path / "03042021.csv").write_text(rows.head(0).to_csv(index=False))
+    want = season_files.read_source(spark, str(tmp_path))
+    got = season_scan.scan_source(spark, str(tmp_path))
+    assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes) and as_set(got) == as_set(want) and got.count() > 10
+    some = season_scan.scan_source(spark, f"file:{tmp_path}", columns=["winner.tag", "arena.id"])
+    assert some.columns == ["day", "winner.tag", "arena.id"] and some.count() == got.count()
+    (tmp_path / "09042021.csv").write_text("battleTime,winner.tag\n2024-01-01,x\n")
+    with pytest.raises(Exception, match=r"arena.id.*09042021"):
+        season_scan.scan_source(spark, str(tmp_path)).count()
+    with gzip.open(tmp_path / "08042021.csv.gz", "wb"):
+        pass
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        kept = season_scan.scan_source(spark, str(tmp_path)).filter("day = '00042021'")
+        assert as_set(kept) == as_set(want.filter("day = '00042021'")) and kept.count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(FileNotFoundError):
+        season_scan.scan_source(spark, str(tmp_path), r"\.parquet$")
+
+
+def test_files_are_grouped_for_tasks(monkeypatch, tmp_path):
+    from contest_panel.sources import season_scan
+
+    for n in range(25):
+        (tmp_path / f"{n:02d}.csv").write_text("x" * (100 if n else 5000))
+    monkeypatch.setattr(season_scan, "TASK_BYTES", 1000)
+    monkeypatch.setattr(season_scan, "TASK_FILES", 7)
+    reader = season_scan.DayReader({"path": str(tmp_path), "columns": "a"})
+    parts = [p.files for p in reader.partitions()]
+    assert [len(p) for p in parts] == [1, 7, 7, 7, 3] and sorted(f for p in parts for f in p) == [(f"{tmp_path}/{n:02d}.csv", f"{n:02d}") for n in range(25)]
+    list(reader.pushFilters([season_scan.StringStartsWith(("day",), "1"), season_scan.EqualTo(("other",), 3)]))
+    assert sorted(d for p in reader.partitions() for _, d in p.files) == [f"{n}" for n in range(10, 20)]
