@@ -27,6 +27,7 @@ from contest_panel.operators import (
 from contest_panel.plans import dataset, fixtures as fx, matchup, models
 from contest_panel.session import checkpoint_folder, materialise, stored
 from contest_panel.sources import season, season_scan as season_scan_files
+from contest_panel.sources.buckets import store_by
 from contest_panel.sources.keystore import KeyStore
 from contest_panel.sources.live import LIVE_COLUMNS, parse_json_log
 from contest_panel.sources.season import conversion_report as season_report
@@ -435,6 +436,15 @@ def player_panel(spark, folder):
     return rounded(panel.player_panel(melted_ladder(spark, folder)))
 
 
+@query
+def bucketed_panel(spark, folder):
+    """The panel and the eligible participants from one table stored by participant: neither shuffles, their join doesn't either."""
+    rows = store_by(melted_ladder(spark, folder), ["tag"], ["battle_time", "pairing"], buckets=8)
+    eligible = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= MIN_BATTLES)
+    found = panel.player_panel(rows).hint("merge").join(eligible, "tag")
+    return rounded(found.select("tag", "battles", "win_rate", "distinct_decks", "switch_rate", "level_gain", "rows"))
+
+
 @query
 def panel_summary(spark, folder):
     return rounded(panel.panel_summary(materialise(panel.player_panel(melted_ladder(spark, folder)))))

@@ -698,3 +698,7 @@ seq("key_store", "SELECT strftime(battle_time, '%Y-%m-%d') AS date, count(*) AS
 sql("season_csv_scan", """
 SELECT strftime(day, '%d%m%Y') AS day, count(*) AS battles, CAST(sum(a_won) AS BIGINT) AS a_wins,
   CAST(sum(list_sum(b.levels)) AS BIGINT) AS b_levels, count(b.clan) AS b_clans FROM season GROUP BY 1""")
+
+_PANEL = ORACLES["player_panel"]
+ORACLES["bucketed_panel"] = f"""SELECT tag, battles, win_rate, distinct_decks, switch_rate, level_gain, battles AS rows
+FROM ({_PANEL}) WHERE battles >= 20"""

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from conftest import as_set
 
 from contest_panel.operators import curves, dedup, orient, panel, sequences
 from contest_panel.session import materialise
@@ -55,3 +56,25 @@ def test_clean_filter_reaches_the_live_scan(spark, parsed, tmp_path):
     scanned = plan[plan.index("FileScan parquet") :].split("]")[0]
     assert "card_ids" not in scanned
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_table_stored_by_participant_is_not_shuffled_again(spark, season, tmp_path):
+    from pyspark.sql import Window, functions as F
+
+    from contest_panel.sources import buckets
+
+    melted = orient.melt_sides(orient.ladder_only(season))
+    table = buckets.store_by(melted, ["tag"], ["battle_time", "pairing"], buckets=4, name="melted_rows", path=str(tmp_path / "t"))
+    assert shuffles(plan_of(panel.player_panel(table))) == 0
+    counts = table.groupBy("tag").agg(F.count("*").alias("n"))
+    joined = table.hint("merge").join(counts, "tag").withColumn("first", F.min("battle_time").over(Window.partitionBy("tag")))
+    assert shuffles(plan_of(joined)) == 0
+    assert as_set(panel.player_panel(table)) == as_set(panel.player_panel(melted))
+    assert len(list((tmp_path / "t").glob("part-*"))) <= 4
+    buckets.forget(spark, "melted_rows")
+    again = buckets.register(spark, "named_again", str(tmp_path / "t"), melted, ["tag"], ["battle_time", "pairing"], 4)
+    assert as_set(again) == as_set(melted) and shuffles(plan_of(again.groupBy("tag").count())) == 0
+    sizes = [r["rows"] for r in buckets.largest_bucket(again, ["tag"], 4).collect()]
+    assert sum(sizes) == melted.count() and sizes == sorted(sizes, reverse=True)
+    buckets.forget(spark, "named_again")
+    assert [buckets.buckets_for(n) for n in (0, 10**9, 10**10)] == [8, 8, 128]
