@@ -1118,6 +1118,37 @@ def oof_score_check(spark, folder):
     return found.select("fold", "examples", F.round("positive_rate", 6).alias("positive_rate"), F.expr(f"cast({sound} AS int) AS sound"))
 
 
+@query
+def head_ablation_check(spark, folder):
+    """Three heads on the same held-out rows; their base rates agree with the table, and losses stay near that of the base rate."""
+    found = head_ablation(spark, folder)
+    base = -(F.col("positive_rate") * F.log("positive_rate") + (1 - F.col("positive_rate")) * F.log(1 - F.col("positive_rate")))
+    sound = (F.col("log_loss") > 0) & (F.col("log_loss") < 2 * base) & F.col("roc_auc").between(0, 1)
+    return found.select("head", "split", "examples", F.round("positive_rate", 6).alias("positive_rate"), sound.cast("int").alias("sound"))
+
+
+@query
+def permutation_check(spark, folder):
+    """Importance of a planted signal: the outcome is a rule on one feature, whose shuffling costs more than any other's."""
+    rule = F.col("historical_switch_rate") > 0.55
+    examples = materialise(example_table(spark, folder).withColumn("next_switch", rule.cast("int")))
+    fitted = models.fit_model(examples, NINE, models.item_words(fx.card_dimension(spark)), feature_set="summary")
+    found = stored(models.permutation_importance(fitted, examples, NINE))
+    best = found.agg(F.max_by("feature", "increase")).head()[0]
+    return found.select("feature", (F.col("feature") == best).cast("int").alias("largest"), F.col("increase").isNotNull().cast("int").alias("known"))
+
+
+@query
+def dimension_file(spark, folder):
+    """The card dimension written as CSV and as Parquet and read back: the same cards by rarity."""
+    base = f"{checkpoint_folder(spark)}/cards-{uuid.uuid4().hex}"
+    cards = fx.card_dimension(spark)
+    cards.write.option("header", True).csv(f"{base}/cards.csv")
+    cards.withColumn("name", F.concat(F.lit("card "), "id")).write.parquet(f"{base}/cards.parquet")
+    both = [dimension.read_dimension(spark, f"{base}/{file}").withColumn("file", F.lit(file)) for file in ("cards.csv", "cards.parquet")]
+    return both[0].unionByName(both[1]).groupBy("file", "rarity").agg(F.count(F.lit(1)).alias("cards"), F.count("name").alias("named"), F.min("id").alias("first"))
+
+
 @query
 def uplift_check(spark, folder):
     """One row per participant with a context; the difference is that of the two probabilities."""

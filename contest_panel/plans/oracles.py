@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contest_panel.operators.sequences import SUMMARY_SETS
+
 ORACLES: dict[str, str] = {}
 
 _BASE = """
@@ -702,3 +704,12 @@ SELECT strftime(day, '%d%m%Y') AS day, count(*) AS battles, CAST(sum(a_won) AS B
 _PANEL = ORACLES["player_panel"]
 ORACLES["bucketed_panel"] = f"""SELECT tag, battles, win_rate, distinct_decks, switch_rate, level_gain, battles AS rows
 FROM ({_PANEL}) WHERE battles >= 20"""
+seq("head_ablation_check", """
+SELECT head, split, count(*) AS examples, round(avg(next_switch), 6) AS positive_rate, 1 AS sound
+FROM placed, (VALUES ('summary'), ('history'), ('full')) h(head) WHERE split <> 0 GROUP BY 1, 2""")
+ORACLES["permutation_check"] = "SELECT feature, CAST(feature = 'historical_switch_rate' AS INTEGER) AS largest, 1 AS known FROM (VALUES " + ", ".join(
+    f"('{name}')" for name in SUMMARY_SETS["current_deck_count"]
+) + ") f(feature)"
+seq("dimension_file", """
+SELECT file, rarity, count(*) AS cards, CASE WHEN file = 'cards.parquet' THEN count(*) ELSE 0 END AS named, min(id) AS first
+FROM card, (VALUES ('cards.csv'), ('cards.parquet')) f(file) GROUP BY 1, 2""")
