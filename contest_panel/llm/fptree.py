@@ -39,6 +39,7 @@ LEAF = 32
 SHARD_ENTRIES = 1_500_000
 BLOCK_BYTES = 8_000_000
 _PIECE = 1_000_000
+_ANY = 1 << 62
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
@@ -165,7 +166,7 @@ class Trie:
     def search(self, rank: np.ndarray, weights: np.ndarray, k: int, floor: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Documents and scores that may be among the best ``k``; send back the k-th score so far (0 if there are fewer)."""
         base = rank.astype(np.int64) * self.nodes
-        stack = [(0, 0)]
+        stack = [(_ANY, 0)]  # the root is always opened
         while stack:
             bound, node = stack.pop()
             if bound < floor:

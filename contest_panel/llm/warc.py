@@ -234,7 +234,7 @@ def parse_record(raw: bytes) -> dict:
     name = None
     for line in lines[1:]:
         if line[:1] in (" ", "\t") and name:
-            fields[name] += " " + line.strip()
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         name = name.strip().lower()
