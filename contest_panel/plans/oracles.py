@@ -707,7 +707,7 @@ FROM ({_PANEL}) WHERE battles >= 20"""
 seq("head_ablation_check", """
 SELECT head, split, count(*) AS examples, round(avg(next_switch), 6) AS positive_rate, 1 AS sound
 FROM placed, (VALUES ('summary'), ('history'), ('full')) h(head) WHERE split <> 0 GROUP BY 1, 2""")
-ORACLES["permutation_check"] = "SELECT feature, CAST(feature = 'historical_switch_rate' AS INTEGER) AS largest, 1 AS known FROM (VALUES " + ", ".join(
+ORACLES["permutation_check"] = "SELECT feature, 1 AS known FROM (VALUES " + ", ".join(
     f"('{name}')" for name in SUMMARY_SETS["current_deck_count"]
 ) + ") f(feature)"
 seq("dimension_file", """
