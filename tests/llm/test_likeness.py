@@ -162,6 +162,15 @@ def test_components_of_graph(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Hubs in the middle, at the smallest and at the largest node of their component."""
+    stars = [(500, i) for i in range(400, 600) if i != 500] + [(1000, i) for i in range(1001, 1200)] + [(2300, i) for i in range(2100, 2300)]
+    stars += [(599, 3000), (3000, 3001), (1199, 2299)]
+    found = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(stars, "a long, b long"), hub_edges=20).collect()}
+    nodes = {n for edge in stars for n in edge}
+    assert found == {n: 400 if n < 1000 or n >= 3000 else 1000 for n in nodes}
+
+
 def plain_search(texts, queries_, k):
     words = {i: Counter(re.findall("[A-Za-z0-9\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))) for i, t in texts.items()}
     n, lengths = len(texts), {i: sum(w.values()) for i, w in words.items()}
@@ -190,6 +199,35 @@ def test_search_is_exact(docs, texts):
         assert [i for i, _ in hits] == [i for _, i in expected[q]]
 
 
+def test_block_max_wand_skips():
+    """Blocks under the floor are never scored, and what is found equals scoring every posting."""
+    rng = np.random.default_rng(3)
+    docs, terms = 4_000, np.sort(rng.integers(-(2**62), 2**62, 300))
+    lists = [np.sort(rng.choice(docs, max(1, docs // (3 + 2 * i)), replace=False)) for i in range(len(terms))]
+    lists[250] = np.arange(640, 700)  # a rare term of neighbours
+    first = np.cumsum([0, *map(len, lists[:-1])])
+    posting = np.concatenate(lists)
+    tf = rng.integers(1, 4, len(posting))
+    length = np.maximum(1, np.bincount(posting, weights=tf, minlength=docs))
+    row = {"term": terms, "first": first, "posting": posting, "tf": tf, "length": length}
+    shard = search.Shard(row, list(range(docs)), float(length.mean()), 64)
+    for at in (np.array([0, 250]), np.array([0, 1, 2, 250]), np.array([0, 250, 299]), np.arange(0, 300, 7), np.array([5])):
+        factor = np.log(1 + docs / np.array([len(lists[i]) for i in at]))
+        every = np.zeros(docs)
+        for i, f in zip(at, factor):
+            part = slice(first[i], first[i] + len(lists[i]))
+            every[posting[part]] += shard.score[part] * f
+        expected = sorted((-round(s, 9), d) for d, s in enumerate(every) if s > 0)[:10]
+        for floor in (0.0, -expected[-1][0]):
+            before = shard.scored
+            found = shard.top(at, factor, 10, floor)
+            assert [d for _, d in found] == [d for _, d in expected]
+            assert [s for s, _ in found] == pytest.approx([-s for s, _ in expected])
+            share = (shard.scored - before) / sum(len(lists[i]) for i in at)
+            assert share < 0.2 if list(at) == [0, 250] else share <= 1  # the rare term alone decides
+    assert shard.top(np.array([5]), np.array([1.0]), 10, 100.0) == []
+
+
 def test_search_odd_input(odd, none):
     found = search.search(odd, F.col("doc_id") >= 0).collect()
     assert not {0, 1, 2} & {r["query"] for r in found} and {r["doc_id"] for r in found if r["query"] == 4} >= {3, 4, 5}
